@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import repair
+from spanloom.llm import jpeg, packing, quality, repair
+from spanloom.shared import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,33 @@ def op1_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_documents(shards, with_ids=False)
 
 
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text by a classifier trained on the labels outside the held-out fifth."""
+    documents = _table(spark, sf_dir, "documents")
+    scored = quality.score(documents.select("doc_id", "text"), quality.train(documents, _table(spark, sf_dir, "labels")))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), "predicted")
+
+
+def op3_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every text packed into sequences of 2048 ids."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, length=2048)
+
+
+def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a progressive JPEG in a table, read back and decoded: digests of the payload, the stored form and the pixels."""
+    media = written(jpeg.store(_table(spark, sf_dir, "documents")), "media")
+    images = jpeg.decode(media)
+    feature = F.concat_ws(":", F.concat_ws("x", "height", "width"), "scans", F.hex(F.crc32("rgb")))
+    return images.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_token_ids,)}
+    return {f.__name__: f for f in (op1_repair_token_ids, op2_compression_quality, op3_residual_packing, op4_progressive_jpeg)}
 
 
 def oracle_sql() -> dict[str, str]:
