@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jpeg, packing, quality, repair
+from spanloom.llm import jpeg, packing, quality, repair, superkmer
 from spanloom.shared import written
 
 
@@ -47,8 +47,13 @@ def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the words that windows of 35 words occurring elsewhere cover."""
+    return superkmer.remove_repeats(_table(spark, sf_dir, "documents"), window=35, with_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_token_ids, op2_compression_quality, op3_residual_packing, op4_progressive_jpeg)}
+    return {f.__name__: f for f in (op1_repair_token_ids, op2_compression_quality, op3_residual_packing, op4_progressive_jpeg, op5_superkmer_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
