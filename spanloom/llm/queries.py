@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jpeg, packing, quality, repair, superkmer
+from spanloom.llm import decontam, jpeg, packing, quality, repair, superkmer
 from spanloom.shared import written
 
 
@@ -52,8 +52,13 @@ def op5_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.remove_repeats(_table(spark, sf_dir, "documents"), window=35, with_text=False)
 
 
+def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items found in them within the edit budget."""
+    return decontam.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_token_ids, op2_compression_quality, op3_residual_packing, op4_progressive_jpeg, op5_superkmer_dedup)}
+    return {f.__name__: f for f in (op1_repair_token_ids, op2_compression_quality, op3_residual_packing, op4_progressive_jpeg, op5_superkmer_dedup, op10_pigeonhole_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
