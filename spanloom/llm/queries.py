@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, jpeg, packing, quality, repair, superkmer
+from spanloom.llm import decontam, jpeg, license_scan, packing, quality, repair, secret_scan, superkmer
 from spanloom.shared import written
 
 
@@ -57,8 +57,28 @@ def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontam.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def _tree_path() -> Column:
+    """A place in a tree for each document: its source, then its number by powers of ten; every hundredth is its folder's licence file."""
+    n = F.col("doc_id")
+    name = F.when(F.pmod(n, F.lit(100)) == 0, "LICENSE").otherwise(F.concat(n.cast("string"), F.lit(".txt")))
+    return F.concat_ws("/", *(F.floor(n / 10**k).cast("string") for k in (4, 3, 2)), name)
+
+
+def op6_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document: its own header's, or that of the nearest folder above."""
+    files = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), _tree_path().alias("path"), "text")
+    return license_scan.scan(files).withColumnRenamed("key", "doc_id")
+
+
+def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document with the forest's probability."""
+    files = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.concat_ws("/", "source", "lang").alias("path"), "text")
+    found = secret_scan.scan(files, secret_scan.train(secret_scan.labelled_findings(spark)))
+    return found.select(F.col("key").alias("doc_id"), "start", "stop", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_token_ids, op2_compression_quality, op3_residual_packing, op4_progressive_jpeg, op5_superkmer_dedup, op10_pigeonhole_decontamination)}
+    return {f.__name__: f for f in (op1_repair_token_ids, op2_compression_quality, op3_residual_packing, op4_progressive_jpeg, op5_superkmer_dedup, op6_license_inheritance, op8_secret_forest, op10_pigeonhole_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
