@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, jpeg, license_scan, packing, quality, repair, secret_scan, superkmer
+from spanloom.llm import decontam, jpeg, license_scan, packing, pii, quality, repair, secret_scan, superkmer
 from spanloom.shared import written
 
 
@@ -77,8 +77,16 @@ def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "start", "stop", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
+def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data in every document: the base spans' digest and all spans."""
+    found = pii.detect(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda m: m["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("found", lambda m: m["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_token_ids, op2_compression_quality, op3_residual_packing, op4_progressive_jpeg, op5_superkmer_dedup, op6_license_inheritance, op8_secret_forest, op10_pigeonhole_decontamination)}
+    return {f.__name__: f for f in (op1_repair_token_ids, op2_compression_quality, op3_residual_packing, op4_progressive_jpeg, op5_superkmer_dedup, op6_license_inheritance, op8_secret_forest, op9_weak_pii, op10_pigeonhole_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
