@@ -1,11 +1,63 @@
-"""A corpus from raw documents to packed training sequences, in stages."""
+"""A corpus from raw documents to packed training sequences.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir), works on all that the stage before has kept, and returns a DataFrame;
+all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.llm import decontam, jaccard, packing, quality, secret_scan
+from spanloom.shared import written
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier, trained on the labels outside the held-out fifth, doesn't reject."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group of near-duplicates."""
+    return jaccard.one_of_each(docs).select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs within its edit budget."""
+    return decontam.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every finding that the forest takes for a secret masked in the text."""
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.redact(docs, model, path=F.concat_ws("/", "source", "lang")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of 2048 ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, length=2048)
+
+
+STAGES = [
+    ("quality classifier", keep_good_quality),
+    ("n-gram jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("secret scans", redact_secrets),
+    ("best-fit packing", pack_sequences),
+]
+
+#: No stage can be said in SQL as a whole: classifier, forest and tokeniser are models; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is a table that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{k}")
     return docs

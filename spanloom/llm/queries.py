@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, jpeg, license_scan, packing, pii, quality, repair, secret_scan, superkmer
+from spanloom.llm import decontam, jaccard, jpeg, license_scan, packing, pii, quality, repair, secret_scan, superkmer
 from spanloom.shared import written
 
 
@@ -77,6 +77,11 @@ def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "start", "stop", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
+def op7_combination_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and places of personal data in every document: the base spans' digest and all spans."""
     found = pii.detect(_table(spark, sf_dir, "documents"))
@@ -86,7 +91,7 @@ def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_token_ids, op2_compression_quality, op3_residual_packing, op4_progressive_jpeg, op5_superkmer_dedup, op6_license_inheritance, op8_secret_forest, op9_weak_pii, op10_pigeonhole_decontamination)}
+    return {f.__name__: f for f in (op1_repair_token_ids, op2_compression_quality, op3_residual_packing, op4_progressive_jpeg, op5_superkmer_dedup, op6_license_inheritance, op7_combination_jaccard, op8_secret_forest, op9_weak_pii, op10_pigeonhole_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
