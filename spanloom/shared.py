@@ -58,3 +58,10 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = table_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Keep what goes to a Python worker at once to ``size``, however long the texts, unless the session has its own bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
