@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.tokens import ragged
+from spanloom.shared import bounded_batches, give_back, lean
 
 MER = 4  #: words of a minimiser's run
-FLUSH_BYTES = 24 << 20  #: packed strings that a task gathers before it sends them to their buckets
-STEP_BYTES = 2 << 20  #: text hashed at once; a longer document is a step of its own
+FLUSH_BYTES = 16 << 20  #: packed strings that a task gathers before it sends them to their buckets
+FLUSH_PLACES = 50_000  #: places known to repeat that it gathers at most
+STEP_BYTES = 1 << 20  #: text hashed at once; a longer document is a step of its own
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _NO_ID = -(1 << 63)
@@ -121,6 +123,19 @@ _BLOCKS = "bucket int, strings binary, sizes binary, repeats binary, place binar
 _PLACE = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<i8"), ("stop", "<i8")])
 
 
+def _stored(places: np.ndarray, zip_) -> bytes:
+    """Places column by column, with the number of words for the stop: short once compressed."""
+    columns = (places["doc"], places["key"], places["start"], places["stop"] - places["start"])
+    return zip_(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+
+
+def _places(raw: bytes, n: int) -> np.ndarray:
+    columns = np.frombuffer(raw, "<i8").reshape(4, n)
+    out = np.empty(n, _PLACE)
+    out["doc"], out["key"], out["start"], out["stop"] = columns[0], columns[1], columns[2], columns[2] + columns[3]
+    return out
+
+
 def _packed(documents: DataFrame, window: int, buckets: int) -> DataFrame:
     """Blocks of packed strings for each bucket, and blocks of places known to repeat (no strings)."""
     schema = pa.schema([("bucket", pa.int32()), ("strings", pa.binary()), ("sizes", pa.binary()), ("repeats", pa.binary()), ("place", pa.binary()), ("n", pa.int32())])
@@ -146,13 +161,13 @@ def _packed(documents: DataFrame, window: int, buckets: int) -> DataFrame:
             for a, b in zip(cuts, [*cuts[1:], len(ordered)], strict=True):
                 own = by_bucket[a:b]
                 mine = [strings[k] for k in own]
-                rows.append({"bucket": int(ordered[a]), "strings": zip_(b" ".join(mine)), "sizes": np.array([len(s) for s in mine], "<u4").tobytes(), "repeats": np.array(many, np.uint8)[own].tobytes(), "place": place[own].tobytes(), "n": len(own)})
+                rows.append({"bucket": int(ordered[a]), "strings": zip_(b" ".join(mine)), "sizes": np.array([len(s) for s in mine], "<u4").tobytes(), "repeats": np.array(many, np.uint8)[own].tobytes(), "place": _stored(place[own], zip_), "n": len(own)})
                 if len(rows) == 64:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows = []
-            for k in range(0, len(known), 50_000):
-                sure = np.array(known[k : k + 50_000], _PLACE)
-                rows.append({"bucket": int(_mixed(sure["key"].astype(np.uint64))[0] % np.uint64(buckets)), "place": sure.tobytes(), "n": len(sure)})
+            for k in range(0, len(known), FLUSH_PLACES):
+                sure = np.array(known[k : k + FLUSH_PLACES], _PLACE)
+                rows.append({"bucket": int(_mixed(sure["key"].astype(np.uint64))[0] % np.uint64(buckets)), "place": _stored(sure, zip_), "n": len(sure)})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -178,13 +193,13 @@ def _packed(documents: DataFrame, window: int, buckets: int) -> DataFrame:
                             many[at] = 1
                             known.append(places[at])
                         known.append(place)
-                if size > FLUSH_BYTES or len(known) > 1_000_000:
+                if size > FLUSH_BYTES or len(known) > FLUSH_PLACES:
                     yield from flush()
                     held, many, bucket_of, places, known, size = {}, [], [], [], [], 0
         if many:
             yield from flush()
 
-    return documents.mapInArrow(pack, _BLOCKS)
+    return documents.mapInArrow(lean(pack), _BLOCKS)
 
 
 def _repeating(strings: list[bytes], repeats: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,8 +242,8 @@ def _count_bucket(key: tuple, table: pa.Table, window: int, schema: pa.Schema) -
     many: list[int] = []
     places, owner = [], []
     out = []
-    for row in table.select(["strings", "sizes", "repeats", "place"]).to_pylist():
-        place = np.frombuffer(row["place"], _PLACE)
+    for row in table.select(["strings", "sizes", "repeats", "place", "n"]).to_pylist():
+        place = _places(unzip(row["place"]), row["n"])
         if row["strings"] is None:
             out.append(place)
             continue
@@ -261,12 +276,14 @@ def _count_bucket(key: tuple, table: pa.Table, window: int, schema: pa.Schema) -
         found["start"], found["stop"] = base + run_begin[run], base + run_stop[run] + window - 1
         out.append(found)
     found = np.concatenate(out) if out else np.zeros(0, _PLACE)
+    give_back()
     return pa.table([pa.array(found[c]) for c in ("doc", "key", "start", "stop")], schema=schema)
 
 
 def repeated_ranges(documents: DataFrame, window: int = 35, buckets: int | None = None) -> DataFrame:
     """(d, k, start, stop): words [start, stop) of the document with this key that repeating windows cover."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
     blocks = _packed(keyed(documents).select("d", "k", "text"), window, buckets)
@@ -308,4 +325,4 @@ def remove_repeats(documents: DataFrame, window: int = 35, buckets: int | None =
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True)], schema=schema)
 
-    return rows.mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return rows.mapInArrow(lean(kept), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
