@@ -34,7 +34,7 @@ def locate(spans: DataFrame, documents: DataFrame) -> DataFrame:
     status = F.when(F.col("text").isNull(), "missing_document").when(F.col("_exact") == 1, "located").when(F.col("_exact") > 1, "ambiguous").when(F.col("_loose") == 1, "located").when(F.col("_loose") > 1, "ambiguous").otherwise("not_found")
     before = F.when(F.col("_exact") == 1, F.expr("locate(quote, text) - 1"))
     start = F.coalesce(before, F.when(F.col("_loose") == 1, F.length(F.element_at(F.split("text", pattern, 2), 1))))
-    size = F.when(F.col("_exact") == 1, F.length("quote")).otherwise(F.length(F.regexp_extract("text", F.concat(F.lit("("), pattern, F.lit(")")), 1)))
+    size = F.when(F.col("_exact") == 1, F.length("quote")).otherwise(F.length(F.call_function("regexp_extract", F.col("text"), F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1))))
     rows = rows.withColumn("status", status)
     located = F.col("status") == "located"
     return rows.select("question_id", "relative_path", "quote", "status", F.when(located, start).cast("int").alias("start_char"), F.when(located, start + size).cast("int").alias("end_char"))

@@ -146,7 +146,7 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.concat(F.col("text"), F.lit("\n \n"), F.coalesce(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")))
-    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.paragraphs(two)).alias("i", "paragraph"))
+    rows = _t(spark, sf_dir, "conversations").withColumn("two", two).select("conv_id", "turn", F.posexplode(T.paragraphs(F.col("two"))).alias("i", "paragraph"))
     return rows.select("conv_id", "turn", "i", F.sha1("paragraph").alias("digest"))
 
 
@@ -208,7 +208,7 @@ def rrf_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rrf_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = fusion.reciprocal_rank_fusion(_rankings(spark, sf_dir)[1])
     of = lambda name: F.try_element_at("hits", F.lit(name))["rank"]
-    return fused.select("query_id", "chunk_id", "rank", of("dense").alias("dense_rank"), of("sparse").alias("sparse_rank"), (F.size("hits") > 1).alias("both"))
+    return fused.select("query_id", "chunk_id", "rank", of("dense").alias("dense_rank"), of("sparse").alias("sparse_rank"), (F.size("hits") > 1).alias("in_both"))
 
 
 def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
