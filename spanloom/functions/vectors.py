@@ -29,7 +29,12 @@ def hashed_terms(texts: DataFrame, key: str, dimension: int = 64, prefix: str =
     ``prefix`` stands before every text, for embedders that tell questions from documents.  Vectors are built sparse
     and laid out once, so nothing but (key, bucket, count) is shuffled.
     """
-    held = texts.select(key, F.explode(F.transform(terms(F.concat(F.lit(prefix), F.coalesce("text", F.lit("")))), lambda t: bucket(t, dimension))).alias("at"))
-    counts = held.groupBy(key, "at").agg(F.count("*").cast("double").alias("n"))
-    sparse = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    found = texts.select(key, F.explode(terms(F.concat(F.lit(prefix), F.coalesce("text", F.lit(""))))).alias("term"), F.lit(1).alias("tf"))
+    return hashed_counts(found, key, dimension)
+
+
+def hashed_counts(counts: DataFrame, key: str, dimension: int = 64) -> DataFrame:
+    """The same vectors from (key, term, tf), such as postings that are there already."""
+    held = counts.groupBy(key, bucket(F.col("term"), dimension).alias("at")).agg(F.sum("tf").cast("double").alias("n"))
+    sparse = held.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
     return sparse.select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimension - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("size")).alias("vector"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import terms
+from spanloom.shared import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -43,8 +44,11 @@ def statistics(postings: DataFrame, chunks_total: DataFrame) -> tuple[DataFrame,
 
 
 def build(chunks: DataFrame, key: str = "chunk_id") -> LexicalIndex:
-    """Index of chunks with ``key`` and ``text``; statistics never mix strategies: build one index for each."""
-    postings = postings_of(chunks, key)
+    """Index of chunks with ``key`` and ``text``; statistics never mix strategies: build one index for each.
+
+    The postings are a table in the shared folder: statistics and searches read them, and no text is cut twice.
+    """
+    postings = written(postings_of(chunks, key), "postings")
     return LexicalIndex(postings, *statistics(postings, chunks.agg(F.count("*").alias("n"))))
 
 

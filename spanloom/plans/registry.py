@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.functions.ids import chunk_id, document_id, section_id
-from spanloom.functions.vectors import hashed_terms
+from spanloom.functions.vectors import hashed_counts, hashed_terms
 from spanloom.operators import answering, chunking, dedup, dense, fusion, golden, lexical, metrics, models, quality, stats
 from spanloom.plans.oracles import oracle_sql  # noqa: F401
 from spanloom.shared import table_path, work_dir, written
@@ -60,19 +60,17 @@ def _categories(spans: DataFrame) -> DataFrame:
     return spans.groupBy("question_id").agg(F.when(F.count("*") > 1, "ambiguous").otherwise("lookup").alias("category"))
 
 
-def _sparse(spark: SparkSession, sf_dir: str, chunks: DataFrame, k: int = fusion.CANDIDATES) -> DataFrame:
-    return lexical.search(lexical.build(chunks), _questions(spark, sf_dir), k)
-
-
-def _dense(spark: SparkSession, sf_dir: str, chunks: DataFrame, k: int = fusion.CANDIDATES) -> DataFrame:
+def _dense(spark: SparkSession, sf_dir: str, postings: DataFrame, k: int = fusion.CANDIDATES) -> DataFrame:
     asked = hashed_terms(_questions(spark, sf_dir).select("query_id", F.col("question").alias("text")), "query_id")
-    return dense.top_k(hashed_terms(chunks, "chunk_id"), asked, k)
+    return dense.top_k(hashed_counts(postings, "chunk_id"), asked, k)
 
 
 def _rankings(spark: SparkSession, sf_dir: str, k: int = fusion.CANDIDATES) -> tuple[DataFrame, DataFrame]:
     """(chunks, both rankings as one table); both are tables in the shared folder, as every arm reads them."""
     chunks = written(_chunks(spark, sf_dir), "chunks")
-    return chunks, written(fusion.unified({"dense": _dense(spark, sf_dir, chunks, k), "sparse": _sparse(spark, sf_dir, chunks, k)}), "rankings")
+    index = lexical.build(chunks)
+    sparse = lexical.search(index, _questions(spark, sf_dir), k)
+    return chunks, written(fusion.unified({"dense": _dense(spark, sf_dir, index.postings, k), "sparse": sparse}), "rankings")
 
 
 def _arms(spark: SparkSession, sf_dir: str, limit: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -163,7 +161,7 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sparse(spark, sf_dir, written(_chunks(spark, sf_dir), "chunks"), 10)
+    return lexical.search(lexical.build(_chunks(spark, sf_dir)), _questions(spark, sf_dir), 10)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
