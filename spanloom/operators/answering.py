@@ -24,7 +24,7 @@ VERDICTS = ["CORRECT", "PARTIAL", "INCORRECT"]
 def retrieved_sets(results: DataFrame) -> DataFrame:
     """One row a question: its results in rank order as an array. results: query_id, rank, chunk_id, relative_path, heading_path, text, hits."""
     item = F.struct("rank", "chunk_id", "relative_path", "heading_path", "text", "hits")
-    return results.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("results"))
+    return results.groupBy("query_id").agg(F.array_sort(F.collect_list(item), lambda a, b: a["rank"] - b["rank"]).alias("results"))
 
 
 def dense_score(result: Column) -> Column:
@@ -144,7 +144,7 @@ def composite(parts: dict[str, Column], weights: dict[str, float] | None = None)
     held = F.filter(items, lambda x: x["value"].isNotNull())
     total = F.aggregate(held, F.lit(0.0), lambda s, x: s + x["weight"])
     value = F.aggregate(held, F.lit(0.0), lambda s, x: s + x["value"] * x["weight"]) / F.nullif(total, F.lit(0.0))
-    return F.struct(F.round(value, 6).alias("score"), F.transform(held, lambda x: x["name"]).alias("components"))
+    return F.struct(F.round(value, 8).alias("score"), F.transform(held, lambda x: x["name"]).alias("components"))
 
 
 def completeness(reply: Column) -> Column:

@@ -155,7 +155,7 @@ def oracle_sql() -> dict[str, str]:
         "refusal_gate": _with(_SEEN, "SELECT q.query_id, round(confidence, 6) AS confidence, CASE WHEN both_agree IS NULL THEN 'no_results' WHEN confidence < 0.55 THEN 'low_confidence' END AS refusal, coalesce(both_agree, false) AS both_agree FROM questions q LEFT JOIN seen USING (query_id) LEFT JOIN agree USING (query_id)"),
         "refusal_calibration": _with([*_SEEN, "spans"], "SELECT 'hybrid' AS arm, round(min(confidence) FILTER (good), 6) AS answerable_min, round(avg(confidence) FILTER (good), 6) AS answerable_mean, round(max(confidence) FILTER (NOT good), 6) AS unanswerable_max, round(avg(confidence) FILTER (good) - avg(confidence) FILTER (NOT good), 6) AS gap, count(*) FILTER (good AND confidence < 0.55) AS false_refusals, count(*) FILTER (NOT good AND confidence < 0.55) AS catches FROM (SELECT confidence, query_id IN (SELECT question_id FROM spans) AS good FROM seen WHERE confidence IS NOT NULL)"),
         "near_misses": _with([*_FUSED, "top5"], "SELECT q.query_id, array_to_string(list_slice(list(t.relative_path || ' > chunk ' || t.chunk_index ORDER BY t.rank), 1, 3), '|') AS found, array_to_string(list_slice((SELECT list(relative_path ORDER BY r) FROM (SELECT c.relative_path, min(x.rank) AS r FROM top5 x JOIN chunks c USING (chunk_id) WHERE x.query_id = q.query_id GROUP BY c.relative_path)), 1, 3), '|') AS documents_to_check FROM questions q JOIN (SELECT query_id, rank, relative_path, chunk_index FROM top5 JOIN chunks USING (chunk_id)) t USING (query_id) GROUP BY q.query_id"),
-        "confidence_composite": _with(_SEEN, "SELECT q.query_id, round(CASE WHEN both_agree AND confidence IS NOT NULL THEN (1.0 + least(1.0, greatest(0.0, (confidence - 0.3) / 0.4))) / 2 WHEN both_agree THEN 1.0 ELSE least(1.0, greatest(0.0, (confidence - 0.3) / 0.4)) END, 6) AS score, CASE WHEN both_agree AND confidence IS NOT NULL THEN 'agreement,retrieval' WHEN both_agree THEN 'agreement' WHEN confidence IS NOT NULL THEN 'retrieval' ELSE '' END AS components FROM questions q LEFT JOIN seen USING (query_id) LEFT JOIN agree USING (query_id)"),
+        "confidence_composite": _with(_SEEN, "SELECT q.query_id, round(CASE WHEN both_agree AND confidence IS NOT NULL THEN (1.0 + least(1.0, greatest(0.0, (confidence - 0.3) / 0.4))) / 2 WHEN both_agree THEN 1.0 ELSE least(1.0, greatest(0.0, (confidence - 0.3) / 0.4)) END, 8) AS score, CASE WHEN both_agree AND confidence IS NOT NULL THEN 'agreement,retrieval' WHEN both_agree THEN 'agreement' WHEN confidence IS NOT NULL THEN 'retrieval' ELSE '' END AS components FROM questions q LEFT JOIN seen USING (query_id) LEFT JOIN agree USING (query_id)"),
         "render_context": _with([*_FUSED, "top5"], "SELECT query_id, length(p) AS n_chars, sha1(p) AS digest FROM (SELECT q.query_id, 'CONTEXT' || chr(10) || chr(10) || string_agg('[' || rank || '] ' || relative_path || ' > chunk ' || chunk_index || chr(10) || text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'QUESTION' || chr(10) || chr(10) || any_value(question) AS p FROM top5 JOIN chunks USING (chunk_id) JOIN questions q USING (query_id) WHERE rank <= 3 GROUP BY q.query_id)"),
         "parse_citations": _with(["answers", "cited", "cites"], f"SELECT answer_id, {_joined('c')} AS cited FROM cites"),
         "resolve_citations": _with(["answers", "cited", "cites"], f"SELECT answer_id, {_joined('list_filter(c, lambda x: x BETWEEN 1 AND 4)')} AS resolved, {_joined('list_filter(c, lambda x: NOT x BETWEEN 1 AND 4)')} AS unresolved, {_joined('list_filter([1, 2, 3, 4], lambda x: NOT list_contains(c, x))')} AS uncited FROM cites"),
