@@ -21,7 +21,7 @@ def series(records: DataFrame) -> DataFrame:
 
 def failure_table(records: DataFrame, by: str = "arm") -> DataFrame:
     """One row an arm, a column a kind of failure."""
-    return records.groupBy(by).pivot("failure", list(FAILURES)).agg(F.count("*")).fillna(0, list(FAILURES))
+    return records.groupBy(by).pivot("failure", list(FAILURES)).agg(F.count(F.lit(1))).fillna(0, list(FAILURES))
 
 
 def refusal_calibration(probes: DataFrame, threshold: float) -> DataFrame:

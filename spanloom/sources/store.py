@@ -47,10 +47,10 @@ class ChunkStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _pointer(self) -> dict[str, str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_current")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current.json")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return {}
-        rows = self.spark.read.schema("strategy string, version string, format int").json(f"{self.root}/_current").collect()
+        rows = self.spark.read.schema("strategy string, version string, format int").json(f"{self.root}/current.json").collect()
         if any(r["format"] != FORMAT_VERSION for r in rows):
             raise ValueError("the store has another format version; rebuild it")
         return {r["strategy"]: r["version"] for r in rows}
@@ -66,7 +66,7 @@ class ChunkStore:
         held = self._pointer() | {strategy: version}
         text = "\n".join(f'{{"strategy": "{s}", "version": "{v}", "format": {FORMAT_VERSION}}}' for s, v in sorted(held.items()))
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_current")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/current.json")
         out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
         out.write(bytearray(text.encode()))
         out.close()
