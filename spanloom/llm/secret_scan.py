@@ -120,5 +120,7 @@ def redact(documents: DataFrame, model: PipelineModel, mask: str = "[SECRET]", p
     step = lambda s, x: F.struct(x["stop"].alias("at"), F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(mask)).alias("out"))
     clean = F.aggregate("_spans", begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)
-    columns = [text.alias("text") if c == "text" else F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(clean).cast("long")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns]
+    grown = F.aggregate("_spans", F.lit(0), lambda s, x: s + len(mask) - (x["stop"] - x["start"]))
+    n_chars = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise((F.length("text") + grown).cast("long")) if "n_chars" in documents.columns else None
+    columns = [text.alias("text") if c == "text" else n_chars.alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns]
     return rows.select(*columns)
