@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.shared import written
+
 LEAST_COSINE = 0.5
 CUE = r"(?i)licen[sc]e|copyright|spdx|permission is hereby|redistribution and use|public domain|without warrant"
 _TERM = "[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
@@ -46,9 +48,11 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
 def header_matches(files: DataFrame, templates: DataFrame) -> DataFrame:
     """(key, line, licence, cosine): each candidate line's best template, ties by name; lines below the threshold are left out.
 
-    files: ``key`` and ``text``.  Templates are a fixed list and are broadcast.
+    files: ``key`` and ``text``.  Templates are a fixed list and are broadcast.  The candidate lines are a table, so the
+    texts are read once.
     """
     lines = files.where(F.col("text").rlike(CUE)).select("key", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(F.col("words").rlike(CUE))
+    lines = written(lines, "licence-lines")
     tf = lines.select("key", "line", F.explode(_terms(F.col("words"))).alias("term")).groupBy("key", "line", "term").agg(F.count("*").alias("tf"))
     own = templates.select("licence", F.explode(_terms(F.col("text"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("n")).unionByName(own.groupBy("term").agg(F.count("*").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
