@@ -3,14 +3,15 @@
 A document is its set of distinct ``SHINGLE``-word shingles, as 64-bit hashes (tokens); equal sets share one
 id.  Tokens are ordered rare first: those that an exact-by-count list of frequent tokens doesn't name, by hash,
 then the frequent ones by count.  Two sets with Jaccard similarity t or more share a token in the first
-n - ceil(t n) + 1 of each.  A rare shared token is indexed alone.  If none is rare, both sets lie in their
+n - ceil(t n) + 1 tokens of each.  Prefixes are extended, so that similar sets whose
+prefixes are rare throughout share many tokens there, each indexed alone, and pairs that share fewer go.  If none is rare, both sets lie in their
 frequent tokens but for tokens that they don't share, and then share two frequent tokens that follow each other in both
 lists: pairs of neighbours in an extended prefix of the frequent tokens are indexed as 2-token combinations
 (``combination_room`` bounds how far the first shared pair can be).  So no similar pair is missed, whatever the
 list of frequent tokens, which only decides how much is compared.
 
-Buckets of the index turn into stars of candidates, never into pairs; the components of the stars are compared
-exactly with an inverted index of whole sets, large ones by pairs of blocks, and the links found give the
+Groups of a key turn into counted pairs up to a fixed size and into stars beyond it; the components of what is left
+are compared exactly with an inverted index of whole sets, large ones by pairs of blocks, and the links found give the
 components.
 """
 
@@ -27,14 +28,16 @@ from pyspark.sql import functions as F
 from spanloom.llm.components import components
 from spanloom.llm.superkmer import _ODD, Words, _mixed, _run_hashes, _steps
 from spanloom.llm.tokens import ragged
-from spanloom.shared import written
+from spanloom.shared import bounded_batches, give_back, lean, written
 
 SHINGLE = 5
-FREQUENT_TOKENS = 1 << 17  #: tokens on the broadcast list of frequent ones at most, 2 MB: the most frequent
-FREQUENT_FROM = 8  #: documents that a token must be counted in to be listed
-HELD_TOKENS = 1 << 18  #: tokens that a task counts at a time; beyond, it forgets the least frequent half
-FLUSH_KEYS = 1 << 21  #: index entries that a task gathers before it sends them to their buckets
-BLOCK_SETS = 4096  #: sets compared in one task; a larger candidate component is compared by pairs of blocks
+FREQUENT_TOKENS = 1 << 18  #: tokens on the broadcast list of frequent ones at most, 4 MB: the most frequent
+FREQUENT_FROM = 5  #: documents that a token must be counted in to be listed
+HELD_TOKENS = 1 << 22  #: tokens that a task counts at once; it remembers those met twice or more among them
+FLUSH_KEYS = 1 << 20  #: index entries that a task gathers before it sends them to their buckets
+PAIRED_GROUP = 32  #: groups of one key up to this size count the keys that two sets share; larger ones are stars
+EXTENSION = 8  #: prefixes are extended by one token for each so many of the set
+TASK_TOKENS = 1 << 20  #: tokens of the sets compared in one task, about; a larger candidate component is compared by pairs of blocks of half as many
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -64,9 +67,14 @@ def set_ids(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, np.maximum(ids, 1), 0).astype(np.int64)
 
 
+def extension(n: np.ndarray) -> np.ndarray:
+    """k: how many tokens two similar sets share at least in prefixes extended for it."""
+    return -(-n // EXTENSION)
+
+
 def prefix_length(n: np.ndarray, t: Fraction) -> np.ndarray:
-    """n - ceil(t n) + 1."""
-    return n - -(-(n * t.numerator) // t.denominator) + 1
+    """n - ceil(t n) + k: the k-th shared token of similar sets lies no later, in either."""
+    return n - -(-(n * t.numerator) // t.denominator) + extension(n)
 
 
 def combination_room(n: np.ndarray, t: Fraction) -> np.ndarray:
@@ -78,8 +86,8 @@ def combination_room(n: np.ndarray, t: Fraction) -> np.ndarray:
     return -(-2 * n * (t.denominator - t.numerator) // t.numerator) + 2
 
 
-def index_keys(tokens: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, rank: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, key) of all index entries. frequent: sorted tokens, rank: their place by ascending count."""
+def index_keys(tokens: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, rank: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set number, key) of all index entries, and which sets have frequent tokens in their prefix. frequent: sorted tokens, rank: their place by ascending count."""
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     at = np.minimum(np.searchsorted(frequent, tokens), max(len(frequent) - 1, 0))
@@ -100,20 +108,43 @@ def index_keys(tokens: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, ra
     pair &= number < combination_room(sizes, t)[own]
     follow = np.flatnonzero(pair)
     combined = _mixed(tok[follow] * _ODD + tok[np.minimum(follow + 1, max(len(tok) - 1, 0))]) if len(tok) else tok
-    return np.concatenate((owner[alone], own[follow])), np.concatenate((tokens[alone], combined))
+    return np.concatenate((owner[alone], own[follow])), np.concatenate((tokens[alone], combined)), n_rare < head
 
 
-def chains(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate links (id, id): in each group of one key, by size, every set with the first, anew where sizes are too far apart."""
+def candidate_pairs(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, mixed: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, id, shared keys, keys they must share in all) of sets that meet in a group of one key and aren't too far apart in size.
+
+    Sets of rare tokens alone must share as many keys as the smaller one's extension says.  Sets with frequent tokens in
+    their prefix (mixed) need share none.  A large group gives a star by size: every set with the first, anew where
+    sizes are too far apart; its links need no count either.
+    """
     order = np.lexsort((ids, sizes, keys))
-    keys, ids, sizes = keys[order], ids[order], sizes[order]
-    if not len(keys):
-        return ids, ids
+    keys, ids, sizes, mixed = keys[order], ids[order], sizes[order], mixed[order]
     begins = np.ones(len(keys), bool)
-    begins[1:] = (keys[1:] != keys[:-1]) | (sizes[1:] * t.numerator > sizes[:-1] * t.denominator)
-    head = ids[begins][np.cumsum(begins) - 1]
-    linked = head != ids
-    return head[linked], ids[linked]
+    begins[1:] = keys[1:] != keys[:-1]
+    group = np.cumsum(begins) - 1
+    large = (np.bincount(group) > PAIRED_GROUP)[group] if len(keys) else begins
+    out = []
+    for d in range(1, PAIRED_GROUP):
+        near = np.flatnonzero((group[d:] == group[:-d]) & ~large[d:] & (sizes[d:] * t.numerator <= sizes[:-d] * t.denominator) & (ids[d:] != ids[:-d]))
+        if not len(near) and d > 1:
+            break
+        need = np.where(mixed[near] | mixed[near + d], 0, extension(sizes[near]))
+        out.append((ids[near], ids[near + d], need))
+    begins[1:] |= sizes[1:] * t.numerator > sizes[:-1] * t.denominator
+    head = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), 0))
+    star = np.flatnonzero(large & (ids[head] != ids))
+    out.append((ids[head[star]], ids[star], np.zeros(len(star), np.int64)))
+    a, b, need = (np.concatenate(c) for c in zip(*out, strict=True))
+    pair = np.column_stack([np.minimum(a, b), np.maximum(a, b)])
+    order = np.lexsort((pair[:, 1], pair[:, 0]))
+    pair, need = pair[order], need[order]
+    first = np.ones(len(pair), bool)
+    first[1:] = (pair[1:] != pair[:-1]).any(1)
+    at = np.flatnonzero(first)
+    if not len(at):
+        return pair[:, 0], pair[:, 1], need, need
+    return pair[at, 0], pair[at, 1], np.diff(np.append(at, len(pair))), np.minimum.reduceat(need, at)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,11 +214,22 @@ _PROFILE = "doc_id long, n long, id long, token long, times long"
 
 
 def _profile(documents: DataFrame) -> DataFrame:
-    """Each document's set size and id, and, in rows with a token, how often a task has met its more frequent tokens."""
+    """Each document's set size and id, and, in rows with a token, how often a task has met it, if more than once."""
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "id", "token", "times")])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, times, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), set()
+        buffer, n_held, seen = [], 0, set()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            held = np.sort(np.concatenate(buffer))
+            begins = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+            times = np.diff(np.append(begins, len(held)))
+            often = times > 1
+            tokens, times = held[begins[often]].view(np.int64), times[often]
+            for k in range(0, len(tokens), 50_000):
+                empty = pa.nulls(len(tokens[k : k + 50_000]), pa.int64())
+                yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(tokens[k : k + 50_000]), pa.array(times[k : k + 50_000])], schema=schema)
+
         for batch in batches:
             for begin, raw, offsets in _steps(batch.column("text")):
                 tokens, own = token_sets(raw, offsets)
@@ -195,26 +237,20 @@ def _profile(documents: DataFrame) -> DataFrame:
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, n), pa.array(np.diff(own)), pa.array(ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
                 fresh = _fresh(ids, seen)
-                counted, more = np.unique(tokens[ragged(own[:-1][fresh], np.diff(own)[fresh])], return_counts=True)
-                held, at = np.unique(np.concatenate((held, counted)), return_inverse=True)
-                times = np.bincount(at, weights=np.concatenate((times, more)), minlength=len(held)).astype(np.int64)
-                if len(held) > HELD_TOKENS:
-                    kept = np.argsort(-times, kind="stable")[: HELD_TOKENS // 2]
-                    kept = np.sort(kept[times[kept] > 1])
-                    held, times = held[kept], times[kept]
-        often = times > 1
-        held, times = held[often], times[often]
-        for k in range(0, len(held), 50_000):
-            part = held[k : k + 50_000].view(np.int64)
-            empty = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(part), pa.array(times[k : k + 50_000])], schema=schema)
-
-    return documents.mapInArrow(measured, _PROFILE)
+                buffer.append(tokens[ragged(own[:-1][fresh], np.diff(own)[fresh])])
+                n_held += len(buffer[-1])
+                if n_held > HELD_TOKENS:
+                    yield from counted()
+                    buffer, n_held = [], 0
+        if n_held:
+            yield from counted()
+
+    return documents.mapInArrow(lean(measured), _PROFILE)
 
 
 def _fresh(ids: np.ndarray, seen: set) -> np.ndarray:
-    """Which sets a task meets for the first time (a copy adds nothing to the index); forgets beyond a million."""
-    if len(seen) > 1_000_000:
+    """Which sets a task meets for the first time (a copy adds nothing to the index); forgets beyond 200,000."""
+    if len(seen) > 200_000:
         seen.clear()
     out = np.zeros(len(ids), bool)
     for k, x in enumerate(ids.tolist()):
@@ -262,8 +298,8 @@ def _index(documents: DataFrame, frequent: np.ndarray, rank: np.ndarray, t: Frac
                 ids, sizes = set_ids(tokens, own), np.diff(own)
                 fresh = np.flatnonzero(_fresh(ids, seen))
                 tokens, ids, sizes = tokens[ragged(own[fresh], sizes[fresh])], ids[fresh], sizes[fresh]
-                owner, keys = index_keys(tokens, np.concatenate(([0], np.cumsum(sizes))), frequent, rank, t)
-                held.append((keys, ids[owner], sizes[owner]))
+                owner, keys, mixed = index_keys(tokens, np.concatenate(([0], np.cumsum(sizes))), frequent, rank, t)
+                held.append((keys, ids[owner], 2 * sizes[owner] + mixed[owner]))
                 n += len(keys)
                 if n > FLUSH_KEYS:
                     yield from flush()
@@ -271,32 +307,34 @@ def _index(documents: DataFrame, frequent: np.ndarray, rank: np.ndarray, t: Frac
         if n:
             yield from flush()
 
-    return documents.mapInArrow(indexed, "bucket int, keys binary, ids binary, sizes binary")
+    return documents.mapInArrow(lean(indexed), "bucket int, keys binary, ids binary, sizes binary")
 
 
 def _candidate_links(index: DataFrame, t: Fraction) -> DataFrame:
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    """Pairs that share as many index keys as similar sets must, and links of large groups. sizes of the index: twice the size, odd for mixed sets."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("shared", pa.int64()), ("need", pa.int64())])
 
     def linked(key: tuple, table: pa.Table) -> pa.Table:
         keys, ids, sizes = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("keys", "<u8"), ("ids", "<i8"), ("sizes", "<u4")))
-        node, root = forest(*chains(keys, ids, sizes.astype(np.int64), t))
-        own = node != root
-        return pa.table([pa.array(node[own]), pa.array(root[own])], schema=schema)
+        found = candidate_pairs(keys, ids, sizes.astype(np.int64) >> 1, (sizes & 1).astype(bool), t)
+        give_back()
+        return pa.table([pa.array(c) for c in found], schema=schema)
 
-    return index.groupBy("bucket").applyInArrow(linked, "u long, v long")
+    pairs = index.groupBy("bucket").applyInArrow(linked, "u long, v long, shared long, need long")
+    return pairs.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("u", "v")
 
 
 def _verified_links(documents: DataFrame, candidates: DataFrame, t: Fraction) -> DataFrame:
-    """Stars of similar sets. candidates: (doc_id, id, root): one document for each set of a candidate component.
+    """Stars of similar sets. candidates: (doc_id, id, n, root): one document for each set of a candidate component.
 
-    Small components share tasks; a component of more than ``BLOCK_SETS`` sets is cut into blocks, and every pair
-    of blocks is a task.
+    Small components share tasks; a component of more than ``TASK_TOKENS`` tokens is cut into blocks, and every pair of
+    blocks is a task.
     """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("sets"))
-    total = sizes.agg(F.sum("sets")).first()[0] or 0
-    groups = 1 + 2 * int(total) // BLOCK_SETS
-    blocks = F.ceil(F.col("sets") / F.lit(BLOCK_SETS)).cast("int")
+    sizes = candidates.groupBy("root").agg(F.sum("n").alias("tokens"))
+    total = sizes.agg(F.sum("tokens")).first()[0] or 0
+    groups = 1 + 2 * int(total) // TASK_TOKENS
+    blocks = F.when(F.col("tokens") <= TASK_TOKENS, 1).otherwise(F.ceil(2 * F.col("tokens") / F.lit(TASK_TOKENS))).cast("int")
     placed = candidates.join(sizes, "root").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least("b", j), F.greatest("b", j)))
     tasks = F.when(F.col("blocks") == 1, F.array(F.pmod(F.xxhash64("root"), F.lit(groups)))).otherwise(pairs)
@@ -317,6 +355,7 @@ def _verified_links(documents: DataFrame, candidates: DataFrame, t: Fraction) ->
         all_ids, all_sizes = np.concatenate(ids), np.concatenate(sizes)
         _, root = similar(np.concatenate(tokens), np.concatenate(([0], np.cumsum(all_sizes))), t)
         own = np.flatnonzero(all_ids != all_ids[root])
+        give_back()
         return pa.table([pa.array(all_ids[own]), pa.array(all_ids[root[own]])], schema=schema)
 
     return rows.groupBy("task").applyInArrow(compared, "u long, v long")
@@ -334,6 +373,7 @@ def near_duplicates(documents: DataFrame, threshold: Fraction = Fraction(3, 4))
     if not Fraction(3, 4) <= threshold <= 1:
         raise ValueError("the combinations are proven for thresholds of three quarters and more")
     spark = documents.sparkSession
+    bounded_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = written(_profile(rows), "set-profile")
     sets = profile.where("id IS NOT NULL").select("doc_id", "n", "id")
@@ -341,8 +381,8 @@ def near_duplicates(documents: DataFrame, threshold: Fraction = Fraction(3, 4))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = written(_candidate_links(_index(rows, frequent, rank, threshold, buckets), threshold), "candidate-links")
     near = components(links)
-    first = sets.where("id != 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    candidates = written(first.where("doc_id IS NOT NULL").join(near, F.col("id") == F.col("node")).select("doc_id", "id", "root"), "candidate-sets")
+    first = sets.where("id != 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    candidates = written(first.where("doc_id IS NOT NULL").join(near, F.col("id") == F.col("node")).select("doc_id", "id", "n", "root"), "candidate-sets")
     found = components(written(_verified_links(rows, candidates, threshold), "verified-links"))
     grouped = sets.join(found, F.col("id") == F.col("node"), "left").select("doc_id", "n", "id", F.coalesce("root", "id").alias("group_id"))
     grouped = written(grouped, "set-groups")
