@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.shared import bounded_batches, lean
+
 ERROR_RATE = 0.08  #: edits allowed for each character of an item
 LEAST_CHARS = 24  #: shorter items say too little to count as leaked
 ITEMS_PER_BLOCK = 4000  #: items searched for in one pass over the documents; more items, more passes
@@ -155,6 +157,7 @@ def find_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     document, of the best place, the first of equals.  Repeated documents are reported each; items that share an id
     are searched for each.
     """
+    bounded_batches(documents.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
 
@@ -170,7 +173,7 @@ def find_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     out = None
     for block in _blocks(items):
-        own = rows.mapInArrow(searching(block), "doc_id long, item_id long, distance int, start long, stop long")
+        own = rows.mapInArrow(lean(searching(block)), "doc_id long, item_id long, distance int, start long, stop long")
         out = own if out is None else out.unionByName(own)
     if out is None:
         out = rows.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"))

@@ -38,6 +38,7 @@ FLUSH_KEYS = 1 << 20  #: index entries that a task gathers before it sends them
 PAIRED_GROUP = 32  #: groups of one key up to this size count the keys that two sets share; larger ones are stars
 EXTENSION = 8  #: prefixes are extended by one token for each so many of the set
 TASK_TOKENS = 1 << 20  #: tokens of the sets compared in one task, about; a larger candidate component is compared by pairs of blocks of half as many
+BROADCAST_ROWS = 1 << 19  #: candidate sets that are broadcast to the texts at most, 12 MB of ids; more are joined by a shuffle
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -339,7 +340,8 @@ def _verified_links(documents: DataFrame, candidates: DataFrame, t: Fraction) ->
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least("b", j), F.greatest("b", j)))
     tasks = F.when(F.col("blocks") == 1, F.array(F.pmod(F.xxhash64("root"), F.lit(groups)))).otherwise(pairs)
     placed = placed.select("doc_id", "id", F.explode(tasks).alias("task"))
-    rows = documents.where("text IS NOT NULL").join(placed, "doc_id").select("task", "id", "text")
+    small = placed.count() <= BROADCAST_ROWS
+    rows = documents.where("text IS NOT NULL").join(F.broadcast(placed) if small else placed, "doc_id").select("task", "id", "text")
 
     def compared(key: tuple, table: pa.Table) -> pa.Table:
         tokens, sizes, ids = [], [], []

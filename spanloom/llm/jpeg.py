@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.shared import bounded_batches, lean
+
 UNIT = 576  #: payloads are a positive multiple of this many bytes, nine blocks
 PAD = 255
 _NOTE = b"payload\0"
@@ -466,6 +468,7 @@ def store(documents: DataFrame) -> DataFrame:
 
     documents: ``doc_id`` and ``text``; further columns are ignored, repeated rows are stored each.
     """
+    bounded_batches(documents.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,7 +477,7 @@ def store(documents: DataFrame) -> DataFrame:
                 raw = [(t or "").encode() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([pack_payload(padded(x)) for x in raw], pa.binary())], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_bytes long, media binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(encode), "doc_id long, n_bytes long, media binary")
 
 
 def _portions(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -497,6 +500,7 @@ def decode(media: DataFrame) -> DataFrame:
 
     media: a binary column ``media``; null media has null results.  Columns named like a result are replaced.
     """
+    bounded_batches(media.sparkSession)
     results = [("scans", T.IntegerType(), pa.int32()), ("height", T.IntegerType(), pa.int32()), ("width", T.IntegerType(), pa.int32()), ("rgb", T.BinaryType(), pa.binary()), ("payload", T.BinaryType(), pa.binary())]
     names = {n for n, _, _ in results}
     rows = media.select(*(F.col(f"`{c}`") for c in media.columns if c not in names and c != "media"), "media")
@@ -516,4 +520,4 @@ def decode(media: DataFrame) -> DataFrame:
                 columns = [pa.array([f[k] for f in found], kind) for k, (_, _, kind) in enumerate(results)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *(n for n, _, _ in results)])
 
-    return rows.mapInArrow(decoded, out)
+    return rows.mapInArrow(lean(decoded), out)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.tokens import encoder
-from spanloom.shared import written
+from spanloom.shared import bounded_batches, lean, written
 
 NEARLY_FULL = 0.995  #: a bin with this share of its room taken is emitted
 BINS_PER_TASK = 100_000  #: underfull bins that one task of a later round merges
@@ -65,6 +65,7 @@ def local_bins(documents: DataFrame, tokenizer_path: str, end_id: int, length: i
     documents: ``doc_id`` and ``text``; further columns are ignored.  A null text is one piece with the end id alone;
     repeated rows are packed each; an empty table has no pieces.
     """
+    bounded_batches(documents.sparkSession)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("fill", pa.int32())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
@@ -103,7 +104,7 @@ def local_bins(documents: DataFrame, tokenizer_path: str, end_id: int, length: i
         for at in range(0, len(rows), 20_000):
             yield whole.slice(at, 20_000)
 
-    return documents.select("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, PIECES + ", ids array<int>" * with_ids)
+    return documents.select("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(pack), PIECES + ", ids array<int>" * with_ids)
 
 
 def _merge_round(bins: DataFrame, tasks: int, length: int) -> DataFrame:
@@ -124,7 +125,7 @@ def _merge_round(bins: DataFrame, tasks: int, length: int) -> DataFrame:
         root[into[at_head]] = names[at_head]
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(root[into]), pa.array(places), pa.array(fills[into].astype(np.int32))], schema=schema)
 
-    return bins.select("bin", "fill").repartition(tasks, F.xxhash64("bin")).mapInArrow(merge, "bin long, root long, shift long, fill int")
+    return bins.select("bin", "fill").repartition(tasks, F.xxhash64("bin")).mapInArrow(lean(merge), "bin long, root long, shift long, fill int")
 
 
 def merged_bins(spark: SparkSession, open_bins: DataFrame, length: int) -> DataFrame:

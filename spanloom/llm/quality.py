@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.shared import bounded_batches, lean
+
 ROWS_PER_CLASS = 2000  #: labelled rows of each class that training reads, those with the smallest hash of doc_id
 BLOCKS_PER_ROW = 12  #: blocks of one labelled row that go into a dictionary, spread evenly over the text
 BLOCK = 2048  #: bytes compressed at once
@@ -129,7 +131,7 @@ def train(documents: DataFrame, labels: DataFrame) -> CompressionClassifier:
                 out["block"] += chosen
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("quality", pa.int32()), ("block", pa.binary())]))
 
-    built = sample.where("builds").mapInArrow(cut, "quality int, block binary").collect()
+    built = sample.where("builds").mapInArrow(lean(cut), "quality int, block binary").collect()
     ordered = sorted((bytes(r["block"]), r["quality"]) for r in built)
     rng = np.random.default_rng(5)
     rng.shuffle(ordered)
@@ -141,7 +143,7 @@ def train(documents: DataFrame, labels: DataFrame) -> CompressionClassifier:
             x = np.array([sizes.features(t) for t in batch.column("text").to_pylist()], float).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column("quality"), *(pa.array(x[:, k]) for k in range(3))], names=["quality", "d", "r", "s"])
 
-    seen = sample.where("NOT builds").select("text", "quality").mapInArrow(measure, "quality int, d double, r double, s double").collect()
+    seen = sample.where("NOT builds").select("text", "quality").mapInArrow(lean(measure), "quality int, d double, r double, s double").collect()
     y = np.array([r["quality"] for r in seen], float)
     flat = [0.0] * len(_design(np.zeros((1, 3)))[0])
     if len(set(y.tolist())) < 2:
@@ -159,6 +161,7 @@ def score(documents: DataFrame, model: CompressionClassifier) -> DataFrame:
 
     Null and empty texts get the score of a text with neither difference nor size.
     """
+    bounded_batches(documents.sparkSession)
     kept = [c for c in documents.columns if c not in ("quality_score", "predicted")]
     rows = documents.select(*(F.col(f"`{c}`") for c in kept))
     out = T.StructType([*rows.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -169,4 +172,4 @@ def score(documents: DataFrame, model: CompressionClassifier) -> DataFrame:
             p = model.score_batch(batch.column("text").to_pylist(), sizes)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= KEEP_FROM).astype(np.int32))], names=[*batch.schema.names, "quality_score", "predicted"])
 
-    return rows.mapInArrow(scored, out)
+    return rows.mapInArrow(lean(scored), out)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.tokens import encoder, ragged
-from spanloom.shared import written
+from spanloom.shared import bounded_batches, lean, written
 
 MAGIC = b"RPG1"
 SHARD_IDS = 1 << 20  #: a shard is closed once it holds so many ids; one document is never split
@@ -199,6 +199,7 @@ def token_shards(documents: DataFrame, tokenizer_path: str, end_id: int, partiti
     range partition it belongs to, its number there, the ids before it in that partition, and the blob.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -239,7 +240,7 @@ def token_shards(documents: DataFrame, tokenizer_path: str, end_id: int, partiti
         if held:
             yield closed()
 
-    return rows.mapInArrow(shards, SHARDS)
+    return rows.mapInArrow(lean(shards), SHARDS)
 
 
 def write_token_shards(documents: DataFrame, tokenizer_path: str, end_id: int, partitions: int | None = None) -> DataFrame:
@@ -272,4 +273,4 @@ def read_documents(shards: DataFrame, with_ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     out = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return shards.join(F.broadcast(before), "part").select("doc_ids", "blob", "start_in_part", "before").mapInArrow(decode, out)
+    return shards.join(F.broadcast(before), "part").select("doc_ids", "blob", "start_in_part", "before").mapInArrow(lean(decode), out)

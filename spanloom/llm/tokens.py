@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 700_000  #: distinct words kept by one Python worker; a full cache starts anew
-SLICE_BYTES = 8 << 20  #: text handled in one step; a longer text is a step of its own
+CACHE_PIECES = 250_000  #: words met again, and half as many met once, kept by one Python worker; a full half starts anew
+SLICE_BYTES = 4 << 20  #: text handled in one step; a longer text is a step of its own
 
 _BLANK = "Ġ"  # how byte-level vocabularies spell the blank before a word
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -56,7 +56,8 @@ class TextEncoder:
         self.model = self.tokenizer.model
         self.keeps_blanks = self.tokenizer.normalizer is None
         self.plain = rf"^(?P<word>{_BLANK if self.keeps_blanks else '_'}?[{_LETTERS}]+)(?P<signs>[{_SIGNS}]*)$".replace("_?", "")
-        self.cache: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         """One text by the library alone."""
@@ -68,13 +69,19 @@ class TextEncoder:
         return array("I", [t.id for t in self.model.tokenize(_BLANK + spelled if blank else spelled)]).tobytes()
 
     def _looked_up(self, pieces: list[str]) -> list[bytes]:
-        cache, out = self.cache, []
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
+        known, fresh, out = self.known, self.fresh, []
+        if len(known) > CACHE_PIECES:
+            known.clear()
+        if len(fresh) > CACHE_PIECES // 2:
+            fresh.clear()
         for piece in pieces:
-            ids = cache.get(piece)
+            ids = known.get(piece)
             if ids is None:
-                ids = cache[piece] = self._piece(piece)
+                ids = fresh.get(piece)
+                if ids is None:
+                    ids = fresh[piece] = self._piece(piece)
+                else:
+                    known[piece] = ids
             out.append(ids)
         return out
 
