@@ -1,23 +1,35 @@
 """Licence detection: sparse TF-IDF cosine of header lines to templates, and inheritance down the directory tree.
 
-Lines that speak of licences are split into terms; a line is compared with every template by the cosine of
-their TF-IDF vectors, joined term by term, where document frequencies count the candidate lines of all files
-and the templates.  A file takes the template of its best line at ``LEAST_COSINE`` or more; a file without one
-inherits from the licence file in its own directory, or in the nearest directory above that has one.
+A line is split into terms and compared with every template by the cosine of their TF-IDF vectors, joined term by
+term.  Document frequencies count the templates alone, so a line's cosine does not depend on the other files; a term
+of no template has the weight of one that is in none, and words of any prose weigh least.  A file takes the template of its best line at
+``LEAST_COSINE`` or more; a file without one inherits from the licence file in its own directory, or in the nearest
+directory above that has one.
+
+Lines that cannot reach the threshold are left out first: by Cauchy and Schwarz, the terms that a line shares with a
+template must hold at least ``LEAST_COSINE`` squared of the template's squared length.  ``cue_pattern`` names enough
+terms of each template that the others hold less, so a line without any of them is below the threshold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+import math
+import re
+from collections import Counter, defaultdict
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.shared import written
 
 LEAST_COSINE = 0.5
-CUE = r"(?i)licen[sc]e|copyright|spdx|permission is hereby|redistribution and use|public domain|without warrant"
+LEAST_SHARED = 2  #: different terms that a line must share with a template, so that one word ("mit" in German) is none
 _TERM = "[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
+# Words of any prose, weighted as if every template had them and the last to be named in the cue pattern.
+_PROSE = set("a all and any are as at be by do for from have if in into is it no not of on only or other see shall that the then this to under with without you your".split())
 
-# SPDX identifiers and the wording by which a header or a licence file names each.
+# SPDX identifiers and the wordings by which a header or a licence file names each.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -31,41 +43,75 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
     "Unlicense": "This is free and unencumbered software released into the public domain, see the Unlicense.",
-    "Proprietary": "Copyright. All rights reserved.",
+    "Proprietary": ("Copyright. All rights reserved.", "All rights reserved."),
 }
+RESERVED = "Proprietary"  #: taken only where no other template is reached, as most licences reserve rights too
 
 
 def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
-def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
-    """(licence, text): one row a template."""
-    pairs = [F.lit(x) for pair in (templates or TEMPLATES).items() for x in pair]
-    return spark.range(0, 1, 1, 1).select(F.explode(F.create_map(*pairs)).alias("licence", "text"))
+def template_table(spark: SparkSession, templates: dict[str, str | tuple[str, ...]] | None = None) -> DataFrame:
+    """(licence, text): one row a template; a licence may have several."""
+    rows = [(name, text) for name, texts in (TEMPLATES if templates is None else templates).items() for text in ([texts] if isinstance(texts, str) else texts)]
+    return _constants(spark, rows, "licence string, text string")
+
+
+def _constants(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as a constant of the plan."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    fields = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    struct = ", ".join(c.replace(" ", ": ", 1) for c in schema.split(", "))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(fields), f"array<struct<{struct}>>")))
+
+
+def _vectors(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float, list[dict[str, float]]]:
+    """(weight of each term, weight of any other term, each template as a vector of length one)."""
+    counts = [Counter(re.findall(_TERM, text.lower())) for _, text in templates]
+    df = Counter(term for c in counts for term in c)
+    idf = {term: math.log((1 + len(counts)) / (1 + (len(counts) if term in _PROSE else n))) + 1 for term, n in df.items()}
+    vectors = [{term: n * idf[term] for term, n in c.items()} for c in counts]
+    sizes = [math.sqrt(sum(v * v for v in own.values())) for own in vectors]
+    return idf, math.log(1 + len(counts)) + 1, [{term: v / size for term, v in own.items()} for own, size in zip(vectors, sizes, strict=True)]
+
+
+def cue_pattern(vectors: list[dict[str, float]]) -> str:
+    """A pattern of terms, in lower case, that every text at ``LEAST_COSINE`` or more to one of the vectors matches."""
+    named = set()
+    for own in vectors:
+        room = LEAST_COSINE**2 - 1e-5  # cosines are rounded to six decimals
+        for term in sorted(own, key=lambda t: (t not in _PROSE, own[t], t)):
+            room -= own[term] ** 2
+            if room <= 0:
+                named.add(term)
+    begins = defaultdict(list)
+    for term in sorted(named):
+        begins[term[0]].append(re.escape(term[1:]))
+    return rf"(?<![a-z0-9])(?:{'|'.join(f'{c}(?:{"|".join(rest)})' for c, rest in begins.items())})(?![a-z0-9])" if named else "(?!)"
 
 
 def header_matches(files: DataFrame, templates: DataFrame) -> DataFrame:
-    """(key, line, licence, cosine): each candidate line's best template, ties by name; lines below the threshold are left out.
+    """(key, line, licence, cosine): each line's best template, ties by name; lines below the threshold are left out.
 
-    files: ``key`` and ``text``.  Templates are a fixed list and are broadcast.  The candidate lines are a table, so the
-    texts are read once.
+    files: ``key`` and ``text``.  Templates are a fixed list: their vectors are computed on the driver and broadcast.
+    The candidate lines are a table, so the texts are read once.
     """
-    lines = files.where(F.col("text").rlike(CUE)).select("key", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(F.col("words").rlike(CUE))
+    spark = files.sparkSession
+    named = [(r["licence"], r["text"]) for r in templates.where("licence IS NOT NULL AND text IS NOT NULL").select("licence", "text").collect()]
+    idf, other, vectors = _vectors(named)
+    cue = cue_pattern(vectors)
+    lines = files.where(F.lower("text").rlike(cue)).select("key", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(F.lower("words").rlike(cue))
     lines = written(lines, "licence-lines")
     tf = lines.select("key", "line", F.explode(_terms(F.col("words"))).alias("term")).groupBy("key", "line", "term").agg(F.count("*").alias("tf"))
-    own = templates.select("licence", F.explode(_terms(F.col("text"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("n")).unionByName(own.groupBy("term").agg(F.count("*").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
-    total = lines.agg(F.count("*").alias("lines")).crossJoin(templates.agg(F.count("*").alias("templates"))).select((F.col("lines") + F.col("templates")).alias("n"))  # one row
-    idf = df.crossJoin(F.broadcast(total)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    lined = tf.join(idf, "term").select("key", "line", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    named = own.join(idf, "term").select("licence", "term", (F.col("tf") * F.col("idf")).alias("v"))
-    named = named.withColumn("size", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("licence"))))
+    weights = _constants(spark, list(idf.items()), "term string, idf double")
+    entries = _constants(spark, [(k, named[k][0], term, v) for k, own in enumerate(vectors) for term, v in own.items()], "template int, licence string, term string, v double")
+    lined = tf.join(F.broadcast(weights), "term", "left").select("key", "line", "term", (F.col("tf") * F.coalesce("idf", F.when(F.col("term").isin(*sorted(_PROSE)), 1.0).otherwise(other))).alias("w"))
     norms = lined.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = lined.join(F.broadcast(named), "term").groupBy("key", "line", "licence", "size").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    cosines = dots.join(norms, ["key", "line"]).select("key", "line", "licence", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6).alias("cosine"))
-    best = cosines.groupBy("key", "line").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("best"))
-    return best.select("key", "line", "best.licence", (-F.col("best.less")).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
+    dots = lined.join(F.broadcast(entries), "term").groupBy("key", "line", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED)
+    cosines = dots.join(norms, ["key", "line"]).select("key", "line", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
+    best = cosines.groupBy("key", "line").agg(F.min(F.struct((F.col("licence") == RESERVED).alias("reserved"), (-F.col("cosine")).alias("less"), "licence")).alias("best"))
+    return best.select("key", "line", "best.licence", (-F.col("best.less")).alias("cosine"))
 
 
 def scan(files: DataFrame, templates: DataFrame | None = None, licence_file: str = r"(?i)(^|/)(LICEN[SC]E|COPYING|NOTICE)(\.[A-Za-z]+)?$") -> DataFrame:
@@ -78,7 +124,7 @@ def scan(files: DataFrame, templates: DataFrame | None = None, licence_file: str
     spark = files.sparkSession
     templates = template_table(spark) if templates is None else templates
     found = header_matches(files.select("key", "text"), templates)
-    own = found.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "line", "licence")).alias("best")).select("key", F.col("best.licence").alias("own_licence"), (-F.col("best.less")).alias("own_cosine"))
+    own = found.groupBy("key").agg(F.min(F.struct((F.col("licence") == RESERVED).alias("reserved"), (-F.col("cosine")).alias("less"), "line", "licence")).alias("best")).select("key", F.col("best.licence").alias("own_licence"), (-F.col("best.less")).alias("own_cosine"))
     placed = files.select("key", "path", F.regexp_replace("path", "[^/]*$", "").alias("dir")).join(own, "key", "left")
     holding = placed.where(F.col("own_licence").isNotNull() & F.col("path").rlike(licence_file)).groupBy("dir").agg(F.min(F.struct((-F.col("own_cosine")).alias("less"), "path", "own_licence")).alias("best"))
     holding = holding.select(F.col("dir").alias("above"), F.col("best.own_licence").alias("inherited_licence"), F.col("best.path").alias("inherited_from"))

@@ -184,6 +184,35 @@ def test_licences(spark):
     assert license_scan.scan(files.limit(0)).count() == 0
 
 
+PLANTED = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+
+
+def test_planted_licence_lines(spark):
+    """Each planted line is found whatever the other files are; rights reserved beside a licence do not replace it."""
+    rows = [(k, f"d{k}/LICENSE", f"some words\n{line}\nmore words") for k, line in enumerate(PLANTED)]
+    rows += [(k, f"e{k}/f.txt", "All rights reserved.") for k in range(100, 400)] + [(900, "g/f.txt", "All rights reserved.\nReleased under the MIT License."), (901, "d1/f.txt", "nothing")]
+    got = {r["key"]: (r["own_licence"], r["licence"]) for r in license_scan.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
+    assert [got[k][0] for k in range(5)] == list(PLANTED.values())
+    assert {got[k][0] for k in range(100, 400)} == {"Proprietary"}
+    assert got[900][0] == "MIT" and got[901] == (None, "Proprietary")
+
+
+def test_licence_cue_is_implied_by_the_threshold(spark):
+    """Without the cue pattern no further line is found."""
+    rng = random.Random(5)
+    texts = [t for texts in license_scan.TEMPLATES.values() for t in ([texts] if isinstance(texts, str) else texts)]
+    words = sorted({w for t in texts for w in t.split()}) + ["foo", "bar", "baz"]
+    lines = [" ".join(rng.sample(t.split(), rng.randint(1, len(t.split()))) + rng.choices(words, k=rng.randint(0, 4))) for t in texts for _ in range(60)]
+    files = spark.createDataFrame(list(enumerate(lines)), "key long, text string")
+    found = lambda: {(r["key"], r["licence"], r["cosine"]) for r in license_scan.header_matches(files, license_scan.template_table(spark)).collect()}
+    few, cue = found(), license_scan.cue_pattern
+    try:
+        license_scan.cue_pattern = lambda vectors: ""
+        assert found() == few and few
+    finally:
+        license_scan.cue_pattern = cue
+
+
 def test_secrets(spark):
     model = secret_scan.train(secret_scan.labelled_findings(spark, 3000))
     key = hashlib.sha1(b"k").hexdigest()
