@@ -200,9 +200,9 @@ def test_planted_licence_lines(spark):
 def test_licence_cue_is_implied_by_the_threshold(spark):
     """Without the cue pattern no further line is found."""
     rng = random.Random(5)
-    texts = [t for texts in license_scan.TEMPLATES.values() for t in ([texts] if isinstance(texts, str) else texts)]
+    texts = [t for _, t in license_scan.all_templates() if len(t.split()) < 40]
     words = sorted({w for t in texts for w in t.split()}) + ["foo", "bar", "baz"]
-    lines = [" ".join(rng.sample(t.split(), rng.randint(1, len(t.split()))) + rng.choices(words, k=rng.randint(0, 4))) for t in texts for _ in range(60)]
+    lines = [" ".join(rng.sample(t.split(), rng.randint(1, len(t.split()))) + rng.choices(words, k=rng.randint(0, 4))) for t in texts for _ in range(20)]
     files = spark.createDataFrame(list(enumerate(lines)), "key long, text string")
     found = lambda: {(r["key"], r["licence"], r["cosine"]) for r in license_scan.header_matches(files, license_scan.template_table(spark)).collect()}
     few, cue = found(), license_scan.cue_pattern
@@ -213,6 +213,28 @@ def test_licence_cue_is_implied_by_the_threshold(spark):
         license_scan.cue_pattern = cue
 
 
+MIT_BODY = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+GPL_HEADER = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+
+
+def test_licence_headers_and_texts(spark):
+    """SPDX tags, wrapped headers, and licence texts without a title line."""
+    text = lambda name: (license_scan.TEXTS / f"{name}.txt").read_text()
+    comment = lambda sign, words: "".join(f"{sign} {line}".rstrip() + "\n" for line in words.split("\n"))
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n'
+    names = sorted(p.stem for p in license_scan.TEXTS.glob("*.txt"))
+    rows = [
+        ("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"), ("// SPDX-License-Identifier: MIT", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0+ */", "GPL-2.0-or-later"), ("# SPDX-License-Identifier: Zlib", None),
+        (comment("#", GPL_HEADER) + "import os\n", "GPL-3.0-or-later"), ("/*\n" + comment(" *", "Copyright A. Person. All rights reserved.\n\n" + MIT_BODY) + " */\nint x;", "MIT"), (comment("//", apache) + "\nint x;", "Apache-2.0"), ("Some words before.\n\n" + MIT_BODY + "\n\nand after", "MIT"),
+        ("word " * 30_000 + "License: MIT\n\nThe person was free to sell a copy of the notice.\nThey use it without charge.", None), ("word " * 30_000 + "\nLicense: ISC", "ISC"),
+    ]
+    whole = [("d%d/LICENSE" % k, "Copyright (c) 2020 A. Person. All rights reserved.\n\n" + "\n".join(text(n).split("\n")[3 if len(text(n)) > 3000 else 0 :]), n) for k, n in enumerate(names)]
+    files = [(k, f"f{k}.py", t) for k, (t, _) in enumerate(rows)] + [(100 + k, p, t) for k, (p, t, _) in enumerate(whole)]
+    got = {r["key"]: r["own_licence"] for r in license_scan.scan(spark.createDataFrame(files, "key long, path string, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == [n for _, n in rows]
+    assert [got[100 + k] for k in range(len(whole))] == names
+
+
 def test_secrets(spark):
     model = secret_scan.train(secret_scan.labelled_findings(spark, 3000))
     key = hashlib.sha1(b"k").hexdigest()
