@@ -1,6 +1,7 @@
 """Secret scanning with a random forest that sorts out false findings.
 
-Candidates are runs of token characters with a digit in them.  The forest looks at a candidate's length, its
+Candidates are long runs of token characters with a digit in them, every quoted or assigned value beside a word that
+speaks of secrets, and passwords in addresses; of the latter two neither length nor alphabet decide.  The forest looks at a candidate's length, its
 transitions between kinds of character, how much of it common letter pairs of prose cover, the path it stands
 under, and the words beside it; it is trained from labelled findings.
 """
@@ -21,10 +22,16 @@ TREES, DEPTH, SEED = 24, 7, 11
 SECRET_FROM = 0.5  #: probability from which a finding counts as a secret
 CONTEXT = 40  #: characters looked at on either side
 _SET = "A-Za-z0-9_+/=-"
-CANDIDATE = rf"(?<![{_SET}])(?=[A-Za-z_+/=-]*+[0-9])[{_SET}]{{{LEAST_CHARS},}}+"
 # Words beside a secret, words beside things that look like one, paths that hold samples, frequent letter pairs.
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|apikey|access.?key|private.?key|credential|auth|bearer|client.?id|signature|session"
 OTHER_WORDS = "uuid|guid|commit|sha|md5|checksum|digest|version|serial|order|isbn|phone|card|account|example|sample|dummy|placeholder|test"
+_NAME = rf"(?i:{SECRET_WORDS})[A-Za-z0-9_.-]{{0,16}}"
+_ASSIGNED = rf"(?<=[=:\"'`]|[=:>][ \t]|[=:>][ \t]{{2}})(?<={_NAME}[\"'`\]]{{0,2}}[ \t]{{0,2}}[=:]{{0,2}}>?[ \t]{{0,2}}[\"'`]?)"
+_QUOTED = "(?<=[\"'`])[^\\s\"'`][^\\n\"'`]{0,200}+(?=[\"'`])"
+_BARE = "(?<![\"'`])[^\\s\"'`<>=:][^\\s\"'`<>]{0,400}(?<![,;.)}\\]])"
+_ADDRESS = r"(?<=:)(?<=://[^\s:@/]{0,40}:)[^\s@/]{1,200}+(?=@)"
+_RUN = rf"(?<![{_SET}])(?!(?:[A-Za-z0-9_-]{{0,24}}?){_NAME}=[^\s=])(?=[A-Za-z_+/=-]*+[0-9])[{_SET}]{{{LEAST_CHARS},}}+"
+CANDIDATE = rf"{_ADDRESS}|{_ASSIGNED}(?:{_QUOTED}|{_BARE})|{_RUN}"
 SAMPLE_PATHS = "test|spec|example|sample|fixture|mock|doc"
 LETTER_PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur"
 
@@ -62,13 +69,16 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_assigned": near.rlike(r"[=:]\s*[\"'`]?$").cast("double"),
         "f_quoted": (F.coalesce("before", F.lit("")).rlike("[\"'`]$") & F.coalesce("after", F.lit("")).rlike("^[\"'`]")).cast("double"),
         "f_groups": value.rlike(r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$").cast("double"),
+        "f_address": F.coalesce("before", F.lit("")).rlike(r"://[^\s:@/]*:$").cast("double"),
+        "f_plain": value.rlike(r"^[A-Za-z]?[a-z\u00df-\u00ff]*[.,;:!?]*$|^[A-Z_]+$| ").cast("double"),
+        "f_reference": value.rlike(r"^[$<{%(\[*]|^[A-Za-z_]+[.(\[][A-Za-z_]").cast("double"),
         "f_sample_path": F.lower(F.coalesce("path", F.lit(""))).rlike(SAMPLE_PATHS).cast("double"),
     }
     return found.withColumns(columns), list(columns)
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """Findings with labels by construction: keys and tokens in the places where they are written, and look-alikes."""
+    """Findings with labels by construction: keys and tokens in the places where they are written, and look-alikes; half as many again are assigned values."""
     i = F.col("id")
     pick = lambda seed, *options: F.element_at(F.array(*(F.lit(o) if isinstance(o, str) else o for o in options)), (F.pmod(F.xxhash64(F.lit(seed), i), F.lit(len(options))) + 1).cast("int"))
     sha, md5, b64 = F.sha1(i.cast("string")), F.md5(i.cast("string")), F.regexp_replace(F.base64(F.unhex(F.sha2(i.cast("string"), 256))), "=+$", "")
@@ -80,14 +90,29 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     bad_value = pick(1, digits, uuid, F.concat(word, F.substring(digits, 1, 3)), F.concat(F.lit("xxxxxxxxxxxxxxxx"), F.substring(digits, 1, 1)), F.concat(word, F.lit("-"), word, F.lit("2")), sha, F.concat(F.lit("2024-01-01T00-00-"), F.substring(digits, 1, 2)), F.concat(digits, F.lit("=="), digits))
     bad_before = pick(2, "the order of ", "commit ", "sha1 checksum ", "version ", "and the ", "account ", "example token ", "uuid = ")
     good = F.pmod(i, F.lit(2)) == 0
+    prefix = pick(11, "erinhe thon ", "erinhe thon ", "asanstestion it ", "mail6.example.com ")  # other words stand near secrets too
+    half = spark.range(rows, rows + rows // 2)
+    letters = F.regexp_replace(F.base64(F.unhex(F.sha2(i.cast("string"), 512))), "[^A-Za-z]", "")
+    some = F.substring(F.translate(b64, "+/", "@#"), 1, 5)
+    small = F.substring(F.regexp_replace(sha, "[0-9]", ""), 1, 3)
+    plain = pick(5, "required", "string", "null", "true", "thereof", "erinhe", "morning", "in", "der", "Theran", "None", "changed", "optional", "heitlich")
+    short_value = pick(6, F.concat(some, F.lit("&"), F.substring(digits, 1, 1), F.lit("x")), F.concat(pick(9, "thereof", "erinhe", "morning", "garden", "heitlich"), F.substring(digits, 1, 1), pick(10, "stone", "winter", "tion", "letter")), F.concat(some, F.lit("!"), F.substring(digits, 1, 4), F.lit("#"), small), F.substring(letters, 1, 20), F.substring(letters, 1, 12), F.concat(plain, F.substring(digits, 1, 3), F.lit("!")), F.concat(small, F.lit("S3cr"), some), F.concat(F.lit("p@ss"), small, F.substring(digits, 1, 2)))
+    plain_value = pick(6, plain, plain, F.concat(F.lit("${"), F.upper(plain), F.lit("}")), F.concat(F.lit("<"), plain, F.lit(">")), F.concat(F.lit("os.getenv("), plain, F.lit(")")), F.concat(plain, F.lit(" "), word), F.lit("********"), word)
+    beside = pick(7, 'password = "', "password: ", 'secret="', "api_key=", "passwd: ", 'token: "', "postgres://erin:", 'auth_token="')
+    close = F.when(beside.like('%"'), '" eran').when(beside.like("%//%"), "@theran/in").otherwise(" theran in")
+    secret = F.pmod(F.xxhash64(F.lit(8), i), F.lit(2)) == 0
+    assigned = half.select(
+        F.when(secret, short_value).otherwise(plain_value).alias("value"), F.concat(prefix, F.when(secret | ~beside.like("%//%"), beside).otherwise("session: ")).alias("before"),
+        F.when(secret | ~beside.like("%//%"), close).otherwise(" theran in").alias("after"), pick(4, "src/main/app", "config/prod", "web/page", "tests/unit", "notes").alias("path"), secret.cast("double").alias("label"),
+    )
     quoted = F.regexp_extract(good_before, "([\"'])$", 1)
     return spark.range(rows).select(
         F.when(good, good_value).otherwise(bad_value).alias("value"),
-        F.concat(F.lit("erinhe thon "), F.when(good, good_before).otherwise(bad_before)).alias("before"),
+        F.concat(prefix, F.when(good, good_before).otherwise(bad_before)).alias("before"),
         F.when(good, F.concat(quoted, F.lit(" eran"))).otherwise(F.lit(" theran in")).alias("after"),
         pick(4, "src/main/app", "config/prod", "web/page", "tests/unit", "notes").alias("path"),
         good.cast("double").alias("label"),
-    )
+    ).unionByName(assigned)
 
 
 def train(labelled: DataFrame) -> PipelineModel:

@@ -252,6 +252,16 @@ def test_secrets(spark):
     assert np.mean([r["label"] == r["prediction"] for r in scored]) > 0.95
 
 
+def test_secrets_of_any_length_and_alphabet(spark):
+    """Short values, values with signs or without digits, and passwords in addresses are masked; plain words are not."""
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    held = [('password = "%s" x', "Tr0ub4dor&3x"), ("password: %s", "hunter2secret"), ('secret="%s"', "p@ssw0rd!2024#long"), ("postgres://u:%s@h/db", "S3cr3tPass"), ("api_key=%s", "AbCdEfGhIjKlMnOpQrSt"), ("api_key=%s and", "AbCdEf12GhIj"), ('92@mail6.example.com token = "%s" de', "269b1cea0846965f2d3ecb5cdb87c0edc7a7a587")]
+    plain = ["the secret: it was told", 'password = "required"', "token: null", "password=${PASSWORD}", "author: someone"]
+    rows = list(enumerate([t % v for t, v in held] + plain))
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(documents(spark, rows), model).collect()}
+    assert got == dict(enumerate([t % "[SECRET]" for t, _ in held] + plain))
+
+
 def luhn(digits):
     total = 0
     for k, c in enumerate(reversed(digits)):
