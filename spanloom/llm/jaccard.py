@@ -1,8 +1,8 @@
 """Exact near-duplicate components: n-gram Jaccard join by token-combination prefixes.
 
 A document is its set of distinct ``SHINGLE``-word shingles, as 64-bit hashes (tokens); equal sets share one
-id.  Tokens are ordered rare first: those that an exact-by-count list of frequent tokens doesn't name, by hash,
-then the frequent ones by count.  Two sets with Jaccard similarity t or more share a token in the first
+id.  Tokens are ordered rare first: those that a list of frequent tokens doesn't name, by hash,
+then the frequent ones by count; the counts are lower bounds, as a token counts only where a task meets it twice within ``HELD_TOKENS``.  Two sets with Jaccard similarity t or more share a token in the first
 n - ceil(t n) + 1 tokens of each.  Prefixes are extended, so that similar sets whose
 prefixes are rare throughout share many tokens there, each indexed alone, and pairs that share fewer go.  If none is rare, both sets lie in their
 frequent tokens but for tokens that they don't share, and then share two frequent tokens that follow each other in both
