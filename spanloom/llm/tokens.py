@@ -4,12 +4,14 @@ Both kinds of vocabulary cut a text at white space, and a word from the signs af
 happens, so the ids of a text are the ids of its pieces in a row.  A batch of texts is cut with Arrow's
 string kernels, its distinct pieces are looked up in a bounded per-process cache, new ones are spelled by
 the ``tokenizers`` library's model, and the ids of the batch are gathered in one step.  Pieces other than
-plain words and signs, and texts with unusual blanks or marks, go through the library whole.
+plain words and signs, and texts with unusual blanks or marks or a vocabulary's added tokens, go through the
+library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -52,9 +54,10 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.keeps_blanks = self.tokenizer.normalizer is None
+        added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.odd = (_ODD_KEPT if self.keeps_blanks else _ODD) + (rf"|(?i:{added})" if added else "")
         self.plain = rf"^(?P<word>{_BLANK if self.keeps_blanks else '_'}?[{_LETTERS}]+)(?P<signs>[{_SIGNS}]*)$".replace("_?", "")
         self.known: dict[str, bytes] = {}
         self.fresh: dict[str, bytes] = {}
@@ -96,7 +99,7 @@ class TextEncoder:
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _ODD_KEPT if self.keeps_blanks else _ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         wholes = {i: np.frombuffer(self.whole(texts[i].as_py()), np.uint32) for i in np.flatnonzero(odd).tolist()}
         if wholes:
             texts = pc.if_else(pa.array(odd), "", texts)

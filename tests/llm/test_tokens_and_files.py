@@ -10,8 +10,11 @@ import pytest
 
 from spanloom.llm import jpeg, packing, repair
 from spanloom.llm.tokens import encoder
+from tokenizers import Tokenizer
 
 ODD = ["", None, "  a", "a  b", "a   b c", "a\n b", "a\n\nb ", "a\n\nb", "\n\nb", "\na\n", "a\n\n\nb", "a\n\n", "a ", " a", " ", "\n", "don't you'll we've", "naïve café é", "1234 12a34 ---- foo--bar", "<|endoftext|> hi", "a\x1cb c", "Ünï ÇA ßTest", "$$$ ###", "it's O'Neil 's", "日本語 テスト", "\ta\tb", "ǅ İstanbul", "a　b", "_foo_bar __", "end.\nThe next", "ªº µ", "word''s x'", "Ġab c", "plain words, again. Plain words!"]
+ADDED = ["<|endoftext|>", "x <|endoftext|> y", "in<|endoftext|>side", "<|startoftext|> a", "ab<|startoftext|>cd <|ENDOFTEXT|> <|endoftext |>", "  <|endoftext|>\n<|endoftext|><|startoftext|>"]
+ODD += ADDED
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
 DOCS = "doc_id long, text string, source string, part string"
 
@@ -22,11 +25,13 @@ def documents(spark, texts, ids=None):
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_ids_equal_the_library(path):
-    own = encoder(path)
-    for begin, ids, offsets in own.encode_batch(pa.array(ODD * 2)):
+    own, library = encoder(path), Tokenizer.from_file(path)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = ODD * 2 + [s.format(t) for t in added for s in ("{}", "a{}b", "a {} b", "some{0}{0} words")]
+    for begin, ids, offsets in own.encode_batch(pa.array(texts)):
         for k in range(len(offsets) - 1):
-            text = (ODD * 2)[begin + k]
-            assert ids[offsets[k] : offsets[k + 1]].tolist() == (own.tokenizer.encode(text, add_special_tokens=False).ids if text else []), text
+            text = texts[begin + k]
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == (library.encode(text, add_special_tokens=False).ids if text else []), text
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -42,6 +47,8 @@ def test_repair_round_trip_and_random_access(seed):
         own = ids[offsets[k] : offsets[k + 1]]
         a, b = sorted(rng.integers(0, len(own) + 3, 2))
         assert (shard.document(k, int(a), int(b)) == own[a:b]).all()
+    keys = [tuple(p) for k in range(len(counts)) for s in [shard.symbols[shard.begins[k] : shard.begins[k + 1]].tolist()] for p in zip(s, s[1:], strict=False)]
+    assert all(keys.count(p) < 2 * repair.MIN_COUNT for p in set(keys) if p[0] != p[1])  # no pair worth a rule is left; a a a counts twice
     if seed < 2:
         assert len(shard.left) and len(blob) < 4 * len(ids)
         assert shard.lengths[0] == 2
@@ -54,7 +61,7 @@ def test_shards_of_documents(spark, monkeypatch):
     texts = [*ODD, "same words here " * 40, "same words here " * 40]
     rows = documents(spark, texts, [*range(len(texts) - 1, 0, -1), None])
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"], r["ids"]) for r in repair.read_documents(repair.write_token_shards(rows, WORD, 2, 3)).collect() if r["doc_id"] is not None or r["start"] == 0)
-    at, own = 0, encoder(WORD).tokenizer
+    at, own = 0, Tokenizer.from_file(WORD)
     for (start, doc_id, n, crc, ids), (want_id, text) in zip(got, [(None, texts[-1]), *((len(texts) - 1 - k, texts[k]) for k in range(len(texts) - 2, -1, -1))], strict=True):
         want = [*(own.encode(text, add_special_tokens=False).ids if text else []), 2]
         assert (start, doc_id, n, ids) == (at, want_id, len(want), want)
@@ -79,7 +86,7 @@ def test_packing(spark):
     texts = [*ODD, *("w " * n for n in (5, 70, 200, 3, 64, 63, 127)), "w " * 70]
     packed = packing.pack(documents(spark, texts).repartition(5), BYTE, 0, 64, with_ids=True)
     rows = packed.collect()
-    own = encoder(BYTE).tokenizer
+    own = Tokenizer.from_file(BYTE)
     for k, text in enumerate(texts):
         want = [*(own.encode(text, add_special_tokens=False).ids if text else []), 0]
         pieces = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"], r["ids"]) for r in rows if r["doc_id"] == k)
