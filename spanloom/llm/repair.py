@@ -3,7 +3,8 @@
 Documents are put in ascending ``doc_id`` order, tokenised, and cut into shards.  In each shard frequent
 pairs of neighbouring symbols inside a document are replaced by nonterminals, round after round; a shard
 stores its rules, the expansion length of each rule, the symbols of each document and where they begin,
-so any range of a document's ids decodes without the rest.
+so any range of a document's ids decodes without the rest.  Rounds end when no pair is left that is worth a rule,
+or when the codes of two-byte symbols are used up (2^20 rules where ids alone take more than two bytes).
 
 Layout of a shard (little-endian): magic ``RPG1``; uint32 documents, rules, symbols, first nonterminal and
 bytes a symbol; uint32 left and right symbol and expansion length of each rule; uint32 first symbol of each
@@ -27,15 +28,16 @@ from spanloom.shared import bounded_batches, lean, written
 MAGIC = b"RPG1"
 SHARD_IDS = 1 << 20  #: a shard is closed once it holds so many ids; one document is never split
 MIN_COUNT = 12  #: a pair must occur so often in a shard to be worth a rule of 12 bytes
-MAX_ROUNDS = 10  #: rounds of replacement; a round's rules may build on those before
-LEAST_GAIN = 0.01  #: the rounds end when one shortens the shard by less
 _SLOTS = 1 << 16
+_SIEVE = 20  # bits of the slots that pairs are counted in before they are sorted
 _NONE = np.int32(2**31 - 1)
 
 
 def _frequent(keys: np.ndarray, inside: np.ndarray, most: int) -> np.ndarray:
     """The pairs worth a rule, most frequent first."""
-    ordered = np.sort(keys[inside])
+    keys = keys[inside]
+    at = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SIEVE)).astype(np.int64)
+    ordered = np.sort(keys[np.bincount(at, minlength=1 << _SIEVE)[at] >= MIN_COUNT])  # a slot with few holds no frequent pair
     if not len(ordered):
         return ordered
     begins = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
@@ -60,9 +62,7 @@ def compress(ids: np.ndarray, offsets: np.ndarray) -> bytes:
     room = (1 << 16) - base if base < (1 << 16) else (1 << 20)
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(MAX_ROUNDS):
-        if len(seq) < 2 or n_rules >= room:
-            break
+    while len(seq) > 1 and n_rules < room:
         keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         pairs = _frequent(keys, ~last[:-1], min(room - n_rules, _SLOTS // 8))
         pairs = pairs[np.sort(np.unique(_slot(pairs), return_index=True)[1])]  # one pair a slot; the others wait for the next round
@@ -82,15 +82,12 @@ def compress(ids: np.ndarray, offsets: np.ndarray) -> bytes:
         chosen = np.flatnonzero((ranks != _NONE) & (ranks < left) & (ranks < right))
         used, new = np.unique(ranks[chosen], return_inverse=True)
         rules.append(pairs[used])
-        before = len(seq)
         seq[chosen] = (base + n_rules + new).astype(np.uint32)
         last[chosen] = last[chosen + 1]
         keep = np.ones(len(seq), bool)
         keep[chosen + 1] = False
         seq, last = seq[keep], last[keep]
         n_rules += len(used)
-        if before - len(seq) < LEAST_GAIN * before:
-            break
     pairs = np.concatenate(rules) if rules else np.empty(0, np.uint64)
     left, right = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
     lengths = _expansion_lengths(left, right, base)
