@@ -1,8 +1,9 @@
 """Hierarchical residual packing of token pieces into sequences of a fixed length.
 
 Every input partition packs its own pieces by best fit, longest first, and emits bins that are nearly full.
-Underfull bins travel on as items of their fill: rounds of tasks of bounded size merge them by best fit
-again, each round over fewer tasks, until one task has seen all that is left or a round merges nothing.
+Underfull bins travel on as items of their fill: rounds of tasks merge them by best fit again, each round over
+fewer tasks but none of more than about ``BINS_PER_TASK`` bins, until one task has seen all that is left or a round
+merges hardly anything.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from spanloom.shared import bounded_batches, lean, written
 
 NEARLY_FULL = 0.995  #: a bin with this share of its room taken is emitted
 BINS_PER_TASK = 100_000  #: underfull bins that one task of a later round merges
-FAN_IN = 8  #: a round has so many times fewer tasks than the one before
+FAN_IN = 8  #: a round has at most so many times fewer tasks than the one before
+LEAST_MERGED = 0.002  #: the rounds end when one leaves all but this share of its bins
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, open boolean, fill int"
 
@@ -63,7 +65,7 @@ def local_bins(documents: DataFrame, tokenizer_path: str, end_id: int, length: i
     """Pieces of all documents, packed partition by partition.
 
     documents: ``doc_id`` and ``text``; further columns are ignored.  A null text is one piece with the end id alone;
-    repeated rows are packed each; an empty table has no pieces.
+    repeated rows are packed each, a null ``doc_id`` is kept; an empty table has no pieces.
     """
     bounded_batches(documents.sparkSession)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("fill", pa.int32())]
@@ -107,8 +109,8 @@ def local_bins(documents: DataFrame, tokenizer_path: str, end_id: int, length: i
     return documents.select("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(pack), PIECES + ", ids array<int>" * with_ids)
 
 
-def _merge_round(bins: DataFrame, tasks: int, length: int) -> DataFrame:
-    """One round: (bin, root, shift, fill) of the bins that each task has merged by best fit."""
+def _merge_round(bins: DataFrame, tasks: int, length: int, number: int) -> DataFrame:
+    """One round: (bin, root, shift, fill) of the bins that each task has merged by best fit; each round deals them anew."""
     schema = pa.schema([("bin", pa.int64()), ("root", pa.int64()), ("shift", pa.int64()), ("fill", pa.int32())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +127,7 @@ def _merge_round(bins: DataFrame, tasks: int, length: int) -> DataFrame:
         root[into[at_head]] = names[at_head]
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(root[into]), pa.array(places), pa.array(fills[into].astype(np.int32))], schema=schema)
 
-    return bins.select("bin", "fill").repartition(tasks, F.xxhash64("bin")).mapInArrow(lean(merge), "bin long, root long, shift long, fill int")
+    return bins.select("bin", "fill").repartition(tasks, F.xxhash64("bin", F.lit(number))).mapInArrow(lean(merge), "bin long, root long, shift long, fill int")
 
 
 def merged_bins(spark: SparkSession, open_bins: DataFrame, length: int) -> DataFrame:
@@ -134,15 +136,17 @@ def merged_bins(spark: SparkSession, open_bins: DataFrame, length: int) -> DataF
     mapping = current.select("bin", F.col("bin").alias("root"), F.lit(0).cast("long").alias("shift"))
     waiting = current.count()
     tasks = -(-waiting // BINS_PER_TASK)
+    number = 0
     while waiting > 1:
-        step = written(_merge_round(current, tasks, length), "merged-bins")
+        step, number = written(_merge_round(current, tasks, length, number), "merged-bins"), number + 1
         moved = step.select(F.col("bin").alias("root"), F.col("root").alias("to"), F.col("shift").alias("more"))
+        mapping = mapping if number == 1 else written(mapping, "bin-roots")  # a short plan however many rounds
         mapping = mapping.join(moved, "root", "left").select("bin", F.coalesce("to", "root").alias("root"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
         current = step.where((F.col("bin") == F.col("root")) & (F.col("fill") < NEARLY_FULL * length)).select("bin", "fill")
         left = current.count()
-        if tasks == 1 or left == waiting:
+        if tasks == 1 or waiting - left <= LEAST_MERGED * waiting:
             break
-        waiting, tasks = left, max(1, min(-(-tasks // FAN_IN), -(-left // BINS_PER_TASK)))
+        waiting, tasks = left, max(-(-tasks // FAN_IN), -(-left // BINS_PER_TASK))
     return mapping
 
 

@@ -82,9 +82,15 @@ def test_best_fit():
     assert packing.piece_lengths(5000, 2048) == [904, 2048, 2048] and packing.piece_lengths(4096, 2048) == [2048, 2048] and packing.piece_lengths(1, 2048) == [1]
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("settings", [{}, {"BINS_PER_TASK": 3, "FAN_IN": 2}, {"BINS_PER_TASK": 1, "FAN_IN": 3}])
+def test_packing(spark, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(packing, name, value)
     texts = [*ODD, *("w " * n for n in (5, 70, 200, 3, 64, 63, 127)), "w " * 70]
-    packed = packing.pack(documents(spark, texts).repartition(5), BYTE, 0, 64, with_ids=True)
+    rounds = []
+    merge = packing._merge_round
+    monkeypatch.setattr(packing, "_merge_round", lambda bins, tasks, *rest: rounds.append((bins.count(), tasks)) or merge(bins, tasks, *rest))
+    packed = packing.pack(documents(spark, [*texts, "no id"], [*range(len(texts)), None]).repartition(5), BYTE, 0, 64, with_ids=True)
     rows = packed.collect()
     own = Tokenizer.from_file(BYTE)
     for k, text in enumerate(texts):
@@ -95,7 +101,9 @@ def test_packing(spark):
     seqs = packing.sequences(packed).collect()
     assert all(len(s["ids"]) <= 64 for s in seqs)
     total = sum(r["length"] for r in rows)
-    assert sum(len(s["ids"]) for s in seqs) == total and len(seqs) <= -(-total // 64) + 3
+    assert sum(len(s["ids"]) for s in seqs) == total and len(seqs) <= -(-total // 64) + (12 if settings else 3)
+    assert all(tasks >= -(-n // packing.BINS_PER_TASK) for n, tasks in rounds) and (not settings or len(rounds) > 1)
+    assert [(r["length"], r["piece"]) for r in rows if r["doc_id"] is None] == [(3, 0)]
     for s in seqs:
         own_rows = sorted((r["offset"], r["length"]) for r in rows if r["sequence_id"] == s["sequence_id"])
         assert [o for o, _ in own_rows] == [sum(n for _, n in own_rows[:k]) for k in range(len(own_rows))]
