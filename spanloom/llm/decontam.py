@@ -4,6 +4,7 @@ An item of n characters may differ by ``ERROR_RATE`` * n edits.  It is split int
 have errors, so any occurrence within the budget holds one piece unchanged, shifted by no more than the budget.
 Exact piece hits come from one Aho-Corasick pass over a document; the item is then compared with the window
 around the hit by Myers' bit-parallel edit distance, a machine-integer column for each character of the window.
+An item of fewer than ``FUZZY_FROM`` characters has no budget: it is one piece and must occur as it is, as whole words.
 
 Items and documents are compared in lower case with white space collapsed to single blanks.
 """
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.shared import bounded_batches, lean
+from spanloom.shared import bounded_batches, lean, written
 
 ERROR_RATE = 0.08  #: edits allowed for each character of an item
-LEAST_CHARS = 24  #: shorter items say too little to count as leaked
+FUZZY_FROM = 24  #: characters from which an item may differ at all
 ITEMS_PER_BLOCK = 4000  #: items searched for in one pass over the documents; more items, more passes
 
 
@@ -29,7 +30,7 @@ def normalised(text: str | None) -> str:
 
 
 def budget(n_chars: int) -> int:
-    return int(n_chars * ERROR_RATE)
+    return int(n_chars * ERROR_RATE) if n_chars >= FUZZY_FROM else 0
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -113,7 +114,8 @@ class Searcher:
         places: dict[int, set[int]] = {}
         for end, (size, own) in self.automaton.iter(text):
             for k, offset in own:
-                places.setdefault(k, set()).add(end + 1 - size - offset)
+                if size >= FUZZY_FROM or len(self.items[k][1].item) >= FUZZY_FROM or _apart(text, end + 1 - size, end + 1):
+                    places.setdefault(k, set()).add(end + 1 - size - offset)
         out = []
         for k, begins in sorted(places.items()):
             item_id, pattern = self.items[k]
@@ -134,28 +136,35 @@ class Searcher:
         return out
 
 
-@lru_cache(4)
+def _apart(text: str, start: int, stop: int) -> bool:
+    """Whether no word goes on over the ends of text[start:stop]."""
+    joined = lambda k: 0 < k < len(text) and text[k - 1].isalnum() and text[k].isalnum()
+    return not joined(start) and not joined(stop)
+
+
+@lru_cache(1)
 def _searcher(items: tuple[tuple[int, str], ...]) -> Searcher:
     return Searcher(items)
 
 
 def _blocks(items: DataFrame) -> list[tuple[tuple[int, str], ...]]:
-    """The items in blocks of ``ITEMS_PER_BLOCK``: driver and tasks hold one block of texts at a time."""
+    """The items in blocks of about ``ITEMS_PER_BLOCK``, one after another."""
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     n = -(-rows.count() // ITEMS_PER_BLOCK)
     for k in range(n):
         own = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         cut = sorted((r["item_id"], normalised(r["text"])) for r in own.toLocalIterator())
-        yield tuple(x for x in cut if len(x[1]) >= LEAST_CHARS)
+        yield tuple(x for x in cut if x[1])
 
 
 def find_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, start, stop) for every document and item within the item's budget.
 
     documents: ``doc_id`` and ``text``, items: ``item_id`` and ``text``; further columns are ignored.  Rows without a
-    text, and items of fewer than ``LEAST_CHARS`` characters, find nothing.  start and stop are in the normalised
-    document, of the best place, the first of equals.  Repeated documents are reported each; items that share an id
-    are searched for each.
+    text, and items without a character, find nothing.  start and stop are in the normalised document, of the best
+    place, the first of equals.  Repeated documents are reported each; items that share an id are searched for each.
+    What one block of items finds is a table in the shared folder before the next block is read, so driver and tasks
+    hold one block; a single block needs no table.
     """
     bounded_batches(documents.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -171,13 +180,16 @@ def find_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         return search
 
-    out = None
+    kind = "doc_id long, item_id long, distance int, start long, stop long"
+    out = held = None
     for block in _blocks(items):
-        own = rows.mapInArrow(lean(searching(block)), "doc_id long, item_id long, distance int, start long, stop long")
-        out = own if out is None else out.unionByName(own)
-    if out is None:
-        out = rows.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"))
-    return out
+        if held is not None:
+            own = written(held, "found-items")
+            out = own if out is None else out.unionByName(own)
+        held = rows.mapInArrow(lean(searching(block)), kind)
+    if held is None:
+        return documents.sparkSession.createDataFrame([], kind)
+    return held if out is None else out.unionByName(written(held, "found-items"))
 
 
 def without_items(documents: DataFrame, items: DataFrame) -> DataFrame:

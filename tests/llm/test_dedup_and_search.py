@@ -168,11 +168,11 @@ def test_leaked_items(spark):
     item = "Some passage of a benchmark with quite a few words in it, number 17 of many."
     edited = item.replace("benchmark", "bencmark").replace("quite", "quitee")
     far = item.replace("passage", "xxxxxxx").replace("benchmark", "yyyyyyyyy")
-    items = spark.createDataFrame([(1, item, "q"), (2, "too short", "q"), (3, None, "q"), (None, item, "q"), (4, "", "q")], "item_id long, text string, doc_id string")
-    docs = documents(spark, [(1, "pre " + item.upper() + " post"), (2, "a\n" + edited.replace(" ", "\n ")), (3, far), (4, None), (5, ""), (6, item[:40]), (2, item + " " + edited), (None, item)])
+    items = spark.createDataFrame([(1, item, "q"), (2, "too short", "q"), (5, "ab.", "q"), (3, None, "q"), (None, item, "q"), (4, "", "q")], "item_id long, text string, doc_id string")
+    docs = documents(spark, [(1, "pre " + item.upper() + " post"), (2, "a\n" + edited.replace(" ", "\n ")), (3, far), (4, None), (5, ""), (6, item[:40]), (2, item + " " + edited), (None, item), (7, "it is Too\n short, though"), (8, "it is too shorter; tab."), (9, "an AB. here")])
     got = Counter((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.find_items(docs, items).collect())
-    assert got == Counter({(1, 1, 0): 1, (2, 1, 2): 1, (2, 1, 0): 1, (None, 1, 0): 1})
-    assert {r["doc_id"] for r in decontam.without_items(docs, items).collect()} == {3, 4, 5, 6}
+    assert got == Counter({(1, 1, 0): 1, (2, 1, 2): 1, (2, 1, 0): 1, (None, 1, 0): 1, (7, 2, 0): 1, (9, 5, 0): 1})
+    assert {r["doc_id"] for r in decontam.without_items(docs, items).collect()} == {3, 4, 5, 6, 8}
     assert decontam.find_items(docs.limit(0), items).count() == 0 and decontam.find_items(docs, items.limit(0)).count() == 0
 
 
@@ -318,3 +318,38 @@ def test_quality_of_odd_tables(spark):
         rows = quality.score(docs, quality.train(docs, own)).collect()
         assert len(rows) == 5 and all(0 <= r["quality_score"] <= 1 and r["predicted"] == int(r["quality_score"] >= 0.3) for r in rows)
     assert quality.score(docs.limit(0), quality.train(docs, labels)).count() == 0
+
+
+@pytest.mark.parametrize("per_block", [4000, 3])
+def test_leaked_items_against_all_windows(spark, monkeypatch, per_block):
+    """Every item within its budget of some stretch of a document is found, and no other, whatever the blocks."""
+    monkeypatch.setattr(decontam, "ITEMS_PER_BLOCK", per_block)
+    own = random.Random(9)
+    words = ["ab", "abc", "cab", "bca", "b", "acb"]
+    items = [" ".join(own.choice(words) for _ in range(n)) for n in (3, 5, 9, 12, 14, 20, 25)]
+
+    def edited(text, edits):
+        text = list(text)
+        for _ in range(edits):
+            k = own.randrange(len(text))
+            text[k : k + 1] = own.choice(([], ["a", "b"], ["c"], [text[k], "b"]))
+        return "".join(text)
+
+    docs = [" ".join([" ".join(own.choice(words) for _ in range(own.randint(0, 30))), edited(own.choice(items), own.randint(0, 7)), own.choice(["", "xyz"])]) for _ in range(14)]
+    want = set()
+    for d, text in enumerate(docs):
+        text = decontam.normalised(text)
+        for k, item in enumerate(items):
+            n, most = len(item), decontam.budget(len(item))
+            if n < decontam.FUZZY_FROM:
+                places = [m.span() for m in re.finditer(rf"(?={re.escape(item)})", text)]
+                ends = [(a, a + n) for a, _ in places]
+                if any(not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum()) for a, b in ends):
+                    want.add((d, k, 0))
+                continue
+            best = min((edit_distance(item, text[a:b]) for a in range(len(text)) for b in range(a + n - most, min(len(text), a + n + most) + 1)), default=n)
+            if best <= most:
+                want.add((d, k, best))
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.find_items(documents(spark, enumerate(docs)), table).collect())
+    assert set(got) == want and max(got.values()) == 1
