@@ -14,14 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.shared import bounded_batches, lean
+from spanloom.shared import bounded_batches, lean, written
 
 ROWS_PER_CLASS = 2000  #: labelled rows of each class that training reads, those with the smallest hash of doc_id
-BLOCKS_PER_ROW = 12  #: blocks of one labelled row that go into a dictionary, spread evenly over the text
+BYTES_PER_CLASS = 16 << 20  #: text of these rows that is read: whole rows in that order, as long as their bytes are no more in all
 BLOCK = 2048  #: bytes compressed at once
 DICTIONARY = 64 << 10  #: bytes of a dictionary
 LEVEL = 3
@@ -105,7 +105,7 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> CompressionClassifier:
-    """Fit on at most ``ROWS_PER_CLASS`` labelled rows of each class.
+    """Fit on at most ``ROWS_PER_CLASS`` whole labelled rows of each class, of at most ``BYTES_PER_CLASS`` bytes in all.
 
     One half of the rows builds the dictionaries, the other fits the curve, weighted back to the shares of the
     classes among all learnable labels.  Without rows of one class the score is the share of good labels, 0.5
@@ -119,16 +119,16 @@ def train(documents: DataFrame, labels: DataFrame) -> CompressionClassifier:
         own = rows.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS_PER_CLASS)
         picked = own if picked is None else picked.unionByName(own)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL AND text != ''")
-    sample = texts.join(F.broadcast(picked), "doc_id").select("text", "quality", (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)) == 0).alias("builds"))
+    read = texts.join(F.broadcast(picked), "doc_id").withColumn("read", F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id", "text")))
+    sample = written(read.where(F.col("read") <= BYTES_PER_CLASS).select("text", "quality", (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)) == 0).alias("builds")), "labelled-sample")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"quality": [], "block": []}
             for text, quality in zip(batch.column("text").to_pylist(), batch.column("quality").to_pylist(), strict=True):
                 own = blocks(text.encode())
-                chosen = [own[k * len(own) // BLOCKS_PER_ROW] for k in range(BLOCKS_PER_ROW)] if len(own) > BLOCKS_PER_ROW else own
-                out["quality"] += [quality] * len(chosen)
-                out["block"] += chosen
+                out["quality"] += [quality] * len(own)
+                out["block"] += own
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("quality", pa.int32()), ("block", pa.binary())]))
 
     built = sample.where("builds").mapInArrow(lean(cut), "quality int, block binary").collect()

@@ -353,3 +353,29 @@ def test_leaked_items_against_all_windows(spark, monkeypatch, per_block):
     table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = Counter((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.find_items(documents(spark, enumerate(docs)), table).collect())
     assert set(got) == want and max(got.values()) == 1
+
+
+def test_sizes_and_scores_by_hand(spark):
+    """Features recomputed from plain compressed sizes; the score is their logistic; whole labelled rows up to the bound are read."""
+    import zstandard
+
+    good, bad = b"the cat sat on the mat and the dog " * 60, b"zx qy zx qy buy buy now cheap cheap " * 60
+    sizes, text = quality.Sizes(good, bad), "the cat and the dog sat on the mat. " * 200
+    raw, got = text.encode(), quality.Sizes(good, bad).features(text)
+    plain = []
+    for d in (good, bad):
+        compress = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False).compress
+        plain.append(sum(len(compress(raw[k : k + quality.BLOCK])) - 9 for k in range(0, len(raw), quality.BLOCK)))
+    assert got[0] == pytest.approx((plain[1] - plain[0]) / len(raw), abs=0.002) and got[0] > 0 and got[1] == pytest.approx(min(plain) / len(raw), abs=0.002)
+    model = quality.CompressionClassifier(good, bad, tuple(0.1 * k for k in range(len(quality._design(np.zeros((1, 3)))[0]))))
+    logit = float((quality._design(np.array([sizes.features(text)])) @ np.array(model.curve))[0])
+    assert model.score_batch([text], sizes)[0] == pytest.approx(1 / (1 + np.exp(-logit)))
+
+
+def test_whole_labelled_rows_up_to_the_bound(spark, monkeypatch):
+    docs = documents(spark, [(k, f"{'good' if k % 2 else 'poor'} words {k} " * 500) for k in range(40)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "BYTES_PER_CLASS", 30_000)
+    few = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "BYTES_PER_CLASS", 1 << 24)
+    assert len(few.good) < len(quality.train(docs, labels).good)
