@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import components
+from spanloom.llm.spans import row_key
 from spanloom.llm.superkmer import _ODD, Words, _mixed, _run_hashes, _steps
 from spanloom.llm.tokens import ragged
 from spanloom.shared import bounded_batches, give_back, lean, written
@@ -38,7 +39,6 @@ FLUSH_KEYS = 1 << 20  #: index entries that a task gathers before it sends them
 PAIRED_GROUP = 32  #: groups of one key up to this size count the keys that two sets share; larger ones are stars
 EXTENSION = 8  #: prefixes are extended by one token for each so many of the set
 TASK_TOKENS = 1 << 20  #: tokens of the sets compared in one task, about; a larger candidate component is compared by pairs of blocks of half as many
-BROADCAST_ROWS = 1 << 19  #: candidate sets that are broadcast to the texts at most, 12 MB of ids; more are joined by a shuffle
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -211,12 +211,12 @@ def similar(tokens: np.ndarray, offsets: np.ndarray, t: Fraction) -> tuple[np.nd
     return np.arange(len(sizes)), np.array([find(k) for k in range(len(sizes))], np.int64)
 
 
-_PROFILE = "doc_id long, n long, id long, token long, times long"
+_PROFILE = "doc_id long, k long, n long, id long, token long, times long"
 
 
 def _profile(documents: DataFrame) -> DataFrame:
     """Each document's set size and id, and, in rows with a token, how often a task has met it, if more than once."""
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "id", "token", "times")])
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "k", "n", "id", "token", "times")])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer, n_held, seen = [], 0, set()
@@ -229,14 +229,14 @@ def _profile(documents: DataFrame) -> DataFrame:
             tokens, times = held[begins[often]].view(np.int64), times[often]
             for k in range(0, len(tokens), 50_000):
                 empty = pa.nulls(len(tokens[k : k + 50_000]), pa.int64())
-                yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(tokens[k : k + 50_000]), pa.array(times[k : k + 50_000])], schema=schema)
+                yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(tokens[k : k + 50_000]), pa.array(times[k : k + 50_000])], schema=schema)
 
         for batch in batches:
             for begin, raw, offsets in _steps(batch.column("text")):
                 tokens, own = token_sets(raw, offsets)
                 ids = set_ids(tokens, own)
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, n), pa.array(np.diff(own)), pa.array(ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, n), batch.column("k").slice(begin, n), pa.array(np.diff(own)), pa.array(ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
                 fresh = _fresh(ids, seen)
                 buffer.append(tokens[ragged(own[:-1][fresh], np.diff(own)[fresh])])
                 n_held += len(buffer[-1])
@@ -326,10 +326,10 @@ def _candidate_links(index: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _verified_links(documents: DataFrame, candidates: DataFrame, t: Fraction) -> DataFrame:
-    """Stars of similar sets. candidates: (doc_id, id, n, root): one document for each set of a candidate component.
+    """Stars of similar sets. candidates: (k, id, n, root): one row's key for each set of a candidate component.
 
     Small components share tasks; a component of more than ``TASK_TOKENS`` tokens is cut into blocks, and every pair of
-    blocks is a task.
+    blocks is a task.  Texts and keys meet by a merge join at every size; of equal rows a task compares one.
     """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     sizes = candidates.groupBy("root").agg(F.sum("n").alias("tokens"))
@@ -339,9 +339,9 @@ def _verified_links(documents: DataFrame, candidates: DataFrame, t: Fraction) ->
     placed = candidates.join(sizes, "root").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least("b", j), F.greatest("b", j)))
     tasks = F.when(F.col("blocks") == 1, F.array(F.pmod(F.xxhash64("root"), F.lit(groups)))).otherwise(pairs)
-    placed = placed.select("doc_id", "id", F.explode(tasks).alias("task"))
-    small = placed.count() <= BROADCAST_ROWS
-    rows = documents.where("text IS NOT NULL").join(F.broadcast(placed) if small else placed, "doc_id").select("task", "id", "text")
+    placed = placed.select("k", "id", F.explode(tasks).alias("task"))
+    rows = documents.where("text IS NOT NULL").join(placed.hint("merge"), "k").select("task", "id", "text").repartition("task")
+    rows = rows.groupBy("task", "id").agg(F.first("text").alias("text"))
 
     def compared(key: tuple, table: pa.Table) -> pa.Table:
         tokens, sizes, ids = [], [], []
@@ -350,7 +350,7 @@ def _verified_links(documents: DataFrame, candidates: DataFrame, t: Fraction) ->
         for begin, raw, offsets in _steps(column):
             own_tokens, own = token_sets(raw, offsets)
             found = set_ids(own_tokens, own)
-            meant = np.flatnonzero(found == wanted[begin : begin + len(found)])  # an id may name rows of other texts too
+            meant = np.flatnonzero(found == wanted[begin : begin + len(found)])  # two texts may have one key
             tokens.append(own_tokens[ragged(own[meant], np.diff(own)[meant])])
             sizes.append(np.diff(own)[meant])
             ids.append(found[meant])
@@ -364,44 +364,51 @@ def _verified_links(documents: DataFrame, candidates: DataFrame, t: Fraction) ->
 
 
 def near_duplicates(documents: DataFrame, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
-    """(doc_id, n_shingles, set_id, group_id, component_id) of every document.
+    """(doc_id, row_key, n_shingles, set_id, group_id, component_id) of every document.
 
     Two documents are linked when the Jaccard similarity of their sets of five-word shingles, A to Z in lower case,
     is ``threshold`` (three quarters at least) or more; component_id is the least doc_id reachable by links, group_id the
     same component by set id.  A null text, or one without words, has an empty set, is linked with nothing and keeps
-    its own doc_id.  Rows without a doc_id take part like others and give no component_id of their own; repeated rows
-    are linked by their equal sets.  Further columns are ignored; an empty table gives no rows.
+    its own doc_id.  Rows without a doc_id take part like others, also as links between others, and give no component_id
+    of their own; repeated rows are linked by their equal sets.  row_key is a hash of id and text.  Further columns are
+    ignored; an empty table gives no rows.
     """
     if not Fraction(3, 4) <= threshold <= 1:
         raise ValueError("the combinations are proven for thresholds of three quarters and more")
     spark = documents.sparkSession
     bounded_batches(spark)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", row_key(F.col("doc_id"), F.col("text")))
     profile = written(_profile(rows), "set-profile")
-    sets = profile.where("id IS NOT NULL").select("doc_id", "n", "id")
+    sets = profile.where("id IS NOT NULL").select("doc_id", "k", "n", "id")
     frequent, rank = _frequent_list(profile)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = written(_candidate_links(_index(rows, frequent, rank, threshold, buckets), threshold), "candidate-links")
     near = components(links)
-    first = sets.where("id != 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    candidates = written(first.where("doc_id IS NOT NULL").join(near, F.col("id") == F.col("node")).select("doc_id", "id", "n", "root"), "candidate-sets")
+    first = sets.where("id != 0").groupBy("id").agg(F.min("k").alias("k"), F.first("n").alias("n"))
+    candidates = written(first.join(near, F.col("id") == F.col("node")).select("k", "id", "n", "root"), "candidate-sets")
     found = components(written(_verified_links(rows, candidates, threshold), "verified-links"))
-    grouped = sets.join(found, F.col("id") == F.col("node"), "left").select("doc_id", "n", "id", F.coalesce("root", "id").alias("group_id"))
+    grouped = sets.join(found, F.col("id") == F.col("node"), "left").select("doc_id", "k", "n", "id", F.coalesce("root", "id").alias("group_id"))
     grouped = written(grouped, "set-groups")
     least = grouped.where("group_id != 0").groupBy("group_id").agg(F.min("doc_id").alias("least"))
     joined = grouped.join(least, "group_id", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("set_id"), "group_id", F.when(F.col("group_id") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return joined.select("doc_id", F.col("k").alias("row_key"), F.col("n").alias("n_shingles"), F.col("id").alias("set_id"), "group_id", F.when(F.col("group_id") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
-    """The documents, all columns, of which each component keeps the one with the least doc_id; repeated rows of it leave one.
+    """The documents, all columns, of which each component keeps one row: of those with the least doc_id (null last) that with the least key of id and text.
 
-    Documents without words stay; so does a component whose rows all lack a doc_id.
+    Rows are told apart by id and text, so an id with several texts loses only those in another row's component; of
+    equal rows of a component one stays.  Documents without words stay.
     """
-    found = near_duplicates(documents, threshold)
-    dropped = found.where("doc_id IS NOT NULL AND doc_id != component_id").select("doc_id").distinct()
-    kept = documents.join(dropped, "doc_id", "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    found = written(near_duplicates(documents, threshold).where("group_id != 0").groupBy("group_id", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "component-rows")
+    best = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("best"))
+    judged = found.join(best, "group_id").select("row_key", "rows", (F.col("row_key") == F.col("best.row_key")).alias("stays"))
+    key = "_row_key"
+    while key in documents.columns:
+        key = "_" + key
+    keyed = documents.withColumn(key, row_key(F.col("doc_id").cast("long"), F.col("text")))
+    kept = keyed.join(judged.where("NOT stays").select(F.col("row_key").alias(key)), key, "left_anti")
+    repeated = judged.where("stays AND rows > 1").select(F.col("row_key").alias(key))
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -102,6 +102,15 @@ def test_near_duplicates_of_odd_rows(spark):
     assert got == Counter({(None, 1): 1, (1, 1): 3, (None, None): 1})
     assert Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(documents(spark, rows)).collect())[1, "a b c d e f"] == 1
     assert jaccard.near_duplicates(documents(spark, [])).count() == 0
+    two = [(1, "a b c d e f g"), (5, "a b c d e f g"), (5, "quite another text of its own here"), (None, "quite another text of its own here"), (5, ""), (None, "x y z q r s"), (None, "x y z q r s")]
+    left = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(documents(spark, two)).collect())
+    assert left == Counter({(1, "a b c d e f g"): 1, (5, "quite another text of its own here"): 1, (5, ""): 1, (None, "x y z q r s"): 1})
+    w = sentence(60).split()
+    bridge = [(3, " ".join(w)), (None, " ".join([*w[:50], "m1", *w[51:]])), (9, " ".join([*w[:48], "m2", "m1", *w[51:]]))]
+    bridge[2] = (9, " ".join([*w[:10], "m3", *w[11:50], "m1", *w[51:]]))
+    linked = {a: [b for b in range(3) if 100 * len(shingles(bridge[a][1]) & shingles(bridge[b][1])) >= 75 * len(shingles(bridge[a][1]) | shingles(bridge[b][1]))] for a in range(3)}
+    assert linked == {0: [0, 1], 1: [0, 1, 2], 2: [1, 2]}
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(documents(spark, bridge)).collect()} == {(3, 3), (None, 3), (9, 3)}
     with pytest.raises(ValueError):
         jaccard.near_duplicates(documents(spark, rows), Fraction(1, 2))
 
