@@ -6,20 +6,24 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWNED: list[tuple[SparkSession, str]] = []
+_PATHS: dict[int, str] = {}  # of the tables that written() gave, while they are held
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only on a local master without the setting (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="spanloom-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -47,10 +51,13 @@ def table_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a table of :func:`table_path` once nothing reads it any more."""
-    _drop(spark, path)
-    _OWNED[:] = [x for x in _OWNED if x[1] != path]
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`written` that nothing reads any more."""
+    for df in tables:
+        path = _PATHS.pop(id(df), None)
+        if path:
+            _drop(df.sparkSession, path)
+            _OWNED[:] = [x for x in _OWNED if x[1] != path]
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -58,7 +65,10 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(table)] = path
+    weakref.finalize(table, _PATHS.pop, id(table), None)
+    return table
 
 
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:

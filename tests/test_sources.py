@@ -102,3 +102,20 @@ def test_ingest_replaces_documents(spark, tmp_path):
 def test_windows(spark):
     events = spark.createDataFrame([("2024-01-01 10:00:00", "a", 1.0), ("2024-01-01 23:00:00", "a", 2.0), ("2024-01-02 00:00:00", "a", 4.0)], "t string, event_type string, value double").withColumn("ts", F.to_timestamp("t"))
     assert sorted((r["events"], r["total"]) for r in windowed_costs(events).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_shared_tables(spark):
+    from types import SimpleNamespace
+
+    from spanloom import shared
+
+    table = shared.written(spark.range(5).toDF("id"), "some")
+    path = shared._PATHS[id(table)]
+    assert table.count() == 5
+    shared.discard(table)
+    assert id(table) not in shared._PATHS and all(p != path for _, p in shared._OWNED)
+    with pytest.raises(Exception, match="(?i)not.?exist|not found|FAILED_READ"):
+        table.count()
+    elsewhere = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.work_dir(elsewhere)
