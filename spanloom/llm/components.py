@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.shared import written
+from spanloom.shared import discard, written
 
 MAX_ROUNDS = 60  #: far above the few rounds, logarithmic in the nodes, that stars take
 
@@ -26,13 +26,14 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link; the root is its component's least node.  Self-links don't count.
 
     Hubs are met by joins on aggregated minima, so no node's links are gathered; each round is a table in the
-    shared folder.
+    shared folder, removed when the next one is written.
     """
     a, b = (F.col(c) for c in links.columns[:2])
     edges = written(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "stars")
     seen = None
     for _ in range(MAX_ROUNDS):
-        edges = written(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, written(_small_star(_large_star(edges)), "stars")
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

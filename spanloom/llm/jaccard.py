@@ -29,7 +29,7 @@ from spanloom.llm.components import components
 from spanloom.llm.spans import row_key
 from spanloom.llm.superkmer import _ODD, Words, _mixed, _run_hashes, _steps
 from spanloom.llm.tokens import ragged
-from spanloom.shared import bounded_batches, give_back, lean, written
+from spanloom.shared import bounded_batches, discard, give_back, lean, written
 
 SHINGLE = 5
 FREQUENT_TOKENS = 1 << 18  #: tokens on the broadcast list of frequent ones at most, 4 MB: the most frequent
@@ -384,11 +384,15 @@ def near_duplicates(documents: DataFrame, threshold: Fraction = Fraction(3, 4))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = written(_candidate_links(_index(rows, frequent, rank, threshold, buckets), threshold), "candidate-links")
     near = components(links)
+    discard(links)
     first = sets.where("id != 0").groupBy("id").agg(F.min("k").alias("k"), F.first("n").alias("n"))
     candidates = written(first.join(near, F.col("id") == F.col("node")).select("k", "id", "n", "root"), "candidate-sets")
-    found = components(written(_verified_links(rows, candidates, threshold), "verified-links"))
+    verified = written(_verified_links(rows, candidates, threshold), "verified-links")
+    found = components(verified)
+    discard(verified, candidates)
     grouped = sets.join(found, F.col("id") == F.col("node"), "left").select("doc_id", "k", "n", "id", F.coalesce("root", "id").alias("group_id"))
     grouped = written(grouped, "set-groups")
+    discard(profile)
     least = grouped.where("group_id != 0").groupBy("group_id").agg(F.min("doc_id").alias("least"))
     joined = grouped.join(least, "group_id", "left")
     return joined.select("doc_id", F.col("k").alias("row_key"), F.col("n").alias("n_shingles"), F.col("id").alias("set_id"), "group_id", F.when(F.col("group_id") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

@@ -140,8 +140,8 @@ def merged_bins(spark: SparkSession, open_bins: DataFrame, length: int) -> DataF
     while waiting > 1:
         step, number = written(_merge_round(current, tasks, length, number), "merged-bins"), number + 1
         moved = step.select(F.col("bin").alias("root"), F.col("root").alias("to"), F.col("shift").alias("more"))
-        mapping = mapping if number == 1 else written(mapping, "bin-roots")  # a short plan however many rounds
         mapping = mapping.join(moved, "root", "left").select("bin", F.coalesce("to", "root").alias("root"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
+        mapping = written(mapping, "bin-roots")  # a short plan however many rounds
         current = step.where((F.col("bin") == F.col("root")) & (F.col("fill") < NEARLY_FULL * length)).select("bin", "fill")
         left = current.count()
         if tasks == 1 or waiting - left <= LEAST_MERGED * waiting:
