@@ -11,8 +11,8 @@ lists: pairs of neighbours in an extended prefix of the frequent tokens are inde
 list of frequent tokens, which only decides how much is compared.
 
 Groups of a key turn into counted pairs up to a fixed size and into stars beyond it; the components of what is left
-are compared exactly with an inverted index of whole sets, large ones by pairs of blocks, and the links found give the
-components.
+are compared exactly with an inverted index of whole sets, large ones in rounds of blocks, and the links found give
+the components.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import components
@@ -38,7 +38,8 @@ HELD_TOKENS = 1 << 22  #: tokens that a task counts at once; it remembers those
 FLUSH_KEYS = 1 << 20  #: index entries that a task gathers before it sends them to their buckets
 PAIRED_GROUP = 32  #: groups of one key up to this size count the keys that two sets share; larger ones are stars
 EXTENSION = 8  #: prefixes are extended by one token for each so many of the set
-TASK_TOKENS = 1 << 20  #: tokens of the sets compared in one task, about; a larger candidate component is compared by pairs of blocks of half as many
+TASK_TOKENS = 1 << 18  #: tokens of the sets compared in one task, about; a larger candidate component is dealt to blocks of half as many
+MERGING = 0.9  #: block rounds go on while they leave at most this share of the tokens
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -166,10 +167,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[parent]
 
 
-def similar(tokens: np.ndarray, offsets: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(set, root) of the components of similar pairs among sets, found by an inverted index of all tokens.
+def similar(tokens: np.ndarray, offsets: np.ndarray, t: Fraction, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first, root) of every set: the first set of its label, and the first of its component once similar sets are linked.
 
-    A set is compared with the later ones that share a token with it and aren't in its component yet.
+    Sets of one label count as linked already; without labels each set has its own.  An inverted index of all tokens
+    finds them: a set is compared with the later ones that share a token with it and aren't in its component yet.
     """
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -177,8 +179,12 @@ def similar(tokens: np.ndarray, offsets: np.ndarray, t: Fraction) -> tuple[np.nd
     _, start, inverse, count = np.unique(tokens[order], return_index=True, return_inverse=True, return_counts=True)
     posting, token_of = owner[order], np.empty(len(tokens), np.int64)
     token_of[order] = inverse
-    parent = list(range(len(sizes)))
-    label = np.arange(len(sizes))
+    first = np.arange(len(sizes))
+    if labels is not None:
+        _, at, inverse = np.unique(labels, return_index=True, return_inverse=True)
+        first = at[inverse]
+    parent = first.tolist()
+    label = first.copy()
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -186,9 +192,7 @@ def similar(tokens: np.ndarray, offsets: np.ndarray, t: Fraction) -> tuple[np.nd
             x = parent[x]
         return x
 
-    shared = np.flatnonzero(count > 1)
-    useful = np.zeros(len(count), bool)
-    useful[shared] = True
+    useful = count > 1
     for k in range(len(sizes)):
         own = token_of[offsets[k] : offsets[k + 1]]
         own = own[useful[own]]
@@ -208,7 +212,7 @@ def similar(tokens: np.ndarray, offsets: np.ndarray, t: Fraction) -> tuple[np.nd
                 low, high = min(x, y), max(x, y)
                 parent[high] = low
                 label[label == label[j]] = label[k]
-    return np.arange(len(sizes)), np.array([find(k) for k in range(len(sizes))], np.int64)
+    return first, np.array([find(k) for k in range(len(sizes))], np.int64)
 
 
 _PROFILE = "doc_id long, k long, n long, id long, token long, times long"
@@ -325,42 +329,104 @@ def _candidate_links(index: DataFrame, t: Fraction) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("u", "v")
 
 
-def _verified_links(documents: DataFrame, candidates: DataFrame, t: Fraction) -> DataFrame:
-    """Stars of similar sets. candidates: (k, id, n, root): one row's key for each set of a candidate component.
+def _packed_sets(documents: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(id, root, held, n, tokens) of every candidate set. candidates: (k, id, n, root, held): one row's key for each set.
 
-    Small components share tasks; a component of more than ``TASK_TOKENS`` tokens is cut into blocks, and every pair of
-    blocks is a task.  Texts and keys meet by a merge join at every size; of equal rows a task compares one.
+    Texts and keys meet by a merge join, which leaves equal rows side by side: one of them is packed.
     """
+    rows = documents.where("text IS NOT NULL").join(candidates.hint("merge"), "k").select("k", "id", "root", "held", "text")
+    schema = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("held", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            keys = batch.column("k").to_numpy()
+            new = np.concatenate(([last is None or keys[0] != last], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+            last = keys[-1] if len(keys) else last
+            batch = batch.filter(pa.array(new))
+            wanted = batch.column("id").to_numpy()
+            for begin, raw, offsets in _steps(batch.column("text")):
+                tokens, own = token_sets(raw, offsets)
+                found = set_ids(tokens, own)
+                meant = np.flatnonzero(found == wanted[begin : begin + len(found)])  # two texts may have one key
+                strings = pa.array([tokens[own[m] : own[m + 1]].tobytes() for m in meant.tolist()], pa.binary())
+                roots, held = (batch.column(c).to_numpy()[begin + meant] for c in ("root", "held"))
+                yield pa.RecordBatch.from_arrays([pa.array(found[meant]), pa.array(roots), pa.array(held), pa.array(np.diff(own)[meant]), strings], schema=schema)
+
+    return rows.mapInArrow(lean(packed), "id long, root long, held long, n long, tokens binary")
+
+
+def _compared(sets: DataFrame, t: Fraction) -> DataFrame:
+    """Links (u, v) between the sets of each task that are similar and not of one label. sets: task, id, tokens and, if known, label."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    sizes = candidates.groupBy("root").agg(F.sum("n").alias("tokens"))
-    total = sizes.agg(F.sum("tokens")).first()[0] or 0
-    groups = 1 + 2 * int(total) // TASK_TOKENS
-    blocks = F.when(F.col("tokens") <= TASK_TOKENS, 1).otherwise(F.ceil(2 * F.col("tokens") / F.lit(TASK_TOKENS))).cast("int")
-    placed = candidates.join(sizes, "root").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least("b", j), F.greatest("b", j)))
-    tasks = F.when(F.col("blocks") == 1, F.array(F.pmod(F.xxhash64("root"), F.lit(groups)))).otherwise(pairs)
-    placed = placed.select("k", "id", F.explode(tasks).alias("task"))
-    rows = documents.where("text IS NOT NULL").join(placed.hint("merge"), "k").select("task", "id", "text").repartition("task")
-    rows = rows.groupBy("task", "id").agg(F.first("text").alias("text"))
 
     def compared(key: tuple, table: pa.Table) -> pa.Table:
-        tokens, sizes, ids = [], [], []
-        wanted = table["id"].combine_chunks().to_numpy()
-        column = table["text"].combine_chunks()
-        for begin, raw, offsets in _steps(column):
-            own_tokens, own = token_sets(raw, offsets)
-            found = set_ids(own_tokens, own)
-            meant = np.flatnonzero(found == wanted[begin : begin + len(found)])  # two texts may have one key
-            tokens.append(own_tokens[ragged(own[meant], np.diff(own)[meant])])
-            sizes.append(np.diff(own)[meant])
-            ids.append(found[meant])
-        all_ids, all_sizes = np.concatenate(ids), np.concatenate(sizes)
-        _, root = similar(np.concatenate(tokens), np.concatenate(([0], np.cumsum(all_sizes))), t)
-        own = np.flatnonzero(all_ids != all_ids[root])
+        ids, at = np.unique(table["id"].to_numpy(), return_index=True)
+        strings = table["tokens"].combine_chunks().take(pa.array(at))
+        labels = table["label"].to_numpy()[at] if "label" in table.column_names else None
+        sizes = strings.to_numpy(zero_copy_only=False)
+        tokens = np.frombuffer(b"".join(sizes), np.uint64)
+        offsets = np.concatenate(([0], np.cumsum([len(x) // 8 for x in sizes])))
+        first, root = similar(tokens, offsets, t, labels)
+        own = np.flatnonzero((root != first) & (first == np.arange(len(ids))))
+        out = pa.table([pa.array(ids[own]), pa.array(ids[root[own]])], schema=schema)
         give_back()
-        return pa.table([pa.array(all_ids[own]), pa.array(all_ids[root[own]])], schema=schema)
+        return out
+
+    return sets.groupBy("task").applyInArrow(compared, "u long, v long")
 
-    return rows.groupBy("task").applyInArrow(compared, "u long, v long")
+
+def _blocks(tokens: Column) -> Column:
+    """Blocks that sets of so many tokens in all are dealt to."""
+    return F.when(tokens <= TASK_TOKENS, 1).otherwise(F.ceil(2 * tokens / F.lit(TASK_TOKENS))).cast("int")
+
+
+def _verified_links(documents: DataFrame, candidates: DataFrame, t: Fraction) -> DataFrame:
+    """Links of similar sets, enough for their components. candidates: (k, id, n, root).
+
+    Small components of candidates share tasks.  A large one is dealt to blocks that compare their own sets; the first
+    set of each group found goes on to the next round, until the groups fit a task or hardly merge any more.  Then only
+    sets of different groups are left to compare: the largest group's blocks with those of all others, and these with
+    each other.  So a large group of copies costs work in proportion to its size.
+    """
+    sizes = candidates.groupBy("root").agg(F.sum("n").alias("held"))
+    total, largest = sizes.agg(F.sum("held"), F.max("held")).first()
+    sets = written(_packed_sets(documents, candidates.join(sizes, "root")), "candidate-tokens", codec="none")
+    small = sets.where(F.col("held") <= TASK_TOKENS).withColumn("task", F.pmod(F.xxhash64("root"), F.lit(1 + 2 * int(total or 0) // TASK_TOKENS)))
+    links = written(_compared(small, t), "verified-links")
+    if (largest or 0) > TASK_TOKENS:
+        links = links.unionByName(_large_links(sets.where(F.col("held") > TASK_TOKENS), t))
+    return links
+
+
+def _large_links(sets: DataFrame, t: Fraction) -> DataFrame:
+    """Links of similar sets of large components. sets: (id, root, held, n, tokens)."""
+    current, before, links, number = sets, None, None, 0
+    while True:
+        dealt = current.withColumn("task", F.xxhash64("root", F.pmod(F.xxhash64("id", F.lit(number)), _blocks(F.col("held")))))
+        found, number = written(_compared(dealt, t), "block-links"), number + 1
+        links = found if links is None else links.unionByName(found)
+        if before is not None and not current.where(F.col("held") > TASK_TOKENS).limit(1).count():
+            break
+        firsts = current.join(found.select(F.col("u").alias("id")).distinct(), "id", "left_anti").drop("held")
+        left = firsts.groupBy("root").agg(F.sum("n").alias("held"))
+        waiting = left.agg(F.sum("held")).first()[0] or 0
+        if before is not None and waiting >= MERGING * before:
+            break
+        before, current = waiting, firsts.join(left, "root")
+    groups = components(links)
+    named = sets.drop("held").join(groups.withColumnRenamed("root", "label").withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = written(named, "labelled-sets", codec="none")
+    weights = named.groupBy("root", "label").agg(F.sum("n").alias("w"))
+    shape = weights.groupBy("root").agg(F.count("*").alias("groups"), F.sum("w").alias("all"), F.max(F.struct("w", "label")).alias("top")).where("groups > 1")
+    shape = shape.select("root", F.col("top.label").alias("top"), _blocks(F.col("top.w")).alias("over"), _blocks(F.col("all") - F.col("top.w")).alias("under"))
+    open_ = named.join(shape, "root")
+    is_top, b = F.col("label") == F.col("top"), lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    with_top = F.transform(count("over"), lambda j: F.xxhash64("root", F.lit("top"), j, b("under")))
+    with_rest = F.transform(count("under"), lambda j: F.xxhash64("root", F.lit("rest"), F.least(b("under"), j), F.greatest(b("under"), j)))
+    tasks = F.when(is_top, F.transform(count("under"), lambda j: F.xxhash64("root", F.lit("top"), b("over"), j))).otherwise(F.concat(with_top, with_rest))
+    return links.unionByName(written(_compared(open_.select("id", "label", "tokens", F.explode(tasks).alias("task")), t), "group-links"))
 
 
 def near_duplicates(documents: DataFrame, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
@@ -387,9 +453,8 @@ def near_duplicates(documents: DataFrame, threshold: Fraction = Fraction(3, 4))
     discard(links)
     first = sets.where("id != 0").groupBy("id").agg(F.min("k").alias("k"), F.first("n").alias("n"))
     candidates = written(first.join(near, F.col("id") == F.col("node")).select("k", "id", "n", "root"), "candidate-sets")
-    verified = written(_verified_links(rows, candidates, threshold), "verified-links")
-    found = components(verified)
-    discard(verified, candidates)
+    found = components(_verified_links(rows, candidates, threshold))
+    discard(candidates)
     grouped = sets.join(found, F.col("id") == F.col("node"), "left").select("doc_id", "k", "n", "id", F.coalesce("root", "id").alias("group_id"))
     grouped = written(grouped, "set-groups")
     discard(profile)

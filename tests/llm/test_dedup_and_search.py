@@ -81,7 +81,7 @@ def near_copies(base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"PAIRED_GROUP": 3, "FREQUENT_FROM": 2, "TASK_TOKENS": 300}, {"PAIRED_GROUP": 2, "FREQUENT_FROM": 1000}])
+@pytest.mark.parametrize("settings", [{}, {"PAIRED_GROUP": 3, "FREQUENT_FROM": 2, "TASK_TOKENS": 300}, {"PAIRED_GROUP": 2, "FREQUENT_FROM": 2, "TASK_TOKENS": 150}, {"PAIRED_GROUP": 2, "FREQUENT_FROM": 1000}])
 def test_near_duplicates(spark, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(jaccard, name, value)
