@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import terms
+from spanloom.functions.kernels import hashed_vectors, term_lists
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,22 +19,10 @@ def l2_normalised(v: Column) -> Column:
     return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def bucket(term: Column, dimension: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long"), F.lit(dimension))
-
-
 def hashed_terms(texts: DataFrame, key: str, dimension: int = 64, prefix: str = "") -> DataFrame:
     """(key, vector): counts of hashed terms, unit length: an embedder that needs no model.
 
-    ``prefix`` stands before every text, for embedders that tell questions from documents.  Vectors are built sparse
-    and laid out once, so nothing but (key, bucket, count) is shuffled.
+    ``prefix`` stands before every text, for embedders that tell questions from documents.  A vector is made where its
+    row lies; texts without terms have none.
     """
-    found = texts.select(key, F.explode(terms(F.concat(F.lit(prefix), F.coalesce("text", F.lit(""))))).alias("term"), F.lit(1).alias("tf"))
-    return hashed_counts(found, key, dimension)
-
-
-def hashed_counts(counts: DataFrame, key: str, dimension: int = 64) -> DataFrame:
-    """The same vectors from (key, term, tf), such as postings that are there already."""
-    held = counts.groupBy(key, bucket(F.col("term"), dimension).alias("at")).agg(F.sum("tf").cast("double").alias("n"))
-    sparse = held.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
-    return sparse.select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimension - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("size")).alias("vector"))
+    return hashed_vectors(term_lists(texts, key, key, prefix), key, dimension)

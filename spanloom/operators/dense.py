@@ -2,77 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.lexical import ranked
-
-QUESTIONS_PER_BLOCK = 2048  #: question vectors that a task holds at once; more questions, more passes
-
-
-def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
-    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-    return flat.reshape(-1, dimension)
+from spanloom.functions.kernels import nearest
+from spanloom.operators.lexical import in_blocks, ranked
 
 
 def top_k(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank): cosine of unit vectors, score descending, then id ascending.
 
     vectors: ``chunk_id`` and ``vector``; questions: ``query_id`` and ``vector``; rows with a null vector are left out.
-    Every task multiplies its vectors with a block of at most ``QUESTIONS_PER_BLOCK`` question vectors and keeps the k
-    best of each, so at most tasks * questions * k rows are shuffled.
+    Every task multiplies its vectors with a block of question vectors and keeps the k best of each, so at most
+    tasks * questions * k rows are shuffled.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    held = questions.where("vector IS NOT NULL").select("query_id", "vector")
-    blocks = -(-held.count() // QUESTIONS_PER_BLOCK)
-    kinds = {c: dict(df.dtypes)[c] for df, c in ((questions, "query_id"), (vectors, "chunk_id"))}
-    out = None
-    for b in range(blocks):
-        own = held if blocks == 1 else held.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = own.collect()
-        names, asked = [r["query_id"] for r in rows], np.array([list(map(float, r["vector"])) for r in rows])
-        found = _local_top(vectors.where("vector IS NOT NULL").select("chunk_id", "vector"), names, asked, k, kinds)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = vectors.limit(0).select(F.lit(None).cast(kinds["query_id"]).alias("query_id"), "chunk_id", F.lit(0.0).alias("score"))
-    return ranked(out, k)
-
-
-def _local_top(vectors: DataFrame, names: list, asked: np.ndarray, k: int, kinds: dict[str, str]) -> DataFrame:
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top_scores, top_ids = [np.zeros(0)] * len(names), [np.zeros(0, object)] * len(names)
-        kind = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kind = batch.schema.field("chunk_id").type
-            ids = np.array(batch.column("chunk_id").to_pylist(), object)
-            scores = np.round(asked @ _matrix(batch.column("vector"), asked.shape[1]).T, 6)
-            for q in range(len(names)):
-                row = scores[q]
-                if len(row) > k:
-                    near = np.flatnonzero(row >= np.partition(row, -k)[-k])
-                else:
-                    near = np.arange(len(row))
-                s, i = np.concatenate((top_scores[q], row[near])), np.concatenate((top_ids[q], ids[near]))
-                order = sorted(range(len(s)), key=lambda x: (-s[x], i[x]))[:k]
-                top_scores[q], top_ids[q] = s[order], i[order]
-        if kind is None:
-            return
-        out_ids, out_scores = np.concatenate(top_ids).tolist(), np.concatenate(top_scores)
-        out_names = [names[q] for q in range(len(names)) for _ in range(len(top_ids[q]))]
-        yield pa.RecordBatch.from_arrays([pa.array(out_names), pa.array(out_ids, kind), pa.array(out_scores)], names=["query_id", "chunk_id", "score"])
-
-    return vectors.mapInArrow(best, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+    held, own = questions.where("vector IS NOT NULL").select("query_id", "vector"), vectors.where("vector IS NOT NULL")
+    empty = own.select(F.lit(None).cast(dict(questions.dtypes)["query_id"]).alias("query_id"), "chunk_id", F.lit(0.0).alias("score"))
+    return ranked(in_blocks(held, held.count(), lambda block: nearest(own, block, k), empty), k)
 
 
-def lsh_top_k(vectors: DataFrame, questions: DataFrame, k: int, radius: float = 1.2, tables: int = 12, bucket_length: float = 0.9, seed: int = 7) -> DataFrame:
-    """Approximate top-k: candidates that share a bucket of random projections, then exact scores. Unit vectors: L2 squared is 2 - 2 cos."""
+def lsh_top_k(vectors: DataFrame, questions: DataFrame, k: int, radius: float = 2.0, tables: int = 10, bucket_length: float = 0.1, seed: int = 7) -> DataFrame:
+    """Approximate top-k: candidates that share a bucket of random projections, then exact scores. Unit vectors: L2 squared is 2 - 2 cos, and no two are farther apart than 2."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 

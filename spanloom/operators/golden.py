@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from spanloom.shared import bounded_batches, written
 
 CATEGORIES = ("lookup", "multi_hop", "ambiguous", "no_answer", "off_topic")
+QUOTES_PER_BLOCK = 4000  #: quotes searched for in one pass over the documents; more quotes, more passes
 ANSWERABLE = ("lookup", "multi_hop", "ambiguous")
 
 
@@ -14,6 +22,51 @@ def occurrences(text: Column, quote: Column) -> Column:
     return F.when(F.length(quote) > 0, ((F.length(text) - F.length(F.replace(text, quote, F.lit("")))) / F.length(quote)).cast("int")).otherwise(0)
 
 
+def find_quotes(documents: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(question_id, relative_path, start_char, occurrences): the documents that hold a quote, its first place and how often it occurs.
+
+    documents: relative_path, text; quotes: question_id, quote; rows with a null or empty quote find nothing.  One pass
+    over the texts with an automaton of ``QUOTES_PER_BLOCK`` quotes; blocks beyond the first are tables before the next
+    is read.  Occurrences don't overlap.
+    """
+    bounded_batches(documents.sparkSession)
+    held = quotes.where("question_id IS NOT NULL AND quote != ''").select("question_id", "quote").distinct()
+    n = -(-held.count() // QUOTES_PER_BLOCK)
+    asked_type, path_type = quotes.schema["question_id"].dataType, documents.schema["relative_path"].dataType
+    kind = T.StructType([T.StructField("question_id", asked_type), T.StructField("relative_path", path_type), T.StructField("start_char", T.IntegerType()), T.StructField("occurrences", T.IntegerType())])
+
+    def searching(block: list[tuple]) -> Callable:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            owners: dict[str, list] = {}
+            for name, quote in block:
+                owners.setdefault(quote, []).append(name)
+            automaton = ahocorasick.Automaton()
+            for quote, names in owners.items():
+                automaton.add_word(quote, (quote, names))
+            automaton.make_automaton()
+            schema = to_arrow_schema(kind)
+            for batch in batches:
+                found = []
+                for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    seen = {quote: names for _, (quote, names) in automaton.iter(text)}
+                    found += [(name, path, text.index(quote), text.count(quote)) for quote, names in seen.items() for name in names]
+                columns = zip(*found, strict=True) if found else ((),) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        return search
+
+    out = None
+    for k in range(n):
+        block = [(r["question_id"], r["quote"]) for r in (held if n == 1 else held.where(F.pmod(F.xxhash64("question_id", "quote"), F.lit(n)) == k)).collect()]
+        if block:
+            own = documents.where("text IS NOT NULL").select("relative_path", "text").mapInArrow(searching(block), kind)
+            own = own if n == 1 else written(own, "quotes")
+            out = own if out is None else out.unionByName(own)
+    return documents.sparkSession.createDataFrame([], kind) if out is None else out
+
+
 def _loose(quote: Column) -> Column:
     """A pattern for the quote in which any run of white space matches any other."""
     plain = F.replace(F.trim(quote), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))

@@ -11,45 +11,57 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import terms
+from spanloom.functions.kernels import term_lists, weighted_scores
 from spanloom.shared import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+QUESTIONS_PER_BLOCK = 2048  #: questions that a task scores at once; more questions, more passes
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings (chunk_id, term, tf), lengths (chunk_id, dl), stats (term, df, idf) and corpus (one row: n, avgdl)."""
+    """chunks (chunk_id, dl, terms, tfs), stats (term, df, idf) and corpus (one row: n, avgdl)."""
 
-    postings: DataFrame
-    lengths: DataFrame
+    chunks: DataFrame
     stats: DataFrame
     corpus: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(chunk_id, term, tf)."""
+        return _postings(self.chunks)
+
+
+def _postings(lists: DataFrame) -> DataFrame:
+    pairs = F.arrays_zip("terms", "tfs")
+    return lists.select("chunk_id", F.explode(pairs).alias("p")).select("chunk_id", F.col("p.terms").alias("term"), F.col("p.tfs").cast("long").alias("tf"))
+
 
 def postings_of(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(chunk_id, term, tf): map-side combined counts; a null text has no terms."""
-    return chunks.select(F.col(key).alias("chunk_id"), F.explode(terms(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    """(chunk_id, term, tf) of every row, counted within the row: no shuffle; a null text has no terms."""
+    return _postings(term_lists(chunks, key))
 
 
-def statistics(postings: DataFrame, chunks_total: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """lengths, term statistics and the one-row corpus table. chunks_total: one row with ``n``, chunks without terms included."""
-    lengths = postings.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-    corpus = chunks_total.crossJoin(lengths.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))).select("n", (F.col("total") / F.nullif("n", F.lit(0))).alias("avgdl"))  # one row by one row
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def statistics(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Term statistics and the one-row corpus table of term lists; chunks without terms count."""
+    corpus = lists.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).select("n", (F.col("total") / F.nullif("n", F.lit(0))).alias("avgdl"))
+    df = lists.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.crossJoin(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     stats = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return lengths, stats, corpus
+    return stats, corpus
 
 
 def build(chunks: DataFrame, key: str = "chunk_id") -> LexicalIndex:
     """Index of chunks with ``key`` and ``text``; statistics never mix strategies: build one index for each.
 
-    The postings are a table in the shared folder: statistics and searches read them, and no text is cut twice.
+    Term lists and statistics are tables in the shared folder: no text is cut twice.
     """
-    postings = written(postings_of(chunks, key), "postings")
-    return LexicalIndex(postings, *statistics(postings, chunks.agg(F.count("*").alias("n"))))
+    lists = written(term_lists(chunks, key), "term-lists")
+    stats, corpus = statistics(lists)
+    return LexicalIndex(lists, written(stats, "term-stats"), written(corpus, "corpus-stats"))
 
 
 def ranked(scores: DataFrame, k: int, score: str = "score", item: str = "chunk_id", by: str = "query_id") -> DataFrame:
@@ -61,14 +73,27 @@ def ranked(scores: DataFrame, k: int, score: str = "score", item: str = "chunk_i
 def search(index: LexicalIndex, questions: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks of each question; only positive scores count.
 
-    questions: ``query_id`` and ``question``.  A repeated term counts as often as it is asked for.  Postings are
-    narrowed to the asked terms before anything else is joined.
+    questions: ``query_id`` and ``question``.  A repeated term counts as often as it is asked for.  Every task scores
+    its chunks for a block of questions and keeps the k best of each, so no posting is shuffled; blocks beyond the
+    first are tables before the next is asked.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    asked = questions.select("query_id", F.explode(terms(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(index.stats.select("term", "idf"), "term")
-    hits = index.postings.join(weighted, "term").join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.corpus.select("avgdl")))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("exact")).where("exact > 0")
-    return ranked(scores.select("query_id", "chunk_id", F.round("exact", 6).alias("score")), k)
+    asked = _postings(term_lists(questions.select("query_id", F.col("question").alias("text")), "query_id")).withColumnRenamed("chunk_id", "query_id")
+    weighted = asked.join(index.stats.select("term", "idf"), "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    average = index.corpus.first()["avgdl"]
+    score = lambda block: weighted_scores(index.chunks, block, k, float(average or 1), K1, B)
+    return ranked(in_blocks(weighted, questions.select("query_id").distinct().count(), score, index.chunks.select(F.lit(None).cast(dict(questions.dtypes)["query_id"]).alias("query_id"), "chunk_id", F.lit(0.0).alias("score"))), k)
+
+
+def in_blocks(asked: DataFrame, questions: int, score, empty: DataFrame) -> DataFrame:
+    """Scores of all questions, ``QUESTIONS_PER_BLOCK`` at a time; the driver and a task hold one block."""
+    n = -(-questions // QUESTIONS_PER_BLOCK)
+    out = None
+    for k in range(n):
+        block = (asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)).toArrow()
+        if block.num_rows:
+            own = score(block)
+            own = own if n == 1 else written(own, "block-scores")
+            out = own if out is None else out.unionByName(own)
+    return empty.limit(0) if out is None else out

@@ -23,7 +23,7 @@ _CTES = {
     "lines": "SELECT relative_path, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM docs",
     "line_at": "SELECT relative_path, i, sum(length(line) + 1) OVER (PARTITION BY relative_path ORDER BY i) - 1 AS stop, sum(length(line) + 1) OVER (PARTITION BY relative_path ORDER BY i) - 1 - length(line) AS start FROM lines",
     "docitems": "SELECT doc_id AS chunk_id, text FROM documents",
-    "questions": r"SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(text, '\S+'), 1, 8), ' ') AS question, text AS quote FROM benchmark",
+    "questions": "SELECT item_id AS query_id, text AS question, text AS quote FROM benchmark",
     "asked": f"SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_terms('question')}) AS term FROM questions) GROUP BY query_id, term",
     "sc": "SELECT query_id, chunk_id, round(exact, 6) AS score FROM (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS exact FROM post JOIN asked USING (term) JOIN idf USING (term) JOIN dl USING (chunk_id) CROSS JOIN corp GROUP BY query_id, chunk_id) WHERE exact > 0",
     "dl": "SELECT chunk_id, sum(tf) AS dl FROM post GROUP BY chunk_id",

@@ -1,7 +1,7 @@
 """Named queries over the test tables.
 
 The tables play the reference roles: ``documents`` the corpus (one path a document), ``benchmark`` the golden
-quotes and, by their first words, the questions; ``embeddings`` the vectors; ``conversations`` answers; ``labels``
+quotes and, as they are, the questions; ``embeddings`` the vectors; ``conversations`` answers; ``labels``
 two labellers; ``events`` request logs.
 """
 
@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.functions.ids import chunk_id, document_id, section_id
-from spanloom.functions.vectors import hashed_counts, hashed_terms
+from spanloom.functions.kernels import hashed_vectors
+from spanloom.functions.vectors import hashed_terms
 from spanloom.operators import answering, chunking, dedup, dense, fusion, golden, lexical, metrics, models, quality, stats
 from spanloom.plans.oracles import oracle_sql  # noqa: F401
 from spanloom.shared import table_path, work_dir, written
 from spanloom.sources import files, store
 
 MAX, OVERLAP = 64, 8  #: chunk size of the queries; the operators default to 512 and 64
-QUESTION_WORDS = 8
 DISTRACTOR = "doc/0"
 
 
@@ -42,27 +42,23 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(T.words(F.col("text")), 1, QUESTION_WORDS)
-    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("question"), F.col("text").alias("quote"))
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.col("text").alias("quote"))
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each benchmark passage lies: the documents that hold it once. A passage in none has no span."""
-    docs = _documents(spark, sf_dir).select("relative_path", "text")
-    items = F.broadcast(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("quote")))  # passages of a benchmark, a fixed list
-    hit = docs.join(items, F.contains(docs["text"], F.col("quote")))
-    start = F.expr("locate(quote, text) - 1")
-    rows = hit.where(golden.occurrences(F.col("text"), F.col("quote")) == 1)
-    return rows.select("question_id", F.col("relative_path").alias("span"), "relative_path", start.alias("start_char"), (start + F.length("quote")).alias("end_char"))
+    items = _questions(spark, sf_dir).select(F.col("query_id").alias("question_id"), "quote")
+    rows = golden.find_quotes(_documents(spark, sf_dir), items).where("occurrences = 1").join(items, "question_id")
+    return rows.select("question_id", F.col("relative_path").alias("span"), "relative_path", "start_char", (F.col("start_char") + F.length("quote")).alias("end_char"))
 
 
 def _categories(spans: DataFrame) -> DataFrame:
     return spans.groupBy("question_id").agg(F.when(F.count("*") > 1, "ambiguous").otherwise("lookup").alias("category"))
 
 
-def _dense(spark: SparkSession, sf_dir: str, postings: DataFrame, k: int = fusion.CANDIDATES) -> DataFrame:
+def _dense(spark: SparkSession, sf_dir: str, lists: DataFrame, k: int = fusion.CANDIDATES) -> DataFrame:
     asked = hashed_terms(_questions(spark, sf_dir).select("query_id", F.col("question").alias("text")), "query_id")
-    return dense.top_k(hashed_counts(postings, "chunk_id"), asked, k)
+    return dense.top_k(hashed_vectors(lists, "chunk_id"), asked, k)
 
 
 def _rankings(spark: SparkSession, sf_dir: str, k: int = fusion.CANDIDATES) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +66,7 @@ def _rankings(spark: SparkSession, sf_dir: str, k: int = fusion.CANDIDATES) -> t
     chunks = written(_chunks(spark, sf_dir), "chunks")
     index = lexical.build(chunks)
     sparse = lexical.search(index, _questions(spark, sf_dir), k)
-    return chunks, written(fusion.unified({"dense": _dense(spark, sf_dir, index.postings, k), "sparse": sparse}), "rankings")
+    return chunks, written(fusion.unified({"dense": _dense(spark, sf_dir, index.chunks, k), "sparse": sparse}), "rankings")
 
 
 def _arms(spark: SparkSession, sf_dir: str, limit: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -263,9 +259,9 @@ def locate_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many documents each passage's first words occur, and how often in all."""
-    docs, items = _documents(spark, sf_dir).select("text"), F.broadcast(_questions(spark, sf_dir).select("query_id", "question"))  # a benchmark's questions, a fixed list
-    hit = docs.join(items, F.contains(docs["text"], F.col("question"))).groupBy("query_id").agg(F.count("*").alias("documents"), F.sum(golden.occurrences(F.col("text"), F.col("question"))).alias("occurrences"))
+    """In how many documents each passage occurs, and how often in all."""
+    found = golden.find_quotes(_documents(spark, sf_dir), _questions(spark, sf_dir).select(F.col("query_id").alias("question_id"), "quote"))
+    hit = found.groupBy(F.col("question_id").alias("query_id")).agg(F.count("*").alias("documents"), F.sum("occurrences").alias("occurrences"))
     return _questions(spark, sf_dir).select("query_id").join(hit, "query_id", "left").fillna(0)
 
 
