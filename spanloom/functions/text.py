@@ -11,6 +11,7 @@ RUN_TAIL = r"[_.\-]+$"
 PART_BREAK = r"[_.\-]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 SENTENCE_BREAK = r"(?<=[.!?])[ \t]+(?=[A-Z\"'(\[])"
 PARAGRAPH_BREAK = r"\n[ \t]*\n"
+LIST_MARKER = r"^\s*(?:[-*+]|\d+[.)])\s+"
 CITATION = r"\[(\d+(?:\s*,\s*\d+)*)\]"
 PROTECTED = r"(?s)(?:^|(?<=\n))[ \t]*(```+|~~~+).*?(?:\n[ \t]*\1[^\n]*|\z)|`[^`\n]+`"
 
@@ -79,8 +80,8 @@ def is_assertion(text: Column) -> Column:
 
 
 def bare_line(text: Column) -> Column:
-    """Without list marker or block-quote sign."""
-    return F.trim(F.regexp_replace(text, r"^\s*(?:[-*+]\s+|\d+[.)]\s+|>\s*)+", ""))
+    """Without one block-quote sign and then one list marker; more of them are part of what is said."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*>\s?", ""), LIST_MARKER, ""))
 
 
 def is_insufficient(text: Column) -> Column:
@@ -88,7 +89,22 @@ def is_insufficient(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s.\"'`]+|[\s.\"'`]+$", "") == "INSUFFICIENT_CONTEXT"
 
 
+def labelled(text: Column, label: str) -> Column:
+    """Word of a ``LABEL: word`` line in upper case, bold markers tolerated; null without such a line."""
+    return F.nullif(F.upper(F.regexp_extract(text, rf"(?im)^\s*\**\s*{label}\s*\**\s*:\s*\**\s*(\w+)", 1)), F.lit(""))
+
+
 def labelled_value(text: Column, label: str, allowed: list[str]) -> Column:
-    """Value of a ``LABEL: value`` line, bold markers tolerated, if it is one of ``allowed``; else null."""
-    found = F.upper(F.regexp_extract(text, rf"(?im)^\s*\**\s*{label}\s*\**\s*:\s*\**\s*([A-Za-z_]+)", 1))
+    """The same if it is one of ``allowed``; else null."""
+    found = labelled(text, label)
     return F.when(found.isin(*allowed), found)
+
+
+def reason_line(text: Column) -> Column:
+    """What follows ``REASON:`` on its line; empty without one."""
+    return F.trim(F.regexp_extract(text, r"(?im)^\s*\**\s*REASON\s*\**\s*:\s*\**\s*(.+)", 1))
+
+
+def readable(value: Column, what: str, text: Column) -> Column:
+    """The value, or an error that shows where the unreadable text begins."""
+    return F.when(value.isNull(), F.raise_error(F.concat(F.lit(f"{what} can't be read: "), F.coalesce(F.substring(text, 1, 120), F.lit("null"))))).otherwise(value)

@@ -11,13 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import citation_numbers, is_insufficient, labelled_value, source_label
+from spanloom.functions.text import LIST_MARKER, citation_numbers, is_insufficient, labelled, labelled_value, readable, reason_line, source_label
 
 GATE = 0.30  #: best cosine below which a question is refused
 RAMP = (0.30, 0.70)
 MAX_DOCUMENTS = 3
-COMPLETENESS = {"COMPLETE": 1.0, "PARTIAL": 0.5, "INCOMPLETE": 0.0}
-SUPPORT = ["SUPPORTED", "PARTIAL", "UNSUPPORTED"]
+COMPLETENESS = {"COMPLETE": 1.0, "PARTIAL": 0.5, "MISSING": 0.0}
+SUPPORT = ["SUPPORTED", "UNSUPPORTED"]
 VERDICTS = ["CORRECT", "PARTIAL", "INCORRECT"]
 
 
@@ -102,7 +102,7 @@ def claims_of(text: str) -> list[tuple[str, list[int]]]:
         for line in stretch.split("\n"):
             if re.match(r"\s*#{1,6}\s", line):
                 continue
-            line = re.sub(r"^\s*(?:[-*+]\s+|\d+[.)]\s+|>\s*)+", "", line).strip()
+            line = re.sub(LIST_MARKER, "", re.sub(r"^>\s?", "", line.strip())).strip()
             for sentence in re.split(r"(?<=[.!?])[ \t]+(?=[A-Z\"'(\[])", line):
                 cut = re.match(r"((?:\[\d+(?:\s*,\s*\d+)*\]\s*)+)(?=[A-Z\"'(])", sentence)
                 pieces = [cut.group(1), sentence[cut.end() :]] if cut else [sentence]
@@ -148,8 +148,8 @@ def composite(parts: dict[str, Column], weights: dict[str, float] | None = None)
 
 
 def completeness(reply: Column) -> Column:
-    """1, 0.5 or 0 from a ``COMPLETENESS:`` line; null if there is none that can be read."""
-    level = labelled_value(reply, "COMPLETENESS", list(COMPLETENESS))
+    """1, 0.5 or 0 from a ``COMPLETENESS:`` line; a reply without one that can be read is an error."""
+    level = readable(labelled_value(reply, "COMPLETENESS", list(COMPLETENESS)), "the completeness reply", reply)
     out: Column = F.lit(None).cast("double")
     for name, value in COMPLETENESS.items():
         out = F.when(level == name, value).otherwise(out)
@@ -157,18 +157,31 @@ def completeness(reply: Column) -> Column:
 
 
 def support(reply: Column) -> Column:
-    """Verdict of a ``SUPPORT:`` line, or of a line that is a bare verdict."""
-    bare = F.upper(F.regexp_extract(reply, r"(?im)^\s*\**\s*(SUPPORTED|PARTIAL|UNSUPPORTED)\s*\**\s*\.?\s*$", 1))
-    return F.coalesce(labelled_value(reply, "SUPPORT", SUPPORT), F.nullif(bare, F.lit("")))
+    """Verdict of a ``SUPPORT:`` line or, without such a line, of a line that is a bare verdict; any other reply is an error."""
+    bare = F.nullif(F.upper(F.regexp_extract(reply, rf"(?im)^\s*\**\s*({'|'.join(SUPPORT)})\s*\**\s*\.?\s*$", 1)), F.lit(""))
+    found = F.coalesce(labelled(reply, "SUPPORT"), bare)
+    return readable(F.when(found.isin(*SUPPORT), found), "the verifier's reply", reply)
 
 
 def judgement(reply: Column) -> Column:
     """verdict, grounded and reason of a judge's reply; a reply without verdict is an error."""
     verdict = labelled_value(reply, "VERDICT", VERDICTS)
     grounded = labelled_value(reply, "GROUNDED", ["YES", "NO"])
-    reason = F.trim(F.regexp_extract(reply, r"(?im)^\s*\**\s*REASON\s*\**\s*:\s*\**\s*(.*)$", 1))
-    checked = F.when(verdict.isNull(), F.raise_error(F.lit("the judge's reply can't be read"))).otherwise(verdict)
-    return F.struct(checked.alias("verdict"), (grounded == "YES").alias("grounded"), reason.alias("reason"))
+    return F.struct(readable(verdict, "the judge's reply", reply).alias("verdict"), (grounded == "YES").alias("grounded"), reason_line(reply).alias("reason"))
+
+
+def verification_prompt(claim: Column, citations: Column, results: Column) -> Column:
+    """The claim, then only the blocks that it cites, numbered as the answer numbers them."""
+    real = F.filter(citations, lambda n: (n >= 1) & (n <= F.size(results)))
+    block = lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("] "), source_label(F.element_at(results, n)["relative_path"], F.element_at(results, n)["heading_path"]), F.lit("\n"), F.trim(F.element_at(results, n)["text"]))
+    return F.concat(F.lit("CLAIM\n"), F.trim(claim), F.lit("\n\nCITED PASSAGES\n"), F.array_join(F.transform(real, block), "\n\n"), F.lit("\n"))
+
+
+def judge_prompt(question: Column, reference: Column, answer: Column, shown: Column) -> Column:
+    """Question, reference answer (or that declining is right), the system's answer and the context it was shown."""
+    standard = F.coalesce(F.nullif(F.trim(reference), F.lit("")), F.lit("(none: the documents do not answer this question, so declining is correct)"))
+    parts = (("QUESTION", question), ("REFERENCE ANSWER", standard), ("ASSISTANT'S ANSWER", answer), ("CONTEXT THE ASSISTANT WAS SHOWN", shown))
+    return F.concat(F.concat_ws("\n\n", *(F.concat(F.lit(f"{name}\n"), F.trim(F.coalesce(value, F.lit("")))) for name, value in parts)), F.lit("\n"))
 
 
 def verify(claims: DataFrame, sets: DataFrame, verifier) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,30 +37,36 @@ def near_duplicates(chunks: DataFrame, order: list[str], threshold: float = THRE
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+    kind = dict(chunks.dtypes)["chunk_id"]
 
-        rows = rows.sort_values(["_place"], kind="stable")
-        vectors = np.array(rows["vector"].tolist(), float)
-        kept, kept_ids, digests, out = np.zeros_like(vectors), [], {}, []
-        for chunk, digest, vector in zip(rows["chunk_id"], rows["digest"], vectors, strict=True):
-            if digest in digests:
-                out.append((chunk, digests[digest], 1.0, True))
+    def greedy(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("_place")
+        ids, same = table["chunk_id"].to_pylist(), table["digest"].to_pylist()
+        vectors = table["vector"].combine_chunks()
+        n = len(ids)
+        matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        first: dict[str, int] = {}
+        held, sides, at = np.zeros(n, np.int64), np.zeros((n, matrix.shape[1])), 0
+        out: list[tuple] = []
+        for k in range(n):
+            if same[k] in first:
+                out.append((ids[k], ids[first[same[k]]], 1.0, True))
                 continue
-            cosines = kept[: len(kept_ids)] @ vector
-            if len(cosines) and cosines.max() >= threshold:
-                at = int(cosines.argmax())
-                out.append((chunk, kept_ids[at], float(cosines[at]), False))
+            cosines = sides[:at] @ matrix[k]
+            best = int(cosines.argmax()) if at else 0
+            if at and cosines[best] >= threshold:
+                out.append((ids[k], ids[held[best]], float(cosines[best]), False))
                 continue
-            kept[len(kept_ids)] = vector
-            kept_ids.append(chunk)
-            digests[digest] = chunk
-        return pd.DataFrame(out, columns=["chunk_id", "duplicate_of", "similarity", "exact"])
-
-    place = F.row_number().over(Window.partitionBy(document).orderBy(*order))
-    rows = chunks.select("chunk_id", F.col(document).alias("_bucket"), F.sha1("text").alias("digest"), "vector", place.alias("_place"))
-    kind = dict(chunks.dtypes)["chunk_id"]
-    return rows.groupBy("_bucket").applyInPandas(greedy, f"chunk_id {kind}, duplicate_of {kind}, similarity double, exact boolean")
+            sides[at], held[at], first[same[k]] = matrix[k], k, k
+            at += 1
+        columns = zip(*out, strict=True) if out else ((),) * 4
+        id_type = table.schema.field("chunk_id").type
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (id_type, id_type, pa.float64(), pa.bool_()), strict=True)], names=["chunk_id", "duplicate_of", "similarity", "exact"])
+
+    place = F.struct(*order)
+    vector = F.transform("vector", lambda x: x.cast("double"))
+    rows = chunks.select("chunk_id", F.col(document).alias("_bucket"), F.sha1("text").alias("digest"), vector.alias("vector"), F.row_number().over(Window.partitionBy(document).orderBy(place)).alias("_place"))
+    return rows.groupBy("_bucket").applyInArrow(greedy, f"chunk_id {kind}, duplicate_of {kind}, similarity double, exact boolean")
 
 
 def kept(chunks: DataFrame, duplicates: DataFrame) -> DataFrame:

@@ -6,10 +6,13 @@ model would be a ``mapInPandas`` of the same shape.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions.ids import cache_key
 from spanloom.functions.text import sentences, terms
@@ -34,10 +37,9 @@ def extractive_answers(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reply", F.when(F.size(used) > 0, said).otherwise("INSUFFICIENT_CONTEXT"))
 
 
-def overlap_verifier(rows: DataFrame, full: float = 0.6, some: float = 0.3) -> DataFrame:
+def overlap_verifier(rows: DataFrame, least: float = 0.6) -> DataFrame:
     """Adds ``reply`` with a SUPPORT line by the share of the claim's terms in the evidence."""
-    share = overlap(F.col("claim"), F.col("evidence"))
-    verdict = F.when(share >= full, "SUPPORTED").when(share >= some, "PARTIAL").otherwise("UNSUPPORTED")
+    verdict = F.when(overlap(F.col("claim"), F.col("evidence")) >= least, "SUPPORTED").otherwise("UNSUPPORTED")
     return rows.withColumn("reply", F.concat(F.lit("**SUPPORT:** "), verdict, F.lit("\nREASON: term overlap")))
 
 
@@ -51,7 +53,7 @@ def overlap_judge(rows: DataFrame) -> DataFrame:
 def overlap_completeness(rows: DataFrame) -> DataFrame:
     """Adds ``reply`` with a COMPLETENESS line. rows: question, answer."""
     share = overlap(F.col("question"), F.col("answer"))
-    level = F.when(share >= 0.6, "COMPLETE").when(share >= 0.25, "PARTIAL").otherwise("INCOMPLETE")
+    level = F.when(share >= 0.6, "COMPLETE").when(share >= 0.25, "PARTIAL").otherwise("MISSING")
     return rows.withColumn("reply", F.concat(F.lit("COMPLETENESS: "), level, F.lit("\nREASON: term overlap")))
 
 
@@ -62,6 +64,54 @@ def priced(rows: DataFrame, prices: dict[str, tuple[float, float]] | None = None
     return rows.withColumn("cost_usd", F.col("input_tokens") / 1e6 * pick(0) + F.col("output_tokens") / 1e6 * pick(1))
 
 
+def with_usage(rows: DataFrame) -> DataFrame:
+    """Adds output_tokens (visible: completion less reasoning) and thinking_tokens. rows: prompt_tokens, completion_tokens, reasoning_tokens."""
+    thinking = F.coalesce("reasoning_tokens", F.lit(0))
+    done = F.coalesce("completion_tokens", F.lit(0))
+    return rows.withColumns({"input_tokens": F.coalesce("prompt_tokens", F.lit(0)), "output_tokens": F.greatest(F.lit(0), done - thinking), "thinking_tokens": thinking})
+
+
+def ledger(rows: DataFrame) -> DataFrame:
+    """(model, calls, cached_calls, input_tokens, output_tokens, cost_usd): cached replies count as calls without tokens or cost."""
+    live = lambda c: F.coalesce(F.sum(F.when(~F.col("cached"), F.col(c))), F.lit(0))
+    return rows.groupBy("model").agg(F.count_if(~F.col("cached")).alias("calls"), F.count_if("cached").alias("cached_calls"), live("input_tokens").alias("input_tokens"), live("output_tokens").alias("output_tokens"), F.round(live("cost_usd"), 6).alias("cost_usd"))
+
+
+def hosted(call: Callable[[str], dict], text: str = "prompt", parallel: int = 1, pause_s: float = 0.0, attempts: int = 3) -> Model:
+    """A model behind a function of a prompt that gives text, prompt_tokens, completion_tokens and reasoning_tokens.
+
+    Requests go out from ``parallel`` tasks, each ``pause_s`` apart, and are tried ``attempts`` times with doubled
+    pauses; a reply without text is an error, as a cut one would count as an answer.
+    """
+
+    def ask(prompt: str) -> dict:
+        for k in range(attempts):
+            time.sleep(pause_s * 2**k)
+            try:
+                found = call(prompt)
+            except Exception:
+                if k == attempts - 1:
+                    raise
+                continue
+            if not (found.get("text") or "").strip():
+                raise ValueError("the model returned no text")
+            return found
+        raise ValueError("attempts must be positive")
+
+    def model(rows: DataFrame) -> DataFrame:
+        numbers = ("prompt_tokens", "completion_tokens", "reasoning_tokens")
+        out = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType()), *(T.StructField(n, T.LongType()) for n in numbers)])
+
+        def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [ask(p) for p in batch[text]]
+                yield batch.assign(reply=[f["text"].strip() for f in found], **{n: [int(f.get(n) or 0) for f in found] for n in numbers})
+
+        return rows.repartition(parallel).mapInPandas(answer, out)
+
+    return model
+
+
 def read_through(rows: DataFrame, cache: DataFrame, model: Model, fingerprint: str, text: str = "prompt", bypass: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with reply and cached, new cache rows): asks the model once for each text that the cache lacks.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.stats import numbered
+
 FAILURES = ("none", "retrieval_miss", "wrong_refusal", "ignored_context", "missing_refusal")
 
 
@@ -68,10 +70,9 @@ def control_blocks(pool: DataFrame, retrieved: DataFrame, seed: int = 7) -> Data
     starts 7 places after the one before; places that hold a retrieved chunk are passed over.  The pool must be larger
     than all that one question retrieves, else a place stays without a control.
     """
-    order = Window.orderBy(F.xxhash64(F.lit(seed), "chunk_id"), "chunk_id")
-    numbered = pool.select("chunk_id").distinct().withColumn("i", F.row_number().over(order) - 1)
-    n = F.broadcast(numbered.agg(F.count("*").alias("n")))
-    cited = retrieved.groupBy("query_id").agg(F.max("rank").alias("places")).withColumn("q", F.row_number().over(Window.orderBy("query_id")) - 1)
+    placed = numbered(pool.select("chunk_id").distinct().withColumn("_h", F.xxhash64(F.lit(seed), "chunk_id")), "_h").select("i", "chunk_id")
+    n = F.broadcast(placed.agg(F.count("*").alias("n")))
+    cited = retrieved.groupBy("query_id").agg(F.max("rank").alias("places")).transform(numbered, "query_id", "q")
     tries = cited.crossJoin(n).select("query_id", "places", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("places") * 2 - 1), lambda j: F.pmod(F.col("q") * 7 + j, F.col("n")))).alias("j", "i"))  # one row
-    free = tries.join(numbered, "i").join(retrieved.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    free = tries.join(placed, "i").join(retrieved.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return free.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("j"))).where("rank <= places").select("query_id", "rank", "chunk_id")

@@ -56,7 +56,19 @@ _CTES = {
     "agree": "SELECT f.query_id, (d.chunk_id IS NOT NULL AND s.chunk_id IS NOT NULL) AS both_agree FROM fused f LEFT JOIN dense d USING (query_id, chunk_id) LEFT JOIN sparse s USING (query_id, chunk_id) WHERE f.rank = 1",
     "ab": "SELECT doc_id, quality AS a, 1 - toxic AS b FROM labels",
     "num": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, a, b FROM ab",
-    "draws": "SELECT r, CAST('0x' || substr(md5('20260906:' || r || ':' || j), 1, 8) AS BIGINT) % (SELECT count(*) FROM num) AS i FROM range(200) t(r) CROSS JOIN (SELECT i AS j FROM num)",
+    "draws": "SELECT r, xor(c, c >> 16) % n AS i FROM (SELECT r, n, (xor(b, b >> 13) * 69621) % 2147483647 AS c FROM (SELECT r, n, (xor(a, a >> 15) * 48271) % 2147483647 AS b FROM (SELECT r, n, (r * 1000003 + j * 998244353 + 20260906) % 2147483647 AS a FROM range(10000) t(r) CROSS JOIN (SELECT i AS j, count(*) OVER () AS n FROM num))))",
+    "own": "SELECT chunk_id AS query_id, relative_path AS asker, substring(text, 1, 800) AS question FROM (SELECT *, row_number() OVER (PARTITION BY relative_path ORDER BY chunk_id) AS r FROM chunks WHERE CAST(substr(relative_path, 5) AS BIGINT) % 100 = 0) WHERE r <= 3",
+    "oqb": f"SELECT query_id, {_BUCKET} AS b, CAST(count(*) AS DOUBLE) AS c FROM (SELECT query_id, unnest({_terms('question')}) AS term FROM own) GROUP BY ALL",
+    "oqn": "SELECT query_id, sqrt(sum(c * c)) AS size FROM oqb GROUP BY query_id",
+    "onear": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(sum((cb.c / cn.size) * (oqb.c / oqn.size)), 6) AS score FROM cb JOIN cn USING (chunk_id) JOIN oqb USING (b) JOIN oqn USING (query_id) GROUP BY query_id, chunk_id)",
+    "pieces_of": r"SELECT answer_id, s, k, max(k) OVER (PARTITION BY answer_id) AS last FROM (SELECT answer_id, trim(s) AS s, k FROM (SELECT answer_id, unnest(l) AS s, unnest(range(len(l))) AS k FROM (SELECT answer_id, flatten(list_transform(string_split(answer, chr(10)), lambda x: regexp_split_to_array(regexp_replace(trim(x), '([.!?])[ \t]+([A-Z\"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)))) AS l FROM answers)) WHERE length(regexp_replace(regexp_replace(s, '\[\d+(\s*,\s*\d+)*\]', '', 'g'), '[^A-Za-z]', '', 'g')) >= 3)",
+    "asks": "SELECT item_id AS id, text FROM benchmark",
+    "tokens_used": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'gpt-4.1-mini' ELSE 'gpt-4.1-nano' END AS model, event_id % 5 = 0 AS cached, user_id AS input_tokens, greatest(0, event_id % 500 - event_id % 300) AS output_tokens, event_id % 300 AS thinking_tokens, CASE WHEN event_id % 2 = 0 THEN user_id / 1e6 * 0.4 + greatest(0, event_id % 500 - event_id % 300) / 1e6 * 1.6 ELSE user_id / 1e6 * 0.1 + greatest(0, event_id % 500 - event_id % 300) / 1e6 * 0.4 END AS cost_usd FROM events",
+    "said": f"SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r, regexp_replace(regexp_split_to_array(regexp_replace(text, '([.!?])[ \\t]+([A-Z\"''(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1))[1], '[.!?]+$', '') || ' [' || rank || '].' AS s FROM top5 JOIN chunks USING (chunk_id) JOIN questions USING (query_id) WHERE len(list_intersect({_terms('question')}, {_terms('text')})) > 0",
+    "replied": "SELECT query_id, string_agg(s, ' ' ORDER BY rank) AS reply, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) AS used FROM said WHERE r <= 2 GROUP BY query_id",
+    "outcomes": "SELECT q.query_id, q.quote, confidence, CASE WHEN both_agree IS NULL THEN 'no_results' WHEN confidence < 0.55 THEN 'low_confidence' WHEN reply IS NULL THEN 'insufficient_context' ELSE 'answered' END AS outcome, reply, used FROM questions q LEFT JOIN seen USING (query_id) LEFT JOIN agree USING (query_id) LEFT JOIN replied USING (query_id)",
+    "shown": "SELECT query_id, string_agg('[' || rank || '] ' || relative_path || ' > chunk ' || chunk_index || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM top5 JOIN chunks USING (chunk_id) GROUP BY query_id",
+    "judged": "SELECT query_id, quote, CASE WHEN outcome = 'answered' THEN reply ELSE '' END AS answer, coalesce(context, '') AS context FROM outcomes LEFT JOIN shown USING (query_id)",
     "answers": "SELECT conv_id || '-' || turn AS answer_id, text || ' [' || (length(text) % 7) || ', ' || (length(text) % 5 + 1) || '] `x[' || (length(text) % 3) || ']` Then more [2].' AS answer, length(text) AS n FROM conversations WHERE role = 'assistant'",
     "cited": "SELECT answer_id, CASE WHEN n % 7 = n % 5 + 1 THEN [n % 7] ELSE [n % 7, n % 5 + 1] END AS c0 FROM answers",
     "cites": "SELECT answer_id, CASE WHEN list_contains(c0, 2) THEN c0 ELSE list_append(c0, 2) END AS c FROM cited",
@@ -142,6 +154,37 @@ def oracle_sql() -> dict[str, str]:
         "recall_at_k": _with(_SCORED, "SELECT arm, question_id, hit_1, hit_3, hit_5, hit_10 FROM scored"),
         "mrr": _with(_SCORED, "SELECT arm, question_id, first_hit_rank, reciprocal_rank FROM scored"),
         "recall_at_budget": _with(_SCORED, "SELECT arm, question_id, budget_hit FROM scored"),
+        "is_hit": _with([*_ARMS, "spans", "cats", "hit", "pre", "cov"], "SELECT a.arm, c.question_id, CASE WHEN c.category = 'ambiguous' THEN coalesce(g.good, 0) > 0 ELSE coalesce(g.good, 0) = c.n END AS hit FROM (SELECT DISTINCT arm FROM arms) a CROSS JOIN cats c LEFT JOIN (SELECT arm, question_id, count(*) FILTER (r >= 1) AS good FROM (SELECT arm, question_id, span, max(ratio) AS r FROM cov GROUP BY ALL) GROUP BY ALL) g ON g.arm = a.arm AND g.question_id = c.question_id"),
+        "tier1_join": _with(_SCORED, "SELECT arm, CAST(question_id AS VARCHAR) AS question_id, hit_10 AS span_retrieved FROM scored UNION ALL SELECT 'other', CAST(question_id AS VARCHAR), false FROM scored WHERE arm = 'dense'"),
+        "arm_report": "SELECT event_type AS arm, count(*) AS questions, round(avg(CAST(event_id % 7 = 0 AS DOUBLE)), 6) AS refusal_rate, count(*) FILTER (event_id % 5 <> 0) AS live, round(quantile_cont(value, 0.5) FILTER (event_id % 5 <> 0), 6) AS median_live_latency, round(sum(value / 1000), 6) AS cost_usd FROM events GROUP BY event_type",
+        "judge_sample": _with(["records"], "SELECT question_id FROM (SELECT *, row_number() OVER (PARTITION BY priority, arm ORDER BY question_id) AS turn FROM (SELECT *, CASE WHEN NOT span_retrieved AND answerable THEN 0 WHEN NOT answerable THEN 1 ELSE 2 END AS priority FROM records)) ORDER BY priority, CASE WHEN priority = 2 THEN turn ELSE 0 END, CASE WHEN priority = 2 THEN arm ELSE '' END, question_id LIMIT 40"),
+        "cheapest_judge": "SELECT * FROM (SELECT source AS judge, round(avg(quality), 6) AS kappa, sum(n_chars) AS cost_usd FROM labels JOIN documents USING (doc_id) GROUP BY source) WHERE kappa >= 0.60 ORDER BY cost_usd, judge LIMIT 1",
+        "merged_verdicts": "SELECT doc_id AS question_id, CASE WHEN doc_id % 2 = 0 THEN 'CORRECT' WHEN toxic = 1 THEN 'INCORRECT' END AS human_verdict FROM labels",
+        "usage_costs": _with(["tokens_used"], "SELECT event_id, input_tokens, output_tokens, thinking_tokens, round(cost_usd, 9) AS cost_usd FROM tokens_used"),
+        "usage_ledger": _with(["tokens_used"], "SELECT model, count(*) FILTER (NOT cached) AS calls, count(*) FILTER (cached) AS cached_calls, sum(input_tokens) FILTER (NOT cached) AS input_tokens, sum(output_tokens) FILTER (NOT cached) AS output_tokens, round(sum(cost_usd) FILTER (NOT cached), 6) AS cost_usd FROM tokens_used GROUP BY model"),
+        "reply_parsing": "SELECT item_id, CASE item_id % 3 WHEN 1 THEN 'UNSUPPORTED' ELSE 'SUPPORTED' END AS support, CASE item_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS completeness, CASE item_id % 2 WHEN 0 THEN 'CORRECT' ELSE 'PARTIAL' END AS verdict, true AS grounded, 'it is ' || item_id AS reason FROM benchmark",
+        "model_prompts": "SELECT item_id, sha1('QUESTION' || chr(10) || text || chr(10) || chr(10) || 'REFERENCE ANSWER' || chr(10) || CASE WHEN item_id % 2 = 0 THEN lower(text) ELSE '(none: the documents do not answer this question, so declining is correct)' END || chr(10) || chr(10) || 'ASSISTANT''S ANSWER' || chr(10) || 'so ' || text || chr(10) || chr(10) || 'CONTEXT THE ASSISTANT WAS SHOWN' || chr(10) || 'some context' || chr(10)) AS judge, sha1('CLAIM' || chr(10) || text || chr(10) || chr(10) || 'CITED PASSAGES' || chr(10) || '[2] b.md > A > B' || chr(10) || 'x ' || text || chr(10)) AS verifier FROM benchmark",
+        "refusal_texts": _with([*_FUSED, "top5"], "SELECT query_id, sha1('low_confidence' || chr(10) || 'Closest passages:' || chr(10) || '- ' || array_to_string(list_slice(found, 1, 3), chr(10) || '- ') || chr(10) || 'Missing: the answer' || chr(10) || 'Documents to check: ' || array_to_string(list_slice(paths, 1, 3), ', ')) AS digest FROM (SELECT query_id, list(relative_path || ' > chunk ' || chunk_index ORDER BY rank) AS found FROM top5 JOIN chunks USING (chunk_id) GROUP BY query_id) JOIN (SELECT query_id, list(relative_path ORDER BY r) AS paths FROM (SELECT query_id, relative_path, min(rank) AS r FROM top5 JOIN chunks USING (chunk_id) GROUP BY ALL) GROUP BY query_id) USING (query_id)"),
+        "interval_texts": "SELECT source, printf('%.3f [%.3f, %.3f]', m, a, b) AS interval, printf('%+.3f [%+.3f, %+.3f]', m, a - 0.5, b) || CASE WHEN a - 0.5 > 0 OR b < 0 THEN '*' ELSE ' ' END AS delta FROM (SELECT source, avg(n_chars) / 1000 AS m, min(n_chars) / 1000 AS a, max(n_chars) / 1000 AS b FROM documents GROUP BY source)",
+        "eligible_sources": "SELECT source || '/' || doc_id AS relative_path FROM documents WHERE length(text) >= 1500 AND NOT starts_with(source || '/' || doc_id, 'src1/') AND NOT starts_with(source || '/' || doc_id, 'src2/9')",
+        "golden_items": "SELECT item_id AS reply_id, i, CASE WHEN item_id % 3 = 0 THEN 'what of ' || item_id END AS question, CASE WHEN item_id % 3 = 0 THEN 'this' END AS answer, CASE WHEN item_id % 3 = 0 THEN 1 END AS spans, CASE WHEN item_id % 3 = 0 THEN sha1(text || chr(10) || chr(10) || '```py' || chr(10) || '\"x\"' || chr(10) || '```') END AS quote, CASE item_id % 3 WHEN 1 THEN 'block without a question' WHEN 2 THEN 'reply without blocks' END AS problem FROM benchmark CROSS JOIN range(2) t(i) WHERE i = 0 OR item_id % 3 = 0",
+        "candidate_reasons": _with(["docs", "spans"], "SELECT DISTINCT question_id, CASE question_id % 4 WHEN 1 THEN 'quote not verbatim' WHEN 2 THEN 'lookup needs one span' END AS reason FROM spans"),
+        "rejection_counts": _with(["docs", "spans"], "SELECT reason, count(*) AS n FROM (SELECT DISTINCT question_id, CASE question_id % 4 WHEN 1 THEN 'quote not verbatim' WHEN 2 THEN 'lookup needs one span' END AS reason FROM spans) WHERE reason IS NOT NULL GROUP BY reason"),
+        "suspicious_no_answer": _with(_SEEN, "SELECT query_id AS question_id, round(confidence, 6) AS confidence FROM seen WHERE confidence >= 0.55"),
+        "confusable_documents": _with([*_CHUNKS, "post", "cb", "cn", "own", "oqb", "oqn", "onear"], "SELECT asker AS relative_path, other, n FROM (SELECT *, row_number() OVER (PARTITION BY asker ORDER BY n DESC, other) AS r FROM (SELECT asker, c.relative_path AS other, count(*) AS n FROM onear JOIN own USING (query_id) JOIN chunks c ON c.chunk_id = onear.chunk_id WHERE onear.rank <= 8 AND c.relative_path <> asker GROUP BY ALL)) WHERE r = 1"),
+        "golden_shape": "SELECT question_id, error FROM (SELECT item_id AS question_id, CASE WHEN item_id % 5 = 0 AND item_id % 4 <> 1 THEN 'lookup needs one span' WHEN item_id % 5 = 1 AND item_id % 4 < 2 THEN 'multi_hop needs spans in two documents' WHEN item_id % 5 = 2 AND item_id % 4 < 2 THEN 'ambiguous needs two spans' WHEN item_id % 5 > 2 AND item_id % 4 > 0 THEN 'unanswerable questions have no spans' WHEN item_id % 2 = 1 AND item_id % 7 = 0 THEN 'held_out needs a source url' END AS error FROM benchmark) WHERE error IS NOT NULL",
+        "golden_select": "SELECT item_id AS question_id, ['lookup', 'multi_hop', 'ambiguous'][item_id % 5 + 1] AS category FROM benchmark WHERE item_id % 2 = 0 AND item_id % 3 > 0 AND item_id % 5 < 3",
+        "document_listing": _with(_CHUNKS[:6], "SELECT docs.relative_path, CASE WHEN source = 'src1' THEN 'ingested' ELSE 'processed' END AS origin, count(chunk_index) AS chunks FROM docs LEFT JOIN cut USING (relative_path) GROUP BY docs.relative_path, source"),
+        "chunk_store": _with(_CHUNKS[:6], "SELECT relative_path, count(*) AS chunks, sum(token_count + CASE WHEN relative_path = 'doc/1' THEN 1000 ELSE 0 END) AS tokens FROM cut WHERE relative_path <> 'doc/0' GROUP BY relative_path"),
+        "vector_store": _with(["q100", "nn"], "SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM nn WHERE label = 3) WHERE rank <= 5"),
+        "vector_ids": "SELECT vec_id AS chunk_id FROM embeddings WHERE label = 3",
+        "document_store": "SELECT 'doc/' || doc_id || '.txt' AS relative_path, CAST(doc_id AS VARCHAR) AS title, sha1(text) AS content_hash, 1 AS sections FROM documents",
+        "upload_checks": "SELECT page_id, CASE WHEN page_id % 4 = 2 THEN 415 WHEN page_id % 3 = 0 THEN 422 ELSE 200 END AS status FROM pages",
+        "split_claims": _with(["answers", "cited", "cites", "pieces_of"], f"SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY k) - 1 AS \"index\", s AS text, CASE WHEN k = last THEN {_joined('c')} ELSE '' END AS citations FROM pieces_of JOIN cites USING (answer_id)"),
+        "citation_coverage": _with(["answers", "pieces_of"], "SELECT answer_id, count(*) AS claims, round(1.0 / count(*), 6) AS coverage FROM pieces_of GROUP BY answer_id"),
+        "markdown_sections": "SELECT 'doc/' || doc_id || '.md' AS relative_path, source AS title, len(l) AS sections, sha1(array_to_string(l, chr(10) || chr(10))) AS content_hash FROM (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)",
+        "ask_pipeline": _with([*_SEEN, "said", "replied", "outcomes"], "SELECT query_id, outcome, CASE WHEN outcome = 'answered' THEN reply END AS answer, round(confidence, 6) AS confidence, CASE WHEN outcome = 'answered' THEN used ELSE '' END AS citations FROM outcomes"),
+        "judge_pipeline": _with([*_SEEN, "said", "replied", "outcomes", "shown", "judged"], f"SELECT query_id, CASE WHEN w >= 0.6 THEN 'CORRECT' WHEN w >= 0.25 THEN 'PARTIAL' ELSE 'INCORRECT' END AS verdict, coalesce(g, 0) >= 0.6 AS grounded FROM (SELECT query_id, len(list_intersect(list_distinct({_terms('quote')}), {_terms('answer')})) / nullif(len(list_distinct({_terms('quote')})), 0) AS w, len(list_intersect(list_distinct({_terms('answer')}), {_terms('context')})) / nullif(len(list_distinct({_terms('answer')})), 0) AS g FROM judged)"),
         "arm_grid": _with(_SCORED, f"SELECT arm, {_MEANS} FROM scored GROUP BY arm"),
         "arm_by_category": _with(_SCORED, f"SELECT arm, category, {_MEANS} FROM scored JOIN cats USING (question_id) GROUP BY arm, category"),
         "leader_arm": _with(_SCORED, f"SELECT arm, recall_5, mrr FROM (SELECT arm, {_MEANS} FROM scored GROUP BY arm) ORDER BY recall_5 DESC, mrr DESC, arm LIMIT 1"),

@@ -16,10 +16,10 @@ from spanloom.functions import text as T
 from spanloom.functions.ids import chunk_id, document_id, section_id
 from spanloom.functions.kernels import hashed_vectors
 from spanloom.functions.vectors import hashed_terms
-from spanloom.operators import answering, chunking, dedup, dense, fusion, golden, lexical, metrics, models, quality, stats
+from spanloom.operators import answering, chunking, dedup, dense, fusion, generation, golden, lexical, metrics, models, quality, reports, stats
 from spanloom.plans.oracles import oracle_sql  # noqa: F401
 from spanloom.shared import table_path, work_dir, written
-from spanloom.sources import files, store
+from spanloom.sources import evaluation, files, store
 
 MAX, OVERLAP = 64, 8  #: chunk size of the queries; the operators default to 512 and 64
 DISTRACTOR = "doc/0"
@@ -61,28 +61,55 @@ def _dense(spark: SparkSession, sf_dir: str, lists: DataFrame, k: int = fusion.C
     return dense.top_k(hashed_vectors(lists, "chunk_id"), asked, k)
 
 
-def _rankings(spark: SparkSession, sf_dir: str, k: int = fusion.CANDIDATES) -> tuple[DataFrame, DataFrame]:
-    """(chunks, both rankings as one table); both are tables in the shared folder, as every arm reads them."""
-    chunks = written(_chunks(spark, sf_dir), "chunks")
-    index = lexical.build(chunks)
+_STORES: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, strategy: str = "fixed") -> tuple[DataFrame, lexical.LexicalIndex]:
+    """(chunks, lexical index) of a strategy, from stores that the first query of a session builds and the others read."""
+    key = (spark.sparkContext.applicationId, sf_dir, strategy)
+    if key not in _STORES:
+        root = table_path(spark, "index")
+        made = {"fixed": _chunks, "structure": _structure, "semantic": _semantic, "documents": _whole}[strategy](spark, sf_dir)
+        store.ChunkStore(spark, f"{root}/chunks", 16).replace(strategy, made)
+        chunks = store.ChunkStore(spark, f"{root}/chunks", 16).read(strategy)
+        store.LexicalStore(spark, f"{root}/terms", 16).index(strategy, chunks)
+        _STORES[key] = root
+    root = _STORES[key]
+    return store.ChunkStore(spark, f"{root}/chunks", 16).read(strategy), store.LexicalStore(spark, f"{root}/terms", 16).load(strategy)
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), _path(F.col("doc_id")).alias("relative_path"), "text")
+
+
+def _rankings(spark: SparkSession, sf_dir: str, k: int = fusion.CANDIDATES, strategy: str = "fixed") -> tuple[DataFrame, DataFrame]:
+    """(chunks, both rankings as one table); the rankings are a table in the shared folder, as every arm reads them."""
+    chunks, index = _index(spark, sf_dir, strategy)
     sparse = lexical.search(index, _questions(spark, sf_dir), k)
     return chunks, written(fusion.unified({"dense": _dense(spark, sf_dir, index.chunks, k), "sparse": sparse}), "rankings")
 
 
-def _arms(spark: SparkSession, sf_dir: str, limit: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(chunks, ranked chunks of the arms hybrid, dense and sparse with places and token counts)."""
-    chunks, rankings = _rankings(spark, sf_dir)
-    hybrid = fusion.reciprocal_rank_fusion(rankings, limit=limit).select(F.lit("hybrid").alias("arm"), "query_id", "chunk_id", "rank")
-    alone = rankings.where(F.col("rank") <= limit).select(F.col("retriever").alias("arm"), "query_id", "chunk_id", "rank")
-    rows = hybrid.unionByName(alone).join(chunks.select("chunk_id", "relative_path", "start_char", "end_char", "token_count"), "chunk_id")
+def _arms(spark: SparkSession, sf_dir: str, limit: int = 10, strategy: str = "fixed", reranked: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(chunks, ranked chunks of the arms hybrid, dense and sparse, and if wanted rerank, with places and token counts)."""
+    chunks, rankings = _rankings(spark, sf_dir, strategy=strategy)
+    fused = fusion.reciprocal_rank_fusion(rankings, limit=max(limit, fusion.RERANK_DEPTH)).select("query_id", "chunk_id", "score", "rank")
+    hybrid = fused.where(F.col("rank") <= limit).select(F.lit("hybrid").alias("arm"), "query_id", "chunk_id", "rank")
+    rows = hybrid.unionByName(rankings.where(F.col("rank") <= limit).select(F.col("retriever").alias("arm"), "query_id", "chunk_id", "rank"))
+    if reranked:
+        joint = fusion.hydrate(fused, chunks).join(_questions(spark, sf_dir).select("query_id", "question"), "query_id")
+        rows = rows.unionByName(fusion.rerank(joint, 5).select(F.lit("rerank").alias("arm"), "query_id", "chunk_id", "rank"))
+    rows = rows.join(chunks.select("chunk_id", "relative_path", "start_char", "end_char", "token_count"), "chunk_id")
     return chunks, written(rows.withColumnRenamed("query_id", "question_id"), "arms")
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(per-question metrics, categories)."""
-    _, arms = _arms(spark, sf_dir)
+def _scored(spark: SparkSession, sf_dir: str, strategy: str = "fixed", gains: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(per-question metrics, categories); with ``gains`` nDCG too, and the reranked arm."""
+    chunks, arms = _arms(spark, sf_dir, strategy=strategy, reranked=gains)
     spans = written(_spans(spark, sf_dir), "spans")
-    return metrics.per_question(arms, spans, _categories(spans), budget=400), _categories(spans)
+    scored = metrics.per_question(arms, spans, _categories(spans), budget=400)
+    if gains:
+        scored = scored.join(metrics.ndcg(arms, chunks, spans, _categories(spans)).select("arm", "question_id", "ndcg"), ["arm", "question_id"])
+    return scored, _categories(spans)
 
 
 # -- text, tokens, chunks -----------------------------------------------------------------------------------------
@@ -148,16 +175,16 @@ def paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats_ = lexical.build(_t(spark, sf_dir, "documents"), "doc_id").stats
+    stats_ = _index(spark, sf_dir, "documents")[1].stats
     return stats_.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search(lexical.build(_t(spark, sf_dir, "documents"), "doc_id"), _questions(spark, sf_dir), 10).select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
+    return lexical.search(_index(spark, sf_dir, "documents")[1], _questions(spark, sf_dir), 10).select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
 
 
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search(lexical.build(_chunks(spark, sf_dir)), _questions(spark, sf_dir), 10)
+    return lexical.search(_index(spark, sf_dir)[1], _questions(spark, sf_dir), 10)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -239,8 +266,8 @@ def exact_dedup_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy near-duplicates among the chunks of each document."""
-    chunks = written(_chunks(spark, sf_dir), "chunks")
-    found = dedup.near_duplicates(chunks.join(hashed_terms(chunks, "chunk_id"), "chunk_id"), ["chunk_index"])
+    chunks, index = _index(spark, sf_dir)
+    found = dedup.near_duplicates(chunks.join(hashed_vectors(index.chunks, "chunk_id"), "chunk_id"), ["chunk_index"])
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -311,7 +338,44 @@ def arm_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leader_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.leader(arm_grid(spark, sf_dir)).select("arm", "recall_5", "mrr")
+    return metrics.leader(arm_grid(spark, sf_dir), second="mrr").select("arm", "recall_5", "mrr")
+
+
+def strategy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every strategy with every retriever and with reranking: recall, MRR, nDCG and recall within the budget."""
+    out = None
+    for strategy in chunking.STRATEGIES:
+        own = metrics.arm_means(_scored(spark, sf_dir, strategy, gains=True)[0], ["arm"]).withColumn("arm", F.concat("arm", F.lit(f"/{strategy}")))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def leader_by_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.leader(strategy_grid(spark, sf_dir)).select("arm", "recall_5", "ndcg_10")
+
+
+def rerank_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether reranking separates from the hybrid arm, for each strategy."""
+    out = None
+    for strategy in chunking.STRATEGIES:
+        own = _scored(spark, sf_dir, strategy, gains=True)[0].select(F.lit(strategy).alias("strategy"), "arm", "question_id", "hit_5")
+        out = own if out is None else out.unionByName(own)
+    return reports.rerank_verdict(written(out, "grid"))
+
+
+def is_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = written(_spans(spark, sf_dir), "spans")
+    return metrics.is_hit(_arms(spark, sf_dir)[1], spans, _categories(spans))
+
+
+def tier1_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored hits joined to answers of the same arms and of one that was never scored."""
+    scored = _scored(spark, sf_dir)[0]
+    path = table_path(spark, "results")
+    evaluation.save_results(scored, path)
+    answered = scored.select("arm", F.col("question_id").cast("string").alias("question_id"))
+    records = answered.unionByName(answered.where("arm = 'dense'").withColumn("arm", F.lit("other")))
+    return evaluation.with_retrieval(records, evaluation.load_results(spark, path)).select("arm", "question_id", "span_retrieved")
 
 
 def distractor_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +391,7 @@ def metrics_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- statistics ---------------------------------------------------------------------------------------------------
 
-RESAMPLES = 200
+RESAMPLES = stats.RESAMPLES
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,13 +416,13 @@ def bootstrap_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every label pair with its place and whether it agrees."""
-    rows = _labels(spark, sf_dir).withColumn("position", F.row_number().over(Window.orderBy("doc_id")) - 1)
+    rows = stats.numbered(_labels(spark, sf_dir), "doc_id", "position")
     return rows.select("doc_id", "position", (F.col("a") == F.col("b")).alias("agree"))
 
 
 def seeded_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labels(spark, sf_dir).select(F.lit("quality").alias("series"), F.col("doc_id").alias("question_id"), F.col("a").alias("value"))
-    return stats.seeded_interval(rows, "series", "value", 1000)
+    return stats.seeded_interval(rows, "series", "value")
 
 
 # -- answering ----------------------------------------------------------------------------------------------------
@@ -421,11 +485,12 @@ def resolve_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answering.split_claims(_answers(spark, sf_dir))
+    rows = answering.split_claims(_answers(spark, sf_dir))
+    return rows.select("answer_id", "index", "text", F.array_join(F.transform("citations", lambda n: n.cast("string")), ",").alias("citations"))
 
 
 def citation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answering.structural_coverage(split_claims(spark, sf_dir))
+    return answering.structural_coverage(answering.split_claims(_answers(spark, sf_dir)))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -445,6 +510,17 @@ def verify_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answering.verification_report(answering.verify(claims, rows, models.overlap_verifier))
 
 
+def verification_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims verified against what they cite, and against chunks that their question didn't retrieve."""
+    rows = written(_asked(spark, sf_dir).select("query_id", "answer", "results"), "answers")
+    claims = answering.split_claims(rows.select(F.col("query_id").alias("answer_id"), "answer"))
+    chunks = _index(spark, sf_dir)[0].select("chunk_id", "text")
+    got = rows.select("query_id", F.explode("results").alias("r")).select("query_id", "r.chunk_id", F.col("r.rank").alias("rank"))
+    other = quality.control_blocks(chunks, got).join(chunks, "chunk_id")
+    control = other.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: F.struct(x["text"].alias("text"))).alias("results"))
+    return reports.separation(answering.verify(claims, rows, models.overlap_verifier), answering.verify(claims, control, models.overlap_verifier))
+
+
 def judge_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _asked(spark, sf_dir)
     judged = models.overlap_judge(rows.select("query_id", F.col("quote").alias("reference"), F.coalesce("answer", F.lit("")).alias("answer"), answering.context(F.col("results")).alias("context")))
@@ -472,6 +548,138 @@ def quality_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.series(_records(spark, sf_dir)).groupBy("arm").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("correct", "correct_or_partial", "grounded_score", "cited_honestly")))
 
 
+def arm_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request logs as answers: refusals, live answers, their median latency, costs."""
+    n = F.col("event_id")
+    rows = _t(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), (F.pmod(n, F.lit(7)) > 0).alias("answered"), (F.pmod(n, F.lit(5)) == 0).alias("cached"), F.col("value").alias("latency_s"), (F.col("value") / 1000).alias("cost_usd"))
+    return quality.arm_report(rows)
+
+
+def judge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty answers to label by hand first."""
+    return quality.judge_sample(_records(spark, sf_dir).withColumn("category", F.col("arm")), 40).select("question_id")
+
+
+def cheapest_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as judges: their share of good documents as agreement, their length as cost."""
+    rows = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+    judges = rows.groupBy(F.col("source").alias("judge")).agg(F.round(F.avg("quality"), 6).alias("kappa"), F.sum("n_chars").alias("cost_usd"))
+    return quality.cheapest_judge(judges)
+
+
+def merged_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"), F.when(F.col("toxic") == 1, "INCORRECT").alias("human_verdict"))
+    new = sheet.where("question_id % 2 = 0").select("question_id", F.lit("CORRECT").alias("human_verdict"))
+    return quality.merge_verdicts(sheet, new)
+
+
+def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    rows = _t(spark, sf_dir, "events").select("event_id", F.when(F.pmod(n, F.lit(2)) == 0, "gpt-4.1-mini").otherwise("gpt-4.1-nano").alias("model"), (F.pmod(n, F.lit(5)) == 0).alias("cached"), F.col("user_id").alias("prompt_tokens"), F.pmod(n, F.lit(500)).alias("completion_tokens"), F.pmod(n, F.lit(300)).alias("reasoning_tokens"))
+    return models.priced(models.with_usage(rows))
+
+
+def usage_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _usage(spark, sf_dir).select("event_id", "input_tokens", "output_tokens", "thinking_tokens", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.ledger(_usage(spark, sf_dir))
+
+
+def reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of verifier, completeness scorer and judge in the forms that are tolerated, read back."""
+    n = F.col("item_id")
+    pick = lambda *options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(n, F.lit(len(options))) + 1).cast("int"))
+    rows = _t(spark, sf_dir, "benchmark").select(n, pick("SUPPORT: supported", "**SUPPORT:** Unsupported\nREASON: none", "thought\nSUPPORTED.\n").alias("support"), pick("COMPLETENESS: Complete", "**COMPLETENESS**: partial", "x\ncompleteness: MISSING").alias("completeness"), F.concat(pick("VERDICT: correct", "**VERDICT:** PARTIAL"), F.lit("\nGROUNDED: yes\nREASON: it is "), n.cast("string")).alias("judge"))
+    judged = answering.judgement(F.col("judge"))
+    return rows.select("item_id", answering.support(F.col("support")).alias("support"), answering.completeness(F.col("completeness")).alias("completeness"), judged["verdict"].alias("verdict"), judged["grounded"].alias("grounded"), judged["reason"].alias("reason"))
+
+
+def model_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of judge and verifier over benchmark passages."""
+    n, text = F.col("item_id"), F.col("text")
+    result = lambda path, body: F.struct(F.lit(path).alias("relative_path"), F.array(F.lit("A"), F.lit("B")).alias("heading_path"), body.alias("text"))
+    results = F.array(result("a.md", text), result("b.md", F.concat(F.lit("x "), text)))
+    judge = answering.judge_prompt(text, F.when(F.pmod(n, F.lit(2)) == 0, F.lower(text)).otherwise(""), F.concat(F.lit(" so "), text), F.lit("some context"))
+    verifier = answering.verification_prompt(F.concat(text, F.lit(" ")), F.array(F.lit(2), F.lit(9)), results)
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.sha1(judge).alias("judge"), F.sha1(verifier).alias("verifier"))
+
+
+def refusal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = answering.near_misses(_retrieved(spark, sf_dir))
+    found = F.transform("what_was_found", lambda m: F.struct(m["source"].alias("source"), F.lit(None).cast("double").alias("similarity")))
+    text = answering.refusal_text(F.lit("low_confidence"), found, F.lit("the answer"), F.col("documents_to_check"))
+    return rows.select("query_id", F.sha1(text).alias("digest"))
+
+
+def interval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").groupBy("source").agg((F.avg("n_chars") / 1000).alias("m"), (F.min("n_chars") / 1000).alias("a"), (F.max("n_chars") / 1000).alias("b"))
+    return rows.select("source", reports.interval_text(F.col("m"), F.col("a"), F.col("b")).alias("interval"), reports.delta_text(F.col("m"), F.col("a") - 0.5, F.col("b")).alias("delta"))
+
+
+# -- golden questions ---------------------------------------------------------------------------------------------
+
+
+def eligible_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("relative_path"), "text")
+    return generation.eligible(rows, ["src1/", "src2/9"]).select("relative_path")
+
+
+def golden_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies in marked blocks: whole, without a question, or without blocks."""
+    n, text = F.col("item_id"), F.col("text")
+    block = F.concat(F.lit("<<<ITEM>>>\nQUESTION: what of "), n.cast("string"), F.lit("\nANSWER: this\n<<<SPAN>>> a.md\n"), text, F.lit("\n\n```py\n\"x\"\n```\n<<<ENDSPAN>>>\n<<<SPAN>>> b.md\n\n<<<ENDSPAN>>>\n<<<ENDITEM>>>"))
+    reply = F.when(n % 3 == 0, F.concat(F.lit("Here:\n"), block, F.lit("\n"), block)).when(n % 3 == 1, "<<<ITEM>>>\nANSWER: only\n<<<ENDITEM>>>").otherwise("I can't.")
+    rows = generation.parsed_items(_t(spark, sf_dir, "benchmark").select(n.alias("reply_id"), reply.alias("reply")))
+    return rows.select("reply_id", "i", "question", "answer", F.size("spans").alias("spans"), F.sha1(F.try_element_at("spans", F.lit(1))["quote"]).alias("quote"), "problem")
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate for each passage that lies in a document, some spoilt."""
+    n = F.col("question_id")
+    held = _spans(spark, sf_dir).groupBy("question_id").agg(F.min("relative_path").alias("relative_path")).join(_questions(spark, sf_dir).select(F.col("query_id").alias("question_id"), "quote"), "question_id")
+    quote = F.when(n % 4 == 1, F.concat("quote", F.lit("zz"))).otherwise(F.col("quote"))
+    span = F.array(F.struct("relative_path", quote.alias("quote")))
+    return held.select("question_id", F.when(n % 4 == 3, "no_answer").otherwise("lookup").alias("category"), F.lit("what?").alias("question"), F.when(n % 4 == 2, F.filter(span, lambda s: F.lit(False))).otherwise(span).alias("spans"))
+
+
+def candidate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generation.judged_candidates(_candidates(spark, sf_dir), _documents(spark, sf_dir))
+
+
+def rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generation.rejections(candidate_reasons(spark, sf_dir))
+
+
+def suspicious_no_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = answering.with_gate(_retrieved(spark, sf_dir)).select(F.col("query_id").alias("question_id"), "confidence")
+    asked = best.select("question_id", F.lit("no_answer").alias("category"))
+    return generation.suspicious(asked, best).withColumn("confidence", F.round("confidence", 6))
+
+
+def confusable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document whose id is divisible by 100 the document that its chunks retrieve most."""
+    asking = _t(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(_path(F.col("doc_id")).alias("relative_path"))
+    return generation.confusable(_index(spark, sf_dir)[0], asking)
+
+
+def _golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = F.col("item_id")
+    kinds = F.element_at(F.array(*map(F.lit, golden.CATEGORIES)), (F.pmod(n, F.lit(5)) + 1).cast("int"))
+    rows = _t(spark, sf_dir, "benchmark").select(n.alias("question_id"), kinds.alias("category"), F.when(n % 2 == 0, "tuning").otherwise("held_out").alias("split"), F.when(n % 7 > 0, "http://x").alias("source_url"), (n % 3 > 0).alias("verified"))
+    spans = _t(spark, sf_dir, "benchmark").select(n.alias("question_id"), F.explode(F.filter(F.sequence(F.lit(0), (F.pmod(n, F.lit(4))).cast("int")), lambda k: k > 0)).alias("k"))
+    return rows, spans.select("question_id", F.concat(F.lit("d"), F.col("k").cast("string")).alias("relative_path"))
+
+
+def golden_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.shape_errors(*_golden(spark, sf_dir))
+
+
+def golden_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.select(_golden(spark, sf_dir)[0], "tuning", golden.ANSWERABLE).select("question_id", "category")
+
+
 # -- listings, stores, sources ------------------------------------------------------------------------------------
 
 
@@ -481,6 +689,53 @@ def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(counts, "relative_path", "left").fillna(0, ["chunks"])
 
 
+def document_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processed documents and later ingested ones, of which the later wins, with their chunks."""
+    docs = _documents(spark, sf_dir).select("relative_path", "source")
+    both = docs.select("relative_path", F.lit("processed").alias("origin"), F.lit(0).alias("turn")).unionByName(docs.where("source = 'src1'").select("relative_path", F.lit("ingested").alias("origin"), F.lit(1).alias("turn")))
+    counts = _index(spark, sf_dir)[0].groupBy("relative_path").agg(F.count("*").alias("chunks"))
+    return files.last_of_each(both, "relative_path", "turn").join(counts, "relative_path", "left").fillna(0, ["chunks"]).select("relative_path", "origin", "chunks")
+
+
+def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks stored, some upserted, a document deleted, another strategy stored and deleted; what is left."""
+    held = store.ChunkStore(spark, table_path(spark, "chunk-store"), 8)
+    chunks = _index(spark, sf_dir)[0].drop("bucket")
+    held.replace("fixed", chunks)
+    held.replace("other", chunks.where("chunk_index = 0"))
+    held.upsert("fixed", chunks.where("relative_path = 'doc/1'").withColumn("token_count", F.col("token_count") + 1000))
+    held.delete_document("fixed", "doc/0")
+    held.delete_strategy("other")
+    return held.read("fixed").groupBy("relative_path").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
+
+
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors stored with their label, then the five nearest of one label."""
+    held = store.VectorStore(spark, table_path(spark, "vector-store"), 8)
+    rows, asked = _vectors(spark, sf_dir)
+    held.upsert("embeddings", rows.withColumn("relative_path", F.concat(F.lit("label/"), F.col("label").cast("string"))))
+    return held.search("embeddings", asked, 5, label=3)
+
+
+def vector_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = store.VectorStore(spark, table_path(spark, "vector-store"), 8)
+    held.upsert("embeddings", _vectors(spark, sf_dir)[0].withColumn("relative_path", F.concat(F.lit("label/"), F.col("label").cast("string"))))
+    return held.ids("embeddings", label=3)
+
+
+def document_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain texts processed, saved with a manifest and loaded."""
+    held = store.DocumentStore(spark, table_path(spark, "document-store"))
+    held.save(files.text_documents(_documents(spark, sf_dir).select(F.concat("relative_path", F.lit(".txt")).alias("relative_path"), "text")))
+    return held.load().select("relative_path", "title", "content_hash", F.size("sections").alias("sections"))
+
+
+def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    name = F.element_at(F.array(*map(F.lit, ("a/b.md", "x.TXT", "y.pdf", "..\\z.md"))), (F.pmod(n, F.lit(4)) + 1).cast("int"))
+    return _t(spark, sf_dir, "pages").select("page_id", files.upload_status(name, F.when(n % 3 == 0, " \n").otherwise(F.col("html"))).alias("status"))
+
+
 def multi_hop_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every vector whose id is divisible by 100, the label other than its own that its neighbours have most often."""
     rows, asked = _vectors(spark, sf_dir)
@@ -525,12 +780,20 @@ def _sections_of(documents: DataFrame) -> DataFrame:
     return documents.withColumn("section_spans", T.piece_spans(F.split("text", "\n"), 1))
 
 
+def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.structure_chunks(_sections_of(_documents(spark, sf_dir)), MAX, OVERLAP)
+
+
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.semantic_chunks(_sections_of(_documents(spark, sf_dir)), MAX)
+
+
 def structure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.structure_chunks(_sections_of(_documents(spark, sf_dir)), MAX, OVERLAP).drop("text", "strategy")
+    return _structure(spark, sf_dir).drop("text", "strategy")
 
 
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.semantic_chunks(_sections_of(_documents(spark, sf_dir)), MAX).drop("text", "strategy")
+    return _semantic(spark, sf_dir).drop("text", "strategy")
 
 
 def stale_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -579,7 +842,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs.repartition(4, "relative_path").write.parquet(incoming)
     query = start(spark, incoming, root, checkpoint, "relative_path string, text string, position int", lambda rows: rows, MAX, OVERLAP, files_per_trigger=2)
     query.awaitTermination()
-    return store.ChunkStore(spark, root).read("fixed").drop("text")
+    return store.ChunkStore(spark, root).read("fixed").drop("text", "bucket")
 
 
 _QUERIES = (
@@ -590,6 +853,9 @@ _QUERIES = (
     kappa, bootstrap_kappa, label_agreement, seeded_bootstrap, refusal_gate, refusal_calibration, near_misses, confidence_composite, render_context, parse_citations,
     resolve_citations, split_claims, citation_coverage, ask_pipeline, verify_pipeline, judge_pipeline, failure_attribution, failure_pivot, quality_series,
     document_summary, multi_hop_pairs, html_sections, html_text, markdown_sections, include_expansion, structure_chunks, semantic_chunks, stale_documents,
+    strategy_grid, leader_by_gain, rerank_verdict, is_hit, tier1_join, verification_separation, arm_report, judge_sample, cheapest_judge, merged_verdicts, usage_costs, usage_ledger,
+    reply_parsing, model_prompts, refusal_texts, interval_texts, eligible_sources, golden_items, candidate_reasons, rejection_counts, suspicious_no_answer, confusable_documents,
+    golden_shape, golden_select, document_listing, chunk_store, vector_store, vector_ids, document_store, upload_checks,
     last_write_wins, upsert_latest, delete_document, index_consistency, cost_by_window, stream_ingest,
 )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -143,19 +144,25 @@ def expand_includes(files: DataFrame, includes: DataFrame) -> tuple[DataFrame, D
     """Markdown files with ``{* path *}`` lines replaced by fenced blocks of the named files; and the includes that no file answers.
 
     files: relative_path, text; includes: path, content, relative to the include root.  Leading ``..`` parts are
-    dropped, so an include can't leave the root; a line without an answer goes.
+    dropped, so an include can't leave the root; a line without an answer goes.  Only include lines are joined.
     """
     lines = files.select("relative_path", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     named = F.regexp_extract("line", INCLUDE.pattern, 1)
     target = F.regexp_replace(named, r"^(?:\.\.?/)+", "")
-    rows = lines.withColumn("path", F.when(named != "", target))
-    joined = rows.join(includes.select("path", F.col("content").alias("_content")), "path", "left")
+    rows = lines.where(named != "").select("relative_path", "i", target.alias("path"))
     suffix = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
     block = F.concat(F.lit("```"), suffix, F.lit("\n"), F.regexp_replace("_content", r"\n+$", ""), F.lit("\n```"))
-    kept = joined.where(F.col("path").isNull() | F.col("_content").isNotNull()).withColumn("line", F.when(F.col("path").isNull(), F.col("line")).otherwise(block))
-    text = kept.groupBy("relative_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    unresolved = rows.where("path IS NOT NULL").join(includes.select("path"), "path", "left_anti").select("relative_path", "path").distinct()
-    return files.select("relative_path").join(text, "relative_path", "left").fillna("", ["text"]), unresolved
+    joined = rows.join(includes.select("path", F.col("content").alias("_content")), "path", "left").withColumn("block", block)
+    found = joined.groupBy("relative_path").agg(F.map_from_entries(F.collect_list(F.struct("i", "block"))).alias("_blocks"))
+    put = F.transform(F.split("text", "\n"), lambda line, i: F.when(F.map_contains_key("_blocks", i), F.element_at("_blocks", i)).otherwise(line))
+    text = F.when(F.col("_blocks").isNull(), F.col("text")).otherwise(F.array_join(F.filter(put, lambda x: x.isNotNull()), "\n"))
+    unresolved = joined.where("_content IS NULL").select("relative_path", "path").distinct()
+    return files.join(found, "relative_path", "left").select("relative_path", F.coalesce(text, F.lit("")).alias("text")), unresolved
+
+
+def include_root(corpus: str, marker: str = "docs_src") -> str | None:
+    """The nearest folder above a local corpus that holds ``marker``, from which includes are resolved; None without one."""
+    return next((str(p) for p in Path(corpus).resolve().parents if (p / marker).is_dir()), None)
 
 
 def assemble(parsed_files: DataFrame) -> DataFrame:
@@ -203,6 +210,6 @@ def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def upload_status(name: Column, text: Column) -> Column:
-    """HTTP status of an upload: 415 for a suffix other than md and txt, 422 for an empty text, else 200; only the base name counts."""
+    """HTTP status of an upload: 415 for a suffix other than md and txt, 422 for a text without words, which gives no chunk, else 200; only the base name counts."""
     base = F.regexp_extract(name, r"([^/\\]*)$", 1)
-    return F.when(~F.lower(base).rlike(r"\.(md|txt)$"), 415).when(F.trim(F.coalesce(text, F.lit(""))) == "", 422).otherwise(200)
+    return F.when(~F.lower(base).rlike(r"\.(md|txt)$"), 415).when(~F.coalesce(text, F.lit("")).rlike(r"\S"), 422).otherwise(200)

@@ -39,7 +39,14 @@ def test_confidence(spark):
 
 
 def test_replies(spark):
-    assert one(spark, answering.support(F.lit("**SUPPORT:** partial"))) == "PARTIAL"
+    assert one(spark, answering.support(F.lit("**SUPPORT:** supported"))) == "SUPPORTED"
+    for bad in ("**SUPPORT:** partial", "SUPPORT: partial\nSUPPORTED", "hm", ""):
+        with pytest.raises(Exception, match="can't be read"):
+            one(spark, answering.support(F.lit(bad)))
+    for bad in ("COMPLETENESS: incomplete", "complete", ""):
+        with pytest.raises(Exception, match="can't be read"):
+            one(spark, answering.completeness(F.lit(bad)))
+    assert one(spark, answering.completeness(F.lit("**COMPLETENESS:** missing"))) == 0.0
     assert one(spark, answering.support(F.lit("thinking\nUNSUPPORTED.\n"))) == "UNSUPPORTED"
     assert one(spark, answering.completeness(F.lit("COMPLETENESS: complete\nREASON: x"))) == 1.0
     row = one(spark, answering.judgement(F.lit("VERDICT: Partial\nGROUNDED: no\nREASON: because")))
