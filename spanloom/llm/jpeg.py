@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.shared import bounded_batches, lean
+from spanloom.shared import bounded_batches, lean, written
 
 UNIT = 576  #: payloads are a positive multiple of this many bytes, nine blocks
 PAD = 255
@@ -163,7 +163,7 @@ class Decoder:
         if raw[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG")
         at = 2
-        while at < len(raw):
+        while at + 1 < len(raw):
             marker = raw[at + 1]
             if raw[at] != 0xFF:
                 raise ValueError("a marker is missing")
@@ -176,7 +176,7 @@ class Decoder:
             body = raw[at + 4 : at + 2 + size]
             at += 2 + size
             if marker == 0xC2:
-                self._frame(body)
+                self._frame(body, 8 * len(raw))
             elif marker in (0xC0, 0xC1, 0xC3, 0xC9, 0xCA):
                 raise ValueError("only progressive Huffman-coded images")
             elif marker == 0xC4:
@@ -192,9 +192,17 @@ class Decoder:
                 stop = end.start() if end else len(raw)
                 self._scan(body, raw[at:stop])
                 at = stop
+        else:
+            raise ValueError("the image ends early")
+        if not self.scans:
+            raise ValueError("the image has no scan")
 
-    def _frame(self, body: bytes) -> None:
+    def _frame(self, body: bytes, bits: int) -> None:
         _, self.height, self.width, n = struct.unpack_from(">BHHB", body)
+        if n not in (1, 3) or self.components or not self.height or not self.width:
+            raise ValueError("one frame of one or three components")
+        if -(-self.height // 8) * -(-self.width // 8) > bits:  # a block takes a bit at least
+            raise ValueError("the image is too short for its size")
         for k in range(n):
             name, sampling, table = body[6 + 3 * k : 9 + 3 * k]
             self.components.append(Component(name, sampling >> 4, sampling & 15, table))
@@ -357,7 +365,8 @@ class Decoder:
             scaled = (c.blocks * self.quantisers[c.table]).reshape(-1, 64).astype(np.float32)
             pixels = (scaled @ _TO_PIXELS).reshape(*c.blocks.shape[:2], 8, 8).transpose(0, 2, 1, 3).reshape(c.blocks.shape[0] * 8, -1)
             pixels = np.clip(np.rint(pixels + 128), 0, 255)
-            planes.append(pixels.repeat(self.v // c.v, 0).repeat(self.h // c.h, 1)[: self.height, : self.width])
+            rows, columns = np.arange(self.height) * c.v // self.v, np.arange(self.width) * c.h // self.h  # any ratio of factors
+            planes.append(pixels[rows][:, columns])
         if len(planes) == 1:
             return np.repeat(planes[0][:, :, None], 3, 2).astype(np.uint8)
         y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
@@ -496,12 +505,13 @@ def _portions(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 
 
 def decode(media: DataFrame) -> DataFrame:
-    """Images decoded: the other columns, then scans, height, width, rgb (height x width x 3 bytes) and payload (null if none was stored).
+    """Images decoded: the other columns, then scans, height, width, rgb (height x width x 3 bytes), payload (null if none was stored) and error.
 
-    media: a binary column ``media``; null media has null results.  Columns named like a result are replaced.
+    media: a binary column ``media``; null media has null results, and media that can't be decoded, be it cut, damaged
+    or of another format, has null results and an error that says why.  Columns named like a result are replaced.
     """
     bounded_batches(media.sparkSession)
-    results = [("scans", T.IntegerType(), pa.int32()), ("height", T.IntegerType(), pa.int32()), ("width", T.IntegerType(), pa.int32()), ("rgb", T.BinaryType(), pa.binary()), ("payload", T.BinaryType(), pa.binary())]
+    results = [("scans", T.IntegerType(), pa.int32()), ("height", T.IntegerType(), pa.int32()), ("width", T.IntegerType(), pa.int32()), ("rgb", T.BinaryType(), pa.binary()), ("payload", T.BinaryType(), pa.binary()), ("error", T.StringType(), pa.string())]
     names = {n for n, _, _ in results}
     rows = media.select(*(F.col(f"`{c}`") for c in media.columns if c not in names and c != "media"), "media")
     out = T.StructType([*rows.schema.fields, *(T.StructField(n, kind) for n, kind, _ in results)])
@@ -512,12 +522,24 @@ def decode(media: DataFrame) -> DataFrame:
                 found = []
                 for raw in part.column("media").to_pylist():
                     if raw is None:
-                        found.append((None,) * 5)
+                        found.append((None,) * 6)
                         continue
-                    image = Decoder(raw)
-                    stored = any(c.startswith(_NOTE) for c in image.comments)
-                    found.append((image.scans, image.height, image.width, image.rgb().tobytes(), image.payload() if stored else None))
+                    try:
+                        image = Decoder(raw)
+                        stored = any(c.startswith(_NOTE) for c in image.comments)
+                        found.append((image.scans, image.height, image.width, image.rgb().tobytes(), image.payload() if stored else None, None))
+                    except (ValueError, LookupError, StopIteration, ArithmeticError, struct.error) as problem:
+                        found.append((None,) * 5 + (str(problem) or type(problem).__name__,))
                 columns = [pa.array([f[k] for f in found], kind) for k, (_, _, kind) in enumerate(results)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *(n for n, _, _ in results)])
 
     return rows.mapInArrow(lean(decoded), out)
+
+
+def store_tensors(images: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, shape, tensor): the full-resolution pixels of decoded images as a table in the shared folder, rows of images without pixels left out.
+
+    images: what :func:`decode` gives.  A tensor is shape[0] x shape[1] x shape[2] unsigned bytes, row by row.
+    """
+    rows = images.where("rgb IS NOT NULL").select(key, F.array("height", "width", F.lit(3)).alias("shape"), F.col("rgb").alias("tensor"))
+    return written(rows, "tensors")

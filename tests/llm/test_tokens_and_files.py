@@ -252,7 +252,7 @@ def progressive(planes, sampling, width, height, restart=0):
     return b"".join(out) + b"\xff\xd9"
 
 
-@pytest.mark.parametrize(("sampling", "restart"), [([(1, 1)], 0), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2), ([(1, 1), (1, 1), (1, 1)], 3)])
+@pytest.mark.parametrize(("sampling", "restart"), [([(1, 1)], 0), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2), ([(1, 1), (1, 1), (1, 1)], 3), ([(3, 1), (2, 1), (1, 1)], 0)])
 def test_decoder_reads_any_progressive_image(sampling, restart):
     rng = np.random.default_rng(len(sampling) + restart)
     width, height = 40, 24
@@ -295,5 +295,27 @@ def test_media_table(spark):
     for k, text in enumerate(texts):
         assert bytes(rows[k]["payload"]) == jpeg.padded((text or "").encode()) and len(rows[k]["rgb"]) == rows[k]["height"] * rows[k]["width"] * 3
     assert rows[2]["media"] == rows[3]["media"] and rows[2]["rgb"] == rows[3]["rgb"]
+    tensors = {r["doc_id"]: r for r in jpeg.store_tensors(jpeg.decode(jpeg.store(documents(spark, texts)))).collect()}
+    assert all(np.frombuffer(tensors[k]["tensor"], np.uint8).reshape(tensors[k]["shape"]).tobytes() == rows[k]["rgb"] for k in rows) and len(tensors) == len(texts)
+    long = "é text of many bytes " * 9000
+    assert bytes(jpeg.decode(jpeg.store(documents(spark, [long]))).first()["payload"]) == jpeg.padded(long.encode())
     assert jpeg.decode(jpeg.store(documents(spark, []))).count() == 0
     assert jpeg.decode(spark.createDataFrame([(1, None, "p")], "id int, media binary, payload string")).first()["payload"] is None
+
+
+def test_damaged_media(spark):
+    """Cut or damaged media gives null results with an error, and never ends the job."""
+    raw, gen = jpeg.pack_payload(jpeg.padded(b"some words " * 200)), np.random.default_rng(3)
+    bad = [raw[:300], raw[:-2], b"", b"GIF89a", raw[:2], b"\xff\xd8\xff", b"\xff\xd8\xff\xd9", raw[:20] + raw[40:]]
+    spoilt = []
+    for _ in range(40):
+        own = bytearray(raw)
+        for at in gen.integers(2, len(raw), 3):
+            own[at] = int(gen.integers(0, 256))
+        spoilt.append(bytes(own))
+    media = spark.createDataFrame([(k, m) for k, m in enumerate([raw, *bad, *spoilt])], "doc_id long, media binary")
+    rows = {r["doc_id"]: r for r in jpeg.decode(media).collect()}
+    assert len(rows) == 1 + len(bad) + len(spoilt) and rows[0]["error"] is None
+    for k in range(1, len(bad) + 1):
+        assert rows[k]["error"] and rows[k]["payload"] is None and rows[k]["rgb"] is None, k
+    assert all((r["error"] is None) == (r["rgb"] is not None) for r in rows.values())
