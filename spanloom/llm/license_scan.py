@@ -26,6 +26,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.spans import row_key
 from spanloom.shared import written
 
 LEAST_COSINE = 0.5
@@ -157,7 +158,7 @@ def header_matches(files: DataFrame, templates: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect("own", F.when(F.col("unit") < 0, telling(vectors)).otherwise(telling(short_ones))))
     prose = F.size("own") / F.lit(other**2)  # more than the words of prose weigh
     lines = terms.where(F.when(shared >= LEAST_SHARED, strange <= MOST_COUNT**2 * (1 / LEAST_COSINE**2 - 1) * (shared + prose))).select("key", "unit", "terms")
-    lines = written(lines, "licence-units")
+    lines = written(lines, "licence-units").dropDuplicates(["key", "unit"])  # rows of one key are copies
     times = lines.select("key", "unit", F.explode("terms").alias("term")).groupBy("key", "unit", "term").agg(F.count("*").alias("times"))
     weights = _constants(spark, list(idf.items()), "term string, idf double")
     entries = _constants(spark, [(k, named[k][0], long[k], term, v, term not in _PROSE) for k, own in enumerate(vectors) for term, v in own.items()], "template int, licence string, long boolean, term string, v double, telling boolean")
@@ -172,15 +173,16 @@ def header_matches(files: DataFrame, templates: DataFrame) -> DataFrame:
 def scan(files: DataFrame, templates: DataFrame | None = None, licence_file: str = r"(?i)(^|/)(LICEN[SC]E|COPYING|NOTICE)(\.[A-Za-z]+)?$") -> DataFrame:
     """Each file's licence: key, path, own_licence, own_cosine, inherited_licence, inherited_from and licence (own, else inherited, else NOASSERTION).
 
-    files: ``key`` (unique), ``path`` with ``/`` between directories, and ``text``; further columns are ignored.  Files
-    with a null path or text are kept: a null text matches nothing, a null path inherits nothing.  Of several licence
+    files: ``key``, ``path`` with ``/`` between directories, and ``text``; further columns are ignored.  A key may be null
+    or repeated: every row is judged by its own path and text.  A null text matches nothing, a null path inherits nothing.  Of several licence
     files in one directory the best match counts, ties by path.  An empty table gives no rows.
     """
     spark = files.sparkSession
     templates = template_table(spark) if templates is None else templates
-    found = header_matches(files.select("key", "text", F.coalesce(F.col("path").rlike(licence_file), F.lit(False)).alias("whole")), templates)
-    own = found.groupBy("key").agg(F.min(F.struct((F.col("licence") == RESERVED).alias("reserved"), (-F.col("cosine")).alias("less"), "unit", "licence")).alias("best")).select("key", F.col("best.licence").alias("own_licence"), (-F.col("best.less")).alias("own_cosine"))
-    placed = files.select("key", "path", F.regexp_replace("path", "[^/]*$", "").alias("dir")).join(own, "key", "left")
+    files = files.select("key", "path", "text", row_key(*map(F.col, ("key", "path", "text"))).alias("_row"))
+    found = header_matches(files.select(F.col("_row").alias("key"), "text", F.coalesce(F.col("path").rlike(licence_file), F.lit(False)).alias("whole")), templates)
+    own = found.groupBy("key").agg(F.min(F.struct((F.col("licence") == RESERVED).alias("reserved"), (-F.col("cosine")).alias("less"), "unit", "licence")).alias("best")).select(F.col("key").alias("_row"), F.col("best.licence").alias("own_licence"), (-F.col("best.less")).alias("own_cosine"))
+    placed = files.select("key", "path", "_row", F.regexp_replace("path", "[^/]*$", "").alias("dir")).join(own, "_row", "left")
     holding = placed.where(F.col("own_licence").isNotNull() & F.col("path").rlike(licence_file)).groupBy("dir").agg(F.min(F.struct((-F.col("own_cosine")).alias("less"), "path", "own_licence")).alias("best"))
     holding = holding.select(F.col("dir").alias("above"), F.col("best.own_licence").alias("inherited_licence"), F.col("best.path").alias("inherited_from"))
     parts = F.split(F.regexp_replace("dir", "/$", ""), "/")

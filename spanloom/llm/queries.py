@@ -58,7 +58,7 @@ def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def _tree_path() -> Column:
-    """A place in a tree for each document: its source, then its number by powers of ten; every hundredth is its folder's licence file."""
+    """A place in a tree for each document: its number by powers of ten; every hundredth is its folder's licence file."""
     n = F.col("doc_id")
     name = F.when(F.pmod(n, F.lit(100)) == 0, "LICENSE").otherwise(F.concat(n.cast("string"), F.lit(".txt")))
     return F.concat_ws("/", *(F.floor(n / 10**k).cast("string") for k in (4, 3, 2)), name)
@@ -94,5 +94,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_repair_token_ids, op2_compression_quality, op3_residual_packing, op4_progressive_jpeg, op5_superkmer_dedup, op6_license_inheritance, op7_combination_jaccard, op8_secret_forest, op9_weak_pii, op10_pigeonhole_decontamination)}
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_REPEATS = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, k, array_to_string(w[k + 1 : k + 35], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 34)) AS k FROM w WHERE len(w) >= 35)),
+gone AS (SELECT DISTINCT doc_id, k + o AS p FROM win JOIN (SELECT g FROM win GROUP BY g HAVING count(*) > 1) USING (g) CROSS JOIN range(35) t(o)),
+one AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM one ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_COMPONENTS = f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[k + 1 : k + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 4))) AS k FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS hits FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * hits >= 75 * (a.n + b.n - hits)),
+ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM ways UNION SELECT reach.x, ways.y FROM reach JOIN ways ON reach.y = ways.x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(r.y, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS y FROM reach GROUP BY x) r USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the operators without a model, tokeniser or codec whose whole result SQL can say."""
+    return {"op5_superkmer_dedup": _REPEATS, "op7_combination_jaccard": _COMPONENTS}

@@ -392,3 +392,29 @@ def test_whole_labelled_rows_up_to_the_bound(spark, monkeypatch):
     few = quality.train(docs, labels)
     monkeypatch.setattr(quality, "BYTES_PER_CLASS", 1 << 24)
     assert len(few.good) < len(quality.train(docs, labels).good)
+
+
+def test_licences_of_repeated_and_null_keys(spark):
+    rows = [(1, "a/f.py", "Released under the MIT License."), (1, "b/f.py", "Licensed under the Apache License, Version 2.0."), (1, "a/f.py", "Released under the MIT License."), (None, "c/f.py", "Released under the MIT License."), (None, "d/f.py", "words"), (None, None, None)]
+    got = Counter((r["key"], r["path"], r["licence"]) for r in license_scan.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect())
+    assert got == Counter({(1, "a/f.py", "MIT"): 2, (1, "b/f.py", "Apache-2.0"): 1, (None, "c/f.py", "MIT"): 1, (None, "d/f.py", "NOASSERTION"): 1, (None, None, "NOASSERTION"): 1})
+
+
+def test_cosines_by_hand(spark):
+    """The best cosine of every line against all templates, recomputed term by term."""
+    named = license_scan.all_templates()
+    idf, other, vectors = license_scan._vectors(named)
+    lines = ["Licensed under the Apache License, Version 2.0.", "under the MIT License you may use it", "GNU General Public License version 3 or later", "SPDX-License-Identifier: ISC", "nothing alike"]
+    files = spark.createDataFrame(list(enumerate(lines)), "key long, text string")
+    got = {r["key"]: (r["licence"], r["cosine"]) for r in license_scan.header_matches(files, license_scan.template_table(spark)).where("unit = 0").collect()}
+    for k, line in enumerate(lines):
+        counts = Counter(re.findall(license_scan._TERM, line.lower()))
+        own = {t: min(1 + np.log(n), license_scan.MOST_COUNT) * idf.get(t, 1.0 if t in license_scan._PROSE else other) for t, n in counts.items()}
+        size = np.sqrt(sum(w * w for w in own.values()))
+        best = []
+        for (name, text), v in zip(named, vectors, strict=True):
+            cosine = round(sum(w * v.get(t, 0) for t, w in own.items()) / size, 6)
+            telling = sum(t in v and t not in license_scan._PROSE for t in own)
+            if cosine >= license_scan.LEAST_COSINE and telling >= license_scan.LEAST_SHARED and len(text.split()) < license_scan.LONG:
+                best.append((name == license_scan.RESERVED, -cosine, name))
+        assert got.get(k) == ((min(best)[2], pytest.approx(-min(best)[1], abs=2e-6)) if best else None), line
