@@ -28,28 +28,35 @@ from spanloom.shared import bounded_batches, lean, written
 MAGIC = b"RPG1"
 SHARD_IDS = 1 << 20  #: a shard is closed once it holds so many ids; one document is never split
 MIN_COUNT = 12  #: a pair must occur so often in a shard to be worth a rule of 12 bytes
-_SLOTS = 1 << 16
-_SIEVE = 20  # bits of the slots that pairs are counted in before they are sorted
+_SLOT_BITS = 16  # of the table that finds the pairs to replace
 _NONE = np.int32(2**31 - 1)
 
 
-def _frequent(keys: np.ndarray, inside: np.ndarray, most: int) -> np.ndarray:
+def _frequent(keys: np.ndarray, most: int) -> np.ndarray:
     """The pairs worth a rule, most frequent first."""
-    keys = keys[inside]
-    at = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SIEVE)).astype(np.int64)
-    ordered = np.sort(keys[np.bincount(at, minlength=1 << _SIEVE)[at] >= MIN_COUNT])  # a slot with few holds no frequent pair
+    ordered = np.sort(keys)
     if not len(ordered):
         return ordered
     begins = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(begins, len(ordered)))
-    pairs, counts = ordered[begins], counts
     frequent = counts >= MIN_COUNT
-    pairs, counts = pairs[frequent], counts[frequent]
+    pairs, counts = ordered[begins[frequent]], counts[frequent]
     return pairs[np.argsort(-counts, kind="stable")[:most]]
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
+
+
+def _replaceable(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the places ``at``, in order, are replaced: none that overlaps one of better rank, and of a a a every second."""
+    beside = np.diff(at) == 1
+    again = np.concatenate(([False], beside & (rank[1:] == rank[:-1])))
+    begins = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
+    rank = np.where((np.arange(len(at)) - begins) % 2 == 1, _NONE, rank)
+    left = np.concatenate(([_NONE], np.where(beside, rank[:-1], _NONE)))
+    right = np.concatenate((np.where(beside, rank[1:], _NONE), [_NONE]))
+    return (rank != _NONE) & (rank < left) & (rank < right)
 
 
 def compress(ids: np.ndarray, offsets: np.ndarray) -> bytes:
@@ -62,32 +69,37 @@ def compress(ids: np.ndarray, offsets: np.ndarray) -> bytes:
     room = (1 << 16) - base if base < (1 << 16) else (1 << 20)
     rules: list[np.ndarray] = []
     n_rules = 0
+    whole, fresh = True, 0
     while len(seq) > 1 and n_rules < room:
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        pairs = _frequent(keys, ~last[:-1], min(room - n_rules, _SLOTS // 8))
-        pairs = pairs[np.sort(np.unique(_slot(pairs), return_index=True)[1])]  # one pair a slot; the others wait for the next round
+        if whole:
+            where = np.flatnonzero(~last[:-1])
+        else:  # a pair can only have become frequent with a symbol of the round before
+            new = seq >= base + fresh
+            where = np.flatnonzero((new[:-1] | new[1:]) & ~last[:-1])
+        keys = (seq[where].astype(np.uint64) << np.uint64(32)) | seq[where + 1]
+        pairs = _frequent(keys, min(room - n_rules, 1 << (_SLOT_BITS - 3)))
+        pairs = pairs[np.sort(np.unique(_slot(pairs), return_index=True)[1])]  # one pair a slot; the others wait for the next whole round
         if not len(pairs):
-            break
-        held, rank = np.full(_SLOTS, np.uint64(2**64 - 1)), np.full(_SLOTS, _NONE)
+            if whole:
+                break
+            whole = True
+            continue
+        held, rank = np.full(1 << _SLOT_BITS, np.uint64(2**64 - 1)), np.full(1 << _SLOT_BITS, _NONE)
         slots = _slot(pairs)
         held[slots], rank[slots] = pairs, np.arange(len(pairs), dtype=np.int32)
         at = _slot(keys)
-        ranks = np.where((held[at] == keys) & ~last[:-1], rank[at], _NONE)
-        same = np.flatnonzero((ranks[1:] == ranks[:-1]) & (ranks[1:] != _NONE)) + 1  # a a a: every second place stands back
-        if len(same):
-            begins = np.concatenate(([True], np.diff(same) > 1))
-            first = same[begins][np.cumsum(begins) - 1]
-            ranks[same[(same - first) % 2 == 0]] = _NONE
-        left, right = np.append(_NONE, ranks[:-1]), np.append(ranks[1:], _NONE)
-        chosen = np.flatnonzero((ranks != _NONE) & (ranks < left) & (ranks < right))
-        used, new = np.unique(ranks[chosen], return_inverse=True)
+        met = np.flatnonzero(held[at] == keys)
+        ranks = rank[at[met]]
+        chosen = _replaceable(where[met], ranks)
+        used, which = np.unique(ranks[chosen], return_inverse=True)
+        chosen = where[met[chosen]]
         rules.append(pairs[used])
-        seq[chosen] = (base + n_rules + new).astype(np.uint32)
+        seq[chosen] = (base + n_rules + which).astype(np.uint32)
         last[chosen] = last[chosen + 1]
         keep = np.ones(len(seq), bool)
         keep[chosen + 1] = False
         seq, last = seq[keep], last[keep]
-        n_rules += len(used)
+        whole, fresh, n_rules = False, n_rules, n_rules + len(used)
     pairs = np.concatenate(rules) if rules else np.empty(0, np.uint64)
     left, right = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
     lengths = _expansion_lengths(left, right, base)
