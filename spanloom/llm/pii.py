@@ -1,10 +1,11 @@
 """Personal data by weak supervision.
 
 Patterns with checks give the base spans: email, ip, card and phone.  Further candidates are numbers of card
-length that fail the check digit (account) and phone numbers without a plus sign (local_phone).  Five labelers,
-of shape, gazetteer, context, boundary and variety, vote yes, no or nothing on every candidate; expectation
-maximisation over the counts of vote patterns estimates how far each labeler is to be trusted, and a logistic
-classifier trained on the resulting soft labels decides which further candidates join the base spans.
+length that fail the check digit (account), phone numbers without a plus sign (local_phone) and a first name of a
+gazetteer before a capitalised word (name).  Five labelers, of shape, gazetteer, context, boundary and variety, vote
+yes, no or nothing on every candidate; expectation maximisation over the counts of vote patterns estimates how far each
+labeler is to be trusted, and a logistic classifier of the votes, the kind and the span's size, trained on the resulting
+soft labels, decides which further candidates join the base spans.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 from spanloom.llm.spans import matches
 from spanloom.shared import written
 
-BASE, FURTHER = ("email", "ip", "card", "phone"), ("account", "local_phone")
+BASE, FURTHER = ("email", "ip", "card", "phone"), ("account", "local_phone", "name")
 LABELERS = ("shape", "gazetteer", "context", "boundary", "variety")
 CONTEXT = 40
 ACCEPT_FROM = 0.5
 EM_ROUNDS = 60
+SIZES = 4  #: size classes of spans, eight characters each, the last one open
 
 # The base patterns, with possessive repeats and starts that can't begin inside a run: the same matches in linear time.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -32,7 +34,7 @@ EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 DIGIT_RUN = r"[0-9][0-9 -]{15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-LOCAL_PHONE = r"(?<![0-9+() .-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+LOCAL_PHONE = r"(?<![0-9+.-])(?<![0-9][ ()])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-]|[ .][0-9])"
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 # Calling codes, card issuers' first digits, reserved networks, words beside personal data and beside other numbers.
@@ -44,6 +46,14 @@ CUES = r"mail|contact|write|call|tel|phone|fax|mobile|card|visa|iban|account|kon
 OTHER_CUES = r"version|release|isbn|issn|order|build|serial|section|chapter|figure|item|part no|commit"
 
 
+# Common first names and surnames of four letters and more, words beside persons, words that make a name a place or a thing.
+FIRST_NAMES = "Alexander|Alice|Amanda|Andrea|Andrew|Angela|Anthony|Antonio|Barbara|Benjamin|Brian|Carlos|Carmen|Catherine|Charles|Charlotte|Christian|Christine|Christopher|Claudia|Daniel|David|Deborah|Dennis|Donald|Dorothy|Edward|Elena|Elizabeth|Emily|Emma|Eric|Fernando|Francisco|Frank|Gabriel|George|Gerald|Hannah|Harold|Heather|Helen|Henry|Isabel|Jacob|James|Jason|Javier|Jean|Jeffrey|Jennifer|Jessica|Johanna|John|Jonathan|Jorge|Jose|Joseph|Joshua|Juan|Julia|Karen|Katharina|Kenneth|Kevin|Kimberly|Larry|Laura|Linda|Lisa|Louis|Lucas|Manuel|Margaret|Maria|Marie|Mark|Martin|Mary|Matthew|Melissa|Michael|Michelle|Miguel|Monica|Nancy|Nathalie|Nicholas|Nicole|Olivia|Pablo|Patricia|Patrick|Paul|Peter|Philip|Pierre|Rachel|Raymond|Rebecca|Richard|Robert|Ronald|Rosa|Samuel|Sandra|Sarah|Scott|Sharon|Sophie|Stefan|Stephanie|Stephen|Steven|Susan|Teresa|Thomas|Timothy|Ursula|Victoria|Virginia|Walter|William|Wolfgang"
+SURNAMES = "Adams|Allen|Anderson|Baker|Bauer|Becker|Bernard|Brown|Campbell|Carter|Clark|Collins|Davis|Diaz|Dubois|Edwards|Evans|Fernandez|Fischer|Garcia|Gomez|Gonzalez|Green|Hall|Harris|Hernandez|Hill|Hoffmann|Jackson|Johnson|Jones|King|Klein|Koch|Laurent|Leroy|Lewis|Lopez|Martinez|Meyer|Miller|Mitchell|Moore|Morales|Moreau|Morgan|Morris|Müller|Nelson|Parker|Perez|Petit|Phillips|Ramirez|Reyes|Richter|Rivera|Roberts|Robinson|Rodriguez|Rogers|Roux|Sanchez|Schäfer|Schmidt|Schneider|Schulz|Smith|Stewart|Taylor|Thompson|Torres|Turner|Wagner|Walker|Weber|White|Williams|Wilson|Wright|Young"
+NAME_CUES = r"\b(mr|mrs|ms|miss|dr|prof|herr|frau|monsieur|madame|name|named|signed|sincerely|regards|contact|author|patient|customer|employee|born|dear|from|with)\b"
+NOT_PERSONS = r"^(Street|Road|Avenue|Square|Bridge|University|College|School|Hospital|Park|Station|Island|Lake|River|County|Prize|Award|Day|Hall|House|Airport|Church|Falls|Beach|Company|Group|Version|Section|Chapter)$"
+_NAME = rf"(?<![A-Za-zÀ-ÿ])(?=[A-Z])(?:{FIRST_NAMES}) [A-ZÀ-Þ][a-zß-ÿ]{{2,}}+"
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -86,6 +96,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     yes = lambda v: F.lit(True)
     count = lambda v: F.length(_digits(v))
     numbers = _numbers(text)
+    names = _found(text, "name", _NAME, text.rlike(_NAME), yes)
     phones = _found(text, "phone", PHONE, F.contains(text, F.lit("+")), lambda v: count(v).between(8, 15))
     locals_ = _found(text, "local_phone", LOCAL_PHONE, text.rlike(LOCAL_PHONE), yes)
     rows = documents.select(
@@ -95,9 +106,10 @@ def candidates(documents: DataFrame) -> DataFrame:
         numbers.alias("numbers"),
         phones.alias("phone"),
         locals_.alias("local_phone"),
+        names.alias("name"),
     )
     of_kind = lambda kind: F.filter("numbers", lambda m: m["kind"] == kind)
-    rows = rows.select("doc_id", F.concat("email", "ip", of_kind("card"), "phone").alias("base"), F.concat(of_kind("account"), "local_phone").alias("more"))
+    rows = rows.select("doc_id", F.concat("email", "ip", of_kind("card"), "phone").alias("base"), F.concat(of_kind("account"), "local_phone", "name").alias("more"))
     apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
     return rows.select("doc_id", F.transform(F.concat("base", apart), _voted).alias("found"))
 
@@ -109,22 +121,24 @@ def _vote(yes: Column, no: Column) -> Column:
 def _voted(m: Column) -> Column:
     """A candidate with the labelers' votes: 1 yes, -1 no, 0 nothing."""
     value, kind, digits = m["value"], m["kind"], _digits(m["value"])
-    near, number = F.lower(F.concat(m["before"], m["after"])), kind.isin("card", "account")
+    near, number, named = F.lower(F.concat(m["before"], m["after"])), kind.isin("card", "account"), kind == "name"
+    surname = F.substring_index(value, " ", -1)
     host = F.lower(F.substring_index(value, "@", -1))
-    shape = F.when(kind == "email", _vote(host.rlike(r"\.[a-z]{2,}$"), ~host.rlike("[a-z]"))).when(kind == "ip", _vote(value.rlike("[0-9]{2}"), value.rlike(r"^([0-9]\.){3}[0-9]$"))).when(number, _vote(F.length(digits) == 16, F.length(digits) > 16)).otherwise(_vote(F.length(digits).between(10, 13), F.length(digits) < 10))
-    gazetteer = F.when(kind == "email", _vote(host.rlike(TOP_LEVELS), F.lit(False))).when(kind == "ip", _vote(F.lit(True), value.rlike(RESERVED))).when(number, _vote(digits.rlike(ISSUERS), digits.rlike("^0000"))).otherwise(_vote(value.rlike(CALLING_CODES), F.lit(False)))
-    context = _vote(near.rlike(CUES), near.rlike(OTHER_CUES))
+    shape = F.when(kind == "email", _vote(host.rlike(r"\.[a-z]{2,}$"), ~host.rlike("[a-z]"))).when(kind == "ip", _vote(value.rlike("[0-9]{2}"), value.rlike(r"^([0-9]\.){3}[0-9]$"))).when(number, _vote(F.length(digits) == 16, F.length(digits) > 16)).when(named, _vote(F.length(surname) >= 4, surname.rlike(NOT_PERSONS))).otherwise(_vote(F.length(digits).between(10, 13), F.length(digits) < 10))
+    gazetteer = F.when(kind == "email", _vote(host.rlike(TOP_LEVELS), F.lit(False))).when(kind == "ip", _vote(F.lit(True), value.rlike(RESERVED))).when(number, _vote(digits.rlike(ISSUERS), digits.rlike("^0000"))).when(named, _vote(surname.rlike(f"^({SURNAMES})$"), surname.rlike(NOT_PERSONS))).otherwise(_vote(value.rlike(CALLING_CODES), F.lit(False)))
+    context = _vote(near.rlike(CUES) | (named & near.rlike(NAME_CUES)), near.rlike(OTHER_CUES) | (named & m["after"].rlike(r"^ (?:Street|Road|Avenue|Square|Bridge|University|Prize|Award)")))
     boundary = _vote(m["before"].rlike(r"(^|[\s(\"',;:<\[])$") & m["after"].rlike(r"^($|[\s)\"'.,;:!?>\]])"), m["before"].rlike("[A-Za-z0-9_]$") | m["after"].rlike("^[A-Za-z0-9_]"))
-    kinds = F.size(F.array_distinct(F.split(F.when(kind == "email", value).otherwise(digits), "")))
+    kinds = F.size(F.array_distinct(F.split(F.when(kind.isin("email", "name"), value).otherwise(digits), "")))
     variety = _vote(kinds >= 5, kinds <= 3)
     votes = [v.cast("int").alias(n) for v, n in zip((shape, gazetteer, context, boundary, variety), LABELERS, strict=True)]
-    return F.struct(kind.alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), *votes)
+    size = F.least(F.lit(SIZES - 1), F.floor(F.length(value) / 8)).cast("int")
+    return F.struct(kind.alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), size.alias("size"), *votes)
 
 
 def vote_patterns(found: DataFrame) -> DataFrame:
-    """(kind, votes, n): how often each pattern of votes occurs, over all candidates; at most 6 * 3^5 rows."""
-    rows = found.select(F.explode("found").alias("m")).select("m.kind", *(f"m.{n}" for n in LABELERS))
-    return rows.groupBy("kind", *LABELERS).agg(F.count("*").alias("n"))
+    """(kind, size, votes, n): how often each pattern of votes occurs in each size class, over all candidates; at most 7 * 4 * 3^5 rows."""
+    rows = found.select(F.explode("found").alias("m")).select("m.kind", "m.size", *(f"m.{n}" for n in LABELERS))
+    return rows.groupBy("kind", "size", *LABELERS).agg(F.count("*").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -172,9 +186,9 @@ def posterior(field, reliability: Reliability) -> Column:
 
 
 def _inputs(field) -> dict[str, Column]:
-    """The classifier's features: each labeler's yes and no, and the kind."""
+    """The classifier's features: each labeler's yes and no, the kind and the size class."""
     votes = {f"{n}_{s}": (field(n) == v).cast("double") for n in LABELERS for s, v in (("yes", 1), ("no", -1))}
-    return votes | {f"is_{k}": (field("kind") == k).cast("double") for k in (*BASE, *FURTHER)}
+    return votes | {f"is_{k}": (field("kind") == k).cast("double") for k in (*BASE, *FURTHER)} | {f"size_{k}": (field("size") == k).cast("double") for k in range(SIZES)}
 
 
 def train(patterns: DataFrame, reliability: Reliability) -> dict[str, float]:
