@@ -49,7 +49,7 @@ def test_assertions_sentinel_and_labels(spark):
     assert one(spark, T.is_assertion(F.lit("abc [1]"))) is True
     assert one(spark, T.is_assertion(F.lit("|---|:--|"))) is False
     assert one(spark, T.is_insufficient(F.lit(' "INSUFFICIENT_CONTEXT". '))) is True
-    assert one(spark, T.bare_line(F.lit("  - > item"))) == "item"
+    assert [one(spark, T.bare_line(F.lit(x))) for x in ("  - > item", "> - item", "1) - item", ">> item")] == ["> item", "item", "- item", "> item"]
     assert one(spark, T.labelled_value(F.lit("**Verdict:** correct\nREASON: x"), "VERDICT", ["CORRECT"])) == "CORRECT"
     assert one(spark, T.labelled_value(F.lit("VERDICT: maybe"), "VERDICT", ["CORRECT"])) is None
 
