@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.spans import matches, row_key
+from spanloom.shared import written
 
 LEAST_CHARS = 16
 TREES, DEPTH, SEED = 32, 9, 11
@@ -99,7 +100,8 @@ def labelled_findings(spark: SparkSession, rows: int = 9000) -> DataFrame:
     coded = F.regexp_replace(F.concat(*(F.base64(F.unhex(F.sha2(F.concat(F.lit(str(k)), text), 512))) for k in range(2))), "[+/=]", "")
     digits = F.regexp_replace(digest, "[^0-9]", "")
     letters = F.regexp_replace(coded, "[0-9]", "")
-    word = lambda seed: pick(seed, *WORDS.split("|"))
+    n_words = len(WORDS.split("|"))
+    word = lambda seed: F.element_at(F.split(F.lit(WORDS), r"\|"), (F.pmod(F.xxhash64(F.lit(seed), i), F.lit(n_words)) + 1).cast("int"))
     cut = F.substring
     uuid = F.concat_ws("-", cut(digest, 1, 8), cut(digest, 9, 4), cut(digest, 13, 4), cut(digest, 17, 4), cut(digest, 21, 12))
     issued = pick(
@@ -138,9 +140,10 @@ def labelled_findings(spark: SparkSession, rows: int = 9000) -> DataFrame:
 def train(labelled: DataFrame) -> PipelineModel:
     """A forest from labelled findings: value, before, after, path and label (1 secret, 0 not); rows with nulls in value or label are left out."""
     rows, names = features(labelled.where("value IS NOT NULL AND value != '' AND label IS NOT NULL"))
+    rows = written(rows.select("label", *names), "labelled-features")  # the forest reads them several times
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt")
-    return PipelineModel([assembler, forest.fit(assembler.transform(rows.select("label", *names)))])
+    return PipelineModel([assembler, forest.fit(assembler.transform(rows))])
 
 
 def scan(files: DataFrame, model: PipelineModel) -> DataFrame:
