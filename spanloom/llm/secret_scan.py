@@ -100,8 +100,12 @@ def labelled_findings(spark: SparkSession, rows: int = 9000) -> DataFrame:
     coded = F.regexp_replace(F.concat(*(F.base64(F.unhex(F.sha2(F.concat(F.lit(str(k)), text), 512))) for k in range(2))), "[+/=]", "")
     digits = F.regexp_replace(digest, "[^0-9]", "")
     letters = F.regexp_replace(coded, "[0-9]", "")
+    parts = {"digest": digest, "coded": coded, "digits": digits, "letters": letters} | {f"w{k}": picked(k) for k in (5, 6, 7, 8, 10, 11, 12, 14, 15)}
+    held = written(spark.range(rows).select("id", *(c.alias(n) for n, c in parts.items())), "finding-parts")  # used many times: a short plan
+    digest, coded, digits, letters = map(F.col, ("digest", "coded", "digits", "letters"))
     n_words = len(WORDS.split("|"))
-    word = lambda seed: F.element_at(F.split(F.lit(WORDS), r"\|"), (F.pmod(F.xxhash64(F.lit(seed), i), F.lit(n_words)) + 1).cast("int"))
+    picked = lambda seed: F.element_at(F.split(F.lit(WORDS), r"\|"), (F.pmod(F.xxhash64(F.lit(seed), i), F.lit(n_words)) + 1).cast("int"))
+    word = lambda seed: F.col(f"w{seed}")
     cut = F.substring
     uuid = F.concat_ws("-", cut(digest, 1, 8), cut(digest, 9, 4), cut(digest, 13, 4), cut(digest, 17, 4), cut(digest, 21, 12))
     issued = pick(
@@ -134,7 +138,7 @@ def labelled_findings(spark: SparkSession, rows: int = 9000) -> DataFrame:
     place = F.when(role < 4, F.when(share(28, 50), secret_place).otherwise(bare_place)).when(role < 9, secret_place).when(role < 10, address).when(role < 14, F.when(share(29, 40), secret_place).when(share(30, 50), bare_place).otherwise(other_place)).when(role < 18, secret_place).otherwise(other_place)
     quote = F.regexp_extract(place, "([\"'])$", 1)
     after = F.when(role == 9, "@host/base").otherwise(F.concat(quote, pick(31, " then", "", ", and so", "\n")))
-    return spark.range(rows).select(value.alias("value"), F.concat(filler, place).alias("before"), after.alias("after"), pick(32, "src/main/app", "config/prod", "web/page", "tests/unit", "notes").alias("path"), (role < 10).cast("double").alias("label"))
+    return held.select(value.alias("value"), F.concat(filler, place).alias("before"), after.alias("after"), pick(32, "src/main/app", "config/prod", "web/page", "tests/unit", "notes").alias("path"), (role < 10).cast("double").alias("label"))
 
 
 def train(labelled: DataFrame) -> PipelineModel:
