@@ -27,12 +27,13 @@ _SET = "A-Za-z0-9_+/-"
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|apikey|access.?key|private.?key|credential|auth|bearer|client.?id|signature|session"
 OTHER_WORDS = "uuid|guid|commit|sha|md5|checksum|digest|version|serial|order|isbn|phone|card|account|example|sample|dummy|placeholder|test"
 _NAME = rf"(?i:{SECRET_WORDS})[A-Za-z0-9_.-]{{0,16}}"
-_ASSIGNED = rf"(?<=[=:\"'`]|[=:>][ \t]|[=:>][ \t]{{2}})(?<={_NAME}[\"'`\]]{{0,2}}[ \t]{{0,2}}[=:]{{0,2}}>?[ \t]{{0,2}}[\"'`]?)"
+_MARKED = "(?<=[=:\"'` \t])(?<![^=:> \t][ \t])"  #: implied by _ASSIGNED, and turns most places down at once
+_ASSIGNED = _MARKED + rf"(?<=[=:\"'`]|[=:>][ \t]|[=:>][ \t]{{2}})(?<={_NAME}[\"'`\]]{{0,2}}[ \t]{{0,2}}[=:]{{0,2}}>?[ \t]{{0,2}}[\"'`]?)"
 _QUOTED = "(?<=[\"'`])[^\\s\"'`][^\\n\"'`]{0,200}+(?=[\"'`])"
 _BARE = "(?<![\"'`])[^\\s\"'`<>=:][^\\s\"'`<>]{0,400}(?<![,;.)}\\]])"
 _ADDRESS = r"(?<=:)(?<=://[^\s:@/]{0,40}:)[^\s@/]{1,200}+(?=@)"
 _RUN = rf"(?<![{_SET}])(?=[A-Za-z_+/-]*+[0-9])[{_SET}]{{{LEAST_CHARS},}}+(?:={{1,2}}(?![{_SET}=]))?"
-_DOTTED = r"(?<![A-Za-z0-9_-])(?:eyJ[A-Za-z0-9_-]{8,}+|SG)\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]*+)?"
+_DOTTED = r"(?=[eS][yG])(?<![A-Za-z0-9_-])(?:eyJ[A-Za-z0-9_-]{8,}+|SG)\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]*+)?"
 CANDIDATE = rf"{_ADDRESS}|{_ASSIGNED}(?:{_QUOTED}|{_BARE})|{_DOTTED}|{_RUN}"
 SAMPLE_PATHS = "test|spec|example|sample|fixture|mock|doc"
 LETTER_PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur"
