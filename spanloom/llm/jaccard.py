@@ -1,16 +1,20 @@
 """Exact near-duplicate components: n-gram Jaccard join by token-combination prefixes.
 
 A document is its set of distinct ``SHINGLE``-word shingles, as 64-bit hashes (tokens); equal sets share one
-id.  Tokens are ordered rare first: those that a list of frequent tokens doesn't name, by hash,
-then the frequent ones by count; the counts are lower bounds, as a token counts only where a task meets it twice within ``HELD_TOKENS``.  Two sets with Jaccard similarity t or more share a token in the first
+id.  Tokens are ordered rare first: those that a list of frequent tokens doesn't name, by how frequent their words are
+and then by hash, then the frequent ones by count; the counts are lower bounds, as a token counts only where a task meets it twice within ``HELD_TOKENS``.
+Shingles of frequent words alone meet by chance, the more of them the larger the corpus and soon more than any list of
+fixed size holds; so a shingle's place follows the product of its words' frequencies, which a short list of words gives.  Two sets with Jaccard similarity t or more share a token in the first
 n - ceil(t n) + 1 tokens of each.  Prefixes are extended, so that similar sets whose
 prefixes are rare throughout share many tokens there, each indexed alone, and pairs that share fewer go.  If none is rare, both sets lie in their
 frequent tokens but for tokens that they don't share, and then share two frequent tokens that follow each other in both
 lists: pairs of neighbours in an extended prefix of the frequent tokens are indexed as 2-token combinations
 (``combination_room`` bounds how far the first shared pair can be).  So no similar pair is missed, whatever the
-list of frequent tokens, which only decides how much is compared.
+lists of frequent tokens and words, which only decide how much is compared.
 
-Groups of a key turn into counted pairs up to a fixed size and into stars beyond it; the components of what is left
+Groups of a key turn into counted pairs up to a fixed size.  Beyond it they only count how many of a set's keys lie in
+large groups: similar sets that meet in no small group share all their keys in large ones, so only sets with that many,
+and sets with frequent tokens in their prefix, are linked there, by stars.  The components of what is left
 are compared exactly with an inverted index of whole sets, large ones in rounds of blocks, and the links found give
 the components.
 """
@@ -33,10 +37,12 @@ from spanloom.shared import bounded_batches, discard, give_back, lean, written
 
 SHINGLE = 5
 FREQUENT_TOKENS = 1 << 18  #: tokens on the broadcast list of frequent ones at most, 4 MB: the most frequent
+FREQUENT_WORDS = 1 << 10  #: hashes of words that a task, and in the end the list, names at most: the most frequent
+WORD_BITS = 16  #: of a word's hash, which stand for it there
 FREQUENT_FROM = 5  #: documents that a token must be counted in to be listed
 HELD_TOKENS = 1 << 22  #: tokens that a task counts at once; it remembers those met twice or more among them
 FLUSH_KEYS = 1 << 20  #: index entries that a task gathers before it sends them to their buckets
-PAIRED_GROUP = 32  #: groups of one key up to this size count the keys that two sets share; larger ones are stars
+PAIRED_GROUP = 32  #: groups of one key up to this size count the keys that two sets share; larger ones are stars of the sets that need them
 EXTENSION = 8  #: prefixes are extended by one token for each so many of the set
 TASK_TOKENS = 1 << 18  #: tokens of the sets compared in one task, about; a larger candidate component is dealt to blocks of half as many
 MERGING = 0.9  #: block rounds go on while they leave at most this share of the tokens
@@ -44,16 +50,26 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def token_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, offsets): each text's distinct shingles in order of hash; fewer words than a shingle has make one token."""
-    words = Words(_LOWER[raw], offsets)
+def _word_numbers(words: Words) -> np.ndarray:
+    return (words.hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+
+def token_sets(words: Words, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, offsets): each text's distinct shingles in order of hash; fewer words than a shingle has make one token.
+
+    With weights, by the first bits of a word's hash, the shingles are in order of their words' total weight, then of hash.
+    """
     counts = np.diff(words.first)
     n = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
     at = ragged(words.first[:-1], n)
     stop = np.minimum(at + SHINGLE, np.repeat(words.first[1:], n))
     tokens = _run_hashes(words.hashes, at, stop)
     text = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((tokens, text))
+    place = text
+    if weights is not None:
+        total = np.concatenate(([0], np.cumsum(weights[_word_numbers(words)])))
+        place = (text << 16) + total[stop] - total[at]
+    order = np.lexsort((tokens, place))
     tokens, text = tokens[order], text[order]
     new = np.ones(len(tokens), bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (text[1:] != text[:-1])
@@ -113,30 +129,31 @@ def index_keys(tokens: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, ra
     return np.concatenate((owner[alone], own[follow])), np.concatenate((tokens[alone], combined)), n_rare < head
 
 
-def candidate_pairs(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, mixed: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(id, id, shared keys, keys they must share in all) of sets that meet in a group of one key and aren't too far apart in size.
-
-    Sets of rare tokens alone must share as many keys as the smaller one's extension says.  Sets with frequent tokens in
-    their prefix (mixed) need share none.  A large group gives a star by size: every set with the first, anew where
-    sizes are too far apart; its links need no count either.
-    """
+def grouped_entries(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The index entries, each once, by key, size and id, and which of them lie in groups beyond ``PAIRED_GROUP``."""
     order = np.lexsort((ids, sizes, keys))
-    keys, ids, sizes, mixed = keys[order], ids[order], sizes[order], mixed[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (ids[order[1:]] != ids[order[:-1]])
+    keys, ids, sizes, mixed = (c[order[new]] for c in (keys, ids, sizes, mixed))
     begins = np.ones(len(keys), bool)
     begins[1:] = keys[1:] != keys[:-1]
     group = np.cumsum(begins) - 1
-    large = (np.bincount(group) > PAIRED_GROUP)[group] if len(keys) else begins
-    out = []
+    return keys, ids, sizes, mixed, (np.bincount(group) > PAIRED_GROUP)[group] if len(keys) else begins
+
+
+def candidate_pairs(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, mixed: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, id, shared keys, keys they must share in all) of sets that meet in a small group of one key and aren't too far apart in size.
+
+    Two sets must share as many keys as the smaller one's extension says, as the first tokens shared lie in both
+    prefixes, unless both have frequent tokens in theirs (mixed): these need share none.
+    """
+    keys, ids, sizes, mixed, large = grouped_entries(keys, ids, sizes, mixed)
+    out = [(ids[:0], ids[:0], sizes[:0])]
     for d in range(1, PAIRED_GROUP):
-        near = np.flatnonzero((group[d:] == group[:-d]) & ~large[d:] & (sizes[d:] * t.numerator <= sizes[:-d] * t.denominator) & (ids[d:] != ids[:-d]))
+        near = np.flatnonzero((keys[d:] == keys[:-d]) & ~large[d:] & (sizes[d:] * t.numerator <= sizes[:-d] * t.denominator))
         if not len(near) and d > 1:
             break
-        need = np.where(mixed[near] | mixed[near + d], 0, extension(sizes[near]))
-        out.append((ids[near], ids[near + d], need))
-    begins[1:] |= sizes[1:] * t.numerator > sizes[:-1] * t.denominator
-    head = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), 0))
-    star = np.flatnonzero(large & (ids[head] != ids))
-    out.append((ids[head[star]], ids[star], np.zeros(len(star), np.int64)))
+        out.append((ids[near], ids[near + d], np.where(mixed[near] & mixed[near + d], 0, extension(sizes[near]))))
     a, b, need = (np.concatenate(c) for c in zip(*out, strict=True))
     pair = np.column_stack([np.minimum(a, b), np.maximum(a, b)])
     order = np.lexsort((pair[:, 1], pair[:, 0]))
@@ -149,6 +166,18 @@ def candidate_pairs(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, mixed:
     return pair[at, 0], pair[at, 1], np.diff(np.append(at, len(pair))), np.minimum.reduceat(need, at)
 
 
+def star_links(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """A star by size for each key: every set with the first, anew where sizes are too far apart."""
+    order = np.lexsort((ids, sizes, keys))
+    keys, ids, sizes = keys[order], ids[order], sizes[order]
+    begins = np.ones(len(keys), bool)
+    begins[1:] = (keys[1:] != keys[:-1]) | (sizes[1:] * t.numerator > sizes[:-1] * t.denominator)
+    head = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), 0))
+    star = np.flatnonzero(ids[head] != ids)
+    pair = np.unique(np.column_stack([ids[head[star]], ids[star]]), axis=0)
+    return pair[:, 0], pair[:, 1]
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) of the components of links a-b; the root is the least node."""
     nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -215,15 +244,16 @@ def similar(tokens: np.ndarray, offsets: np.ndarray, t: Fraction, labels: np.nda
     return first, np.array([find(k) for k in range(len(sizes))], np.int64)
 
 
-_PROFILE = "doc_id long, k long, n long, id long, token long, times long"
+_PROFILE = "doc_id long, k long, n long, id long, token long, word long, times long"
 
 
 def _profile(documents: DataFrame) -> DataFrame:
-    """Each document's set size and id, and, in rows with a token, how often a task has met it, if more than once."""
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "k", "n", "id", "token", "times")])
+    """Each document's set size and id, and, in rows with a token, how often a task has met it, if more than once; so with its most frequent words."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "k", "n", "id", "token", "word", "times")])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer, n_held, seen = [], 0, set()
+        met = np.zeros(1 << WORD_BITS, np.int64)
 
         def counted() -> Iterator[pa.RecordBatch]:
             held = np.sort(np.concatenate(buffer))
@@ -233,14 +263,17 @@ def _profile(documents: DataFrame) -> DataFrame:
             tokens, times = held[begins[often]].view(np.int64), times[often]
             for k in range(0, len(tokens), 50_000):
                 empty = pa.nulls(len(tokens[k : k + 50_000]), pa.int64())
-                yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(tokens[k : k + 50_000]), pa.array(times[k : k + 50_000])], schema=schema)
+                yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(tokens[k : k + 50_000]), empty, pa.array(times[k : k + 50_000])], schema=schema)
 
         for batch in batches:
             for begin, raw, offsets in _steps(batch.column("text")):
-                tokens, own = token_sets(raw, offsets)
+                words = Words(_LOWER[raw], offsets)
+                met += np.bincount(_word_numbers(words), minlength=len(met))
+                tokens, own = token_sets(words)
                 ids = set_ids(tokens, own)
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, n), batch.column("k").slice(begin, n), pa.array(np.diff(own)), pa.array(ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+                empty = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, n), batch.column("k").slice(begin, n), pa.array(np.diff(own)), pa.array(ids), empty, empty, empty], schema=schema)
                 fresh = _fresh(ids, seen)
                 buffer.append(tokens[ragged(own[:-1][fresh], np.diff(own)[fresh])])
                 n_held += len(buffer[-1])
@@ -249,6 +282,10 @@ def _profile(documents: DataFrame) -> DataFrame:
                     buffer, n_held = [], 0
         if n_held:
             yield from counted()
+        most = np.argsort(-met, kind="stable")[:FREQUENT_WORDS]
+        most = most[met[most] > 0]
+        empty = pa.nulls(len(most), pa.int64())
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array(most), pa.array(met[most])], schema=schema)
 
     return documents.mapInArrow(lean(measured), _PROFILE)
 
@@ -275,7 +312,17 @@ def _frequent_list(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], rank[order]
 
 
-def _index(documents: DataFrame, frequent: np.ndarray, rank: np.ndarray, t: Fraction, buckets: int) -> DataFrame:
+def _word_weights(profile: DataFrame) -> np.ndarray:
+    """For each beginning of a word's hash, the logarithm of its count in eighths of a power of two; 0 if it isn't among the most frequent."""
+    counts = profile.where("word IS NOT NULL").groupBy("word").agg(F.sum("times").alias("times"))
+    table = counts.orderBy(F.desc("times"), "word").limit(FREQUENT_WORDS).toArrow()
+    weights, times = np.zeros(1 << WORD_BITS, np.int64), table["times"].to_numpy()
+    if len(times):
+        weights[table["word"].to_numpy()] = 1 + np.round(8 * np.log2(times / times.min())).astype(np.int64)
+    return weights
+
+
+def _index(documents: DataFrame, frequent: np.ndarray, rank: np.ndarray, weights: np.ndarray, t: Fraction, buckets: int) -> DataFrame:
     """Blocks of index entries for each bucket of keys."""
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
 
@@ -299,7 +346,7 @@ def _index(documents: DataFrame, frequent: np.ndarray, rank: np.ndarray, t: Frac
 
         for batch in batches:
             for _, raw, offsets in _steps(batch.column("text")):
-                tokens, own = token_sets(raw, offsets)
+                tokens, own = token_sets(Words(_LOWER[raw], offsets), weights)
                 ids, sizes = set_ids(tokens, own), np.diff(own)
                 fresh = np.flatnonzero(_fresh(ids, seen))
                 tokens, ids, sizes = tokens[ragged(own[fresh], sizes[fresh])], ids[fresh], sizes[fresh]
@@ -316,17 +363,41 @@ def _index(documents: DataFrame, frequent: np.ndarray, rank: np.ndarray, t: Frac
 
 
 def _candidate_links(index: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs that share as many index keys as similar sets must, and links of large groups. sizes of the index: twice the size, odd for mixed sets."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("shared", pa.int64()), ("need", pa.int64())])
+    """Pairs that share as many index keys as similar sets must, and links of large groups. sizes of the index: twice the size, odd for mixed sets.
+
+    Keys in large groups (many) aren't counted for pairs; a pair can share no more of them than either set has.
+    """
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("shared", pa.int64()), ("need", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("mixed", pa.bool_())])
 
-    def linked(key: tuple, table: pa.Table) -> pa.Table:
+    def met(key: tuple, table: pa.Table) -> pa.Table:
         keys, ids, sizes = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("keys", "<u8"), ("ids", "<i8"), ("sizes", "<u4")))
-        found = candidate_pairs(keys, ids, sizes.astype(np.int64) >> 1, (sizes & 1).astype(bool), t)
+        n, mixed = sizes.astype(np.int64) >> 1, (sizes & 1).astype(bool)
+        pairs = [pa.array(c) for c in candidate_pairs(keys, ids, n, mixed, t)]
+        keys, ids, n, mixed, large = grouped_entries(keys, ids, n, mixed)
+        entries = [pa.array(c[large]) for c in (keys.view(np.int64), n, mixed)]
+        none = lambda like, c: pa.nulls(len(like), c.type)
+        found = pa.Table.from_arrays([*pairs, *(none(pairs[0], c) for c in list(schema)[4:])], schema=schema)
+        rest = pa.Table.from_arrays([pa.array(ids[large]), *(none(entries[0], c) for c in list(schema)[1:4]), *entries], schema=schema)
         give_back()
-        return pa.table([pa.array(c) for c in found], schema=schema)
-
-    pairs = index.groupBy("bucket").applyInArrow(linked, "u long, v long, shared long, need long")
-    return pairs.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("u", "v")
+        return pa.concat_tables([found, rest])
+
+    def starred(key: tuple, table: pa.Table) -> pa.Table:
+        found = star_links(*(table[c].to_numpy() for c in ("key", "u", "n")), t)
+        return pa.table([pa.array(c) for c in found], schema=pa.schema(list(schema)[:2]))
+
+    found = written(index.groupBy("bucket").applyInArrow(met, "u long, v long, shared long, need long, key long, n long, mixed boolean"), "met-sets")
+    entries = found.where("key IS NOT NULL").select("u", "key", "n", "mixed")
+    held = written(entries.groupBy("u").agg(F.count("*").alias("many"), F.first("n").alias("n"), F.first("mixed").alias("mixed")), "large-group-keys")
+    least = F.ceil(F.ceil(F.col("n") * t.numerator / t.denominator) / F.lit(EXTENSION))
+    starring = held.where(F.col("mixed") | (F.col("many") >= least)).select("u")
+    tasks = 4 * int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stars = entries.join(starring, "u").withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).select("task", "key", "u", "n").groupBy("task").applyInArrow(starred, "u long, v long")
+    pairs = found.where("key IS NULL").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
+    many = lambda c: held.select(F.col("u").alias(c), F.col("many").alias(f"many_{c}"))
+    open_ = pairs.where("shared < need").join(many("u"), "u").join(many("v"), "v").where(F.col("shared") + F.least("many_u", "many_v") >= F.col("need"))
+    links = written(pairs.where("shared >= need").select("u", "v").unionByName(open_.select("u", "v")).unionByName(stars), "candidate-links")
+    discard(found, held)
+    return links
 
 
 def _packed_sets(documents: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -346,7 +417,7 @@ def _packed_sets(documents: DataFrame, candidates: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(new))
             wanted = batch.column("id").to_numpy()
             for begin, raw, offsets in _steps(batch.column("text")):
-                tokens, own = token_sets(raw, offsets)
+                tokens, own = token_sets(Words(_LOWER[raw], offsets))
                 found = set_ids(tokens, own)
                 meant = np.flatnonzero(found == wanted[begin : begin + len(found)])  # two texts may have one key
                 strings = pa.array([tokens[own[m] : own[m + 1]].tobytes() for m in meant.tolist()], pa.binary())
@@ -448,7 +519,7 @@ def near_duplicates(documents: DataFrame, threshold: Fraction = Fraction(3, 4))
     sets = profile.where("id IS NOT NULL").select("doc_id", "k", "n", "id")
     frequent, rank = _frequent_list(profile)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = written(_candidate_links(_index(rows, frequent, rank, threshold, buckets), threshold), "candidate-links")
+    links = _candidate_links(_index(rows, frequent, rank, _word_weights(profile), threshold, buckets), threshold)
     near = components(links)
     discard(links)
     first = sets.where("id != 0").groupBy("id").agg(F.min("k").alias("k"), F.first("n").alias("n"))

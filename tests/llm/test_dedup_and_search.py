@@ -96,6 +96,23 @@ def test_near_duplicates(spark, monkeypatch, settings):
     assert kept == {c for _, c in got.values()}
 
 
+def test_phrases_in_many_texts_link_nothing(spark, monkeypatch):
+    """Shingles of frequent words meet by chance, and passages repeat, more of them than the list of frequent tokens holds: they mustn't make candidates."""
+    monkeypatch.setattr(jaccard, "FREQUENT_TOKENS", 1)
+    monkeypatch.setattr(jaccard, "PAIRED_GROUP", 4)
+    verified, candidates = jaccard._verified_links, []
+    monkeypatch.setattr(jaccard, "_verified_links", lambda rows, sets, t: candidates.append(sets.count()) or verified(rows, sets, t))
+    gen = random.Random(8)
+    phrases = [" ".join(gen.choice(["of", "the", "and", "to", "in"]) for _ in range(9)) for _ in range(6)]
+    passages = [" ".join(f"p{k}x{j}" for j in range(7)) for k in range(3)]  # of rare words, but in many texts
+    texts = [" ".join([*(f"w{k}x{j}" for j in range(45)), *gen.sample(phrases, 3), passages[k % 3]]) for k in range(60)]
+    texts += [texts[0] + " end", texts[1].replace("w1x7 ", "")]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(documents(spark, rows)).collect()}
+    assert got == component_ids(rows) and [got[k][1] for k in (60, 61)] == [0, 1]
+    assert candidates == [4]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (1, None), (None, None)]
     got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(documents(spark, rows)).collect())
