@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from spanloom.llm import jaccard
 from spanloom.shared import written
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +31,18 @@ def test_stages(spark):
     assert set(packed) == set(masked)
 
 
+def test_phrases_in_many_documents_make_no_candidates(spark, monkeypatch):
+    """Near-duplicates are sought among few candidates, though passages repeat in more documents than pairs are counted for."""
+    monkeypatch.setattr(jaccard, "FREQUENT_TOKENS", 1)
+    monkeypatch.setattr(jaccard, "PAIRED_GROUP", 4)
+    verified, candidates = jaccard._verified_links, []
+    monkeypatch.setattr(jaccard, "_verified_links", lambda rows, sets, t: candidates.append(sets.count()) or verified(rows, sets, t))
+    texts = [" ".join([*(f"w{k}x{j}" for j in range(45)), *(f"p{k % 3}x{j}" for j in range(7))]) for k in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (40, texts[0] + " end")], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, SF).collect()} == set(range(40))
+    assert candidates == [2]
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     fills = {}
