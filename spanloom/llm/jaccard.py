@@ -366,6 +366,8 @@ def _candidate_links(index: DataFrame, t: Fraction) -> DataFrame:
     """Pairs that share as many index keys as similar sets must, and links of large groups. sizes of the index: twice the size, odd for mixed sets.
 
     Keys in large groups (many) aren't counted for pairs; a pair can share no more of them than either set has.
+    Sets that need links there first meet by one key each, the least, in stars; then all keys tie the heads of those, so
+    a group of near copies with many keys in common makes about a row for each set, not one for each set and key.
     """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("shared", pa.int64()), ("need", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("mixed", pa.bool_())])
 
@@ -385,18 +387,25 @@ def _candidate_links(index: DataFrame, t: Fraction) -> DataFrame:
         found = star_links(*(table[c].to_numpy() for c in ("key", "u", "n")), t)
         return pa.table([pa.array(c) for c in found], schema=pa.schema(list(schema)[:2]))
 
+    def tied(key: tuple, table: pa.Table) -> pa.Table:
+        node, root = forest(*star_links(*(table[c].to_numpy() for c in ("key", "label", "n")), t))
+        return pa.table([pa.array(c[node != root]) for c in (root, node)], schema=pa.schema(list(schema)[:2]))
+
     found = written(index.groupBy("bucket").applyInArrow(met, "u long, v long, shared long, need long, key long, n long, mixed boolean"), "met-sets")
     entries = found.where("key IS NOT NULL").select("u", "key", "n", "mixed")
-    held = written(entries.groupBy("u").agg(F.count("*").alias("many"), F.first("n").alias("n"), F.first("mixed").alias("mixed")), "large-group-keys")
+    held = written(entries.groupBy("u").agg(F.count("*").alias("many"), F.first("n").alias("n"), F.first("mixed").alias("mixed"), F.min("key").alias("key")), "large-group-keys")
     least = F.ceil(F.ceil(F.col("n") * t.numerator / t.denominator) / F.lit(EXTENSION))
-    starring = held.where(F.col("mixed") | (F.col("many") >= least)).select("u")
+    starring = held.where(F.col("mixed") | (F.col("many") >= least))
     tasks = 4 * int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stars = entries.join(starring, "u").withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).select("task", "key", "u", "n").groupBy("task").applyInArrow(starred, "u long, v long")
+    task = F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task")
+    first = written(starring.select(task, "key", "u", "n").groupBy("task").applyInArrow(starred, "u long, v long"), "first-stars")
+    labelled = entries.join(starring.select("u"), "u").join(first.select(F.col("v").alias("u"), F.col("u").alias("label")), "u", "left")
+    stars = first.unionByName(labelled.select(task, "key", F.coalesce("label", "u").alias("label"), "n").groupBy("task").applyInArrow(tied, "u long, v long"))
     pairs = found.where("key IS NULL").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
     many = lambda c: held.select(F.col("u").alias(c), F.col("many").alias(f"many_{c}"))
     open_ = pairs.where("shared < need").join(many("u"), "u").join(many("v"), "v").where(F.col("shared") + F.least("many_u", "many_v") >= F.col("need"))
     links = written(pairs.where("shared >= need").select("u", "v").unionByName(open_.select("u", "v")).unionByName(stars), "candidate-links")
-    discard(found, held)
+    discard(found, held, first)
     return links
 
 

@@ -113,6 +113,23 @@ def test_phrases_in_many_texts_link_nothing(spark, monkeypatch):
     assert candidates == [4]
 
 
+def test_links_of_a_large_group_follow_its_sets(spark, monkeypatch):
+    """Near copies share many keys in large groups: each set is linked about once, not once for each key."""
+    found, linked = jaccard.components, []
+    monkeypatch.setattr(jaccard, "components", lambda links: linked.append(links.count()) or found(links))
+    gen = random.Random(11)
+    base = [f"w{j}" for j in range(60)]
+    texts = []
+    for k in range(700):
+        words = list(base)
+        words[gen.randrange(60)] = f"x{k}"
+        texts.append(" ".join(words))
+    rows = [*enumerate(texts), (700, " ".join(f"y{j}" for j in range(60)))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(documents(spark, rows)).collect()}
+    assert got == component_ids(rows) and sum(c == 0 for _, c in got.values()) > 600
+    assert linked[0] <= 4 * len(rows)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (1, None), (None, None)]
     got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(documents(spark, rows)).collect())
