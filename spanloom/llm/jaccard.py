@@ -22,11 +22,12 @@ the components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import components
@@ -46,6 +47,8 @@ PAIRED_GROUP = 32  #: groups of one key up to this size count the keys that two
 EXTENSION = 8  #: prefixes are extended by one token for each so many of the set
 TASK_TOKENS = 1 << 18  #: tokens of the sets compared in one task, about; a larger candidate component is dealt to blocks of half as many
 MERGING = 0.9  #: block rounds go on while they leave at most this share of the tokens
+BLOCK_BITS = 1 << 15  #: of a block of a filter of keys: a row of 4 KB
+FILTER_BLOCKS = 1 << 12  #: of a filter at most, 16 MB; one of more than 8 million keys lets more rows through to the exact join
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -409,12 +412,47 @@ def _candidate_links(index: DataFrame, t: Fraction) -> DataFrame:
     return links
 
 
+@contextmanager
+def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is run here gives its shuffle files back at its end, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among ``keys``, the others, whose key is not): the first are few more than those whose key is.
+
+    keys: one column of longs, hashes themselves.  A Bloom filter of 16 bits a key decides, so texts that a join wouldn't
+    match needn't be shuffled for it.
+    """
+    own = "_"
+    while any(c.startswith(own) for c in rows.columns):
+        own += "_"
+    at, block, held, met = (own + c for c in ("at", "block", "held", "met"))
+    hashed = keys.select(F.col(keys.columns[0]).alias("x"))
+    blocks = min(FILTER_BLOCKS, 1 + 16 * hashed.count() // BLOCK_BITS)
+    bits = lambda c: [F.shiftrightunsigned(F.xxhash64(c), n).bitwiseAND(BLOCK_BITS - 1) for n in (0, 24)]
+    places = hashed.select(F.pmod("x", F.lit(blocks)).alias(block), F.explode(F.array(*bits("x"))).alias("bit"))
+    table = places.groupBy(block).agg(F.bitmap_construct_agg("bit").alias(held))
+    byte = lambda bit: F.conv(F.hex(F.substring(held, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    first, second = (F.getbit(byte(bit), bit.bitwiseAND(7)) == 1 for bit in bits(key))
+    tested = rows.withColumn(at, F.pmod(key, F.lit(blocks))).join(F.broadcast(table), F.col(at) == F.col(block), "left")
+    tested = tested.withColumn(met, F.coalesce(first & second, F.lit(False)))
+    return tuple(tested.where(c).select(*(F.col(f"`{c}`") for c in rows.columns)) for c in (F.col(met), ~F.col(met)))
+
+
 def _packed_sets(documents: DataFrame, candidates: DataFrame) -> DataFrame:
     """(id, root, held, n, tokens) of every candidate set. candidates: (k, id, n, root, held): one row's key for each set.
 
-    Texts and keys meet by a merge join, which leaves equal rows side by side: one of them is packed.
+    Texts that may be meant and keys meet by a merge join, which leaves equal rows side by side: one of them is packed.
     """
-    rows = documents.where("text IS NOT NULL").join(candidates.hint("merge"), "k").select("k", "id", "root", "held", "text")
+    rows, _ = split_by_keys(documents.where("text IS NOT NULL").select("k", "text"), "k", candidates.select("k"))
+    rows = rows.join(candidates.hint("merge"), "k").select("k", "id", "root", "held", "text")
     schema = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("held", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,6 +514,7 @@ def _verified_links(documents: DataFrame, candidates: DataFrame, t: Fraction) ->
     links = written(_compared(small, t), "verified-links")
     if (largest or 0) > TASK_TOKENS:
         links = links.unionByName(_large_links(sets.where(F.col("held") > TASK_TOKENS), t))
+    discard(sets)
     return links
 
 
@@ -506,7 +545,9 @@ def _large_links(sets: DataFrame, t: Fraction) -> DataFrame:
     with_top = F.transform(count("over"), lambda j: F.xxhash64("root", F.lit("top"), j, b("under")))
     with_rest = F.transform(count("under"), lambda j: F.xxhash64("root", F.lit("rest"), F.least(b("under"), j), F.greatest(b("under"), j)))
     tasks = F.when(is_top, F.transform(count("under"), lambda j: F.xxhash64("root", F.lit("top"), b("over"), j))).otherwise(F.concat(with_top, with_rest))
-    return links.unionByName(written(_compared(open_.select("id", "label", "tokens", F.explode(tasks).alias("task")), t), "group-links"))
+    links = links.unionByName(written(_compared(open_.select("id", "label", "tokens", F.explode(tasks).alias("task")), t), "group-links"))
+    discard(named)
+    return links
 
 
 def near_duplicates(documents: DataFrame, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
@@ -524,20 +565,21 @@ def near_duplicates(documents: DataFrame, threshold: Fraction = Fraction(3, 4))
     spark = documents.sparkSession
     bounded_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", row_key(F.col("doc_id"), F.col("text")))
-    profile = written(_profile(rows), "set-profile")
-    sets = profile.where("id IS NOT NULL").select("doc_id", "k", "n", "id")
-    frequent, rank = _frequent_list(profile)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = _candidate_links(_index(rows, frequent, rank, _word_weights(profile), threshold, buckets), threshold)
-    near = components(links)
-    discard(links)
-    first = sets.where("id != 0").groupBy("id").agg(F.min("k").alias("k"), F.first("n").alias("n"))
-    candidates = written(first.join(near, F.col("id") == F.col("node")).select("k", "id", "n", "root"), "candidate-sets")
-    found = components(_verified_links(rows, candidates, threshold))
-    discard(candidates)
-    grouped = sets.join(found, F.col("id") == F.col("node"), "left").select("doc_id", "k", "n", "id", F.coalesce("root", "id").alias("group_id"))
-    grouped = written(grouped, "set-groups")
-    discard(profile)
+    with _freeing_shuffles(spark):
+        profile = written(_profile(rows), "set-profile")
+        sets = profile.where("id IS NOT NULL").select("doc_id", "k", "n", "id")
+        frequent, rank = _frequent_list(profile)
+        buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        links = _candidate_links(_index(rows, frequent, rank, _word_weights(profile), threshold, buckets), threshold)
+        near = components(links)
+        discard(links)
+        first = sets.where("id != 0").groupBy("id").agg(F.min("k").alias("k"), F.first("n").alias("n"))
+        candidates = written(first.join(near, F.col("id") == F.col("node")).select("k", "id", "n", "root"), "candidate-sets")
+        found = components(_verified_links(rows, candidates, threshold))
+        discard(candidates)
+        grouped = sets.join(found, F.col("id") == F.col("node"), "left").select("doc_id", "k", "n", "id", F.coalesce("root", "id").alias("group_id"))
+        grouped = written(grouped, "set-groups")
+        discard(profile)
     least = grouped.where("group_id != 0").groupBy("group_id").agg(F.min("doc_id").alias("least"))
     joined = grouped.join(least, "group_id", "left")
     return joined.select("doc_id", F.col("k").alias("row_key"), F.col("n").alias("n_shingles"), F.col("id").alias("set_id"), "group_id", F.when(F.col("group_id") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
@@ -549,15 +591,21 @@ def one_of_each(documents: DataFrame, threshold: Fraction = Fraction(3, 4)) -> D
     Rows are told apart by id and text, so an id with several texts loses only those in another row's component; of
     equal rows of a component one stays.  Documents without words stay.
     """
-    found = written(near_duplicates(documents, threshold).where("group_id != 0").groupBy("group_id", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "component-rows")
-    best = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("best"))
-    judged = found.join(best, "group_id").select("row_key", "rows", (F.col("row_key") == F.col("best.row_key")).alias("stays"))
+    spark = documents.sparkSession
+    near = near_duplicates(documents, threshold).where("group_id != 0")
+    with _freeing_shuffles(spark):
+        found = written(near.groupBy("group_id", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "component-rows")
+        best = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("best"))
+        judged = written(found.join(best, "group_id").select("row_key", "rows", (F.col("row_key") == F.col("best.row_key")).alias("stays")), "judged-rows")
+    discard(found)
     key = "_row_key"
     while key in documents.columns:
         key = "_" + key
     keyed = documents.withColumn(key, row_key(F.col("doc_id").cast("long"), F.col("text")))
-    kept = keyed.join(judged.where("NOT stays").select(F.col("row_key").alias(key)), key, "left_anti")
+    touched, rest = split_by_keys(keyed, key, judged.where("NOT stays OR rows > 1").select("row_key"))
+    kept = touched.join(judged.where("NOT stays").select(F.col("row_key").alias(key)), key, "left_anti")
     repeated = judged.where("stays AND rows > 1").select(F.col("row_key").alias(key))
     if not repeated.isEmpty():
         kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))
-    return kept.select(*(F.col(f"`{c}`") for c in documents.columns))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    return rest.select(*columns).unionAll(kept.select(*columns))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -130,6 +131,38 @@ def test_links_of_a_large_group_follow_its_sets(spark, monkeypatch):
     assert linked[0] <= 4 * len(rows)
 
 
+def test_few_texts_are_shuffled_and_shuffles_given_back(spark, monkeypatch):
+    """Joins by key get the rows whose key may match and few others; shuffle files go when what they were written for is done."""
+    split, met = jaccard.split_by_keys, []
+
+    def counted(rows, key, keys):
+        parts = split(rows, key, keys)
+        met.append((keys.count(), *(part.count() for part in parts)))
+        return parts
+
+    monkeypatch.setattr(jaccard, "split_by_keys", counted)
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+
+    def shuffles():
+        files = env.blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    gen = random.Random(3)
+    texts = [" ".join(f"w{gen.randrange(10**6)}" for _ in range(40)) for _ in range(400)]
+    rows = [*enumerate(texts), (400, texts[0] + " end"), (401, texts[1]), (1, texts[1])]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, _at string, _row_key long")
+    before = shuffles()
+    left = jaccard.one_of_each(docs)
+    until = time.time() + 20
+    while (kept := len(shuffles() - before)) > 20 and time.time() < until:
+        time.sleep(0.5)
+    assert kept <= 20
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(enumerate(texts)) and left.columns == docs.columns
+    assert len(met) == 2
+    for keys, near, far in met:
+        assert keys <= near <= keys + 20 and near + far == len(rows)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (1, None), (None, None)]
     got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(documents(spark, rows)).collect())
