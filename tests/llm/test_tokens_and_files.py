@@ -8,8 +8,8 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from spanloom.llm import jpeg, packing, repair
-from spanloom.llm.tokens import encoder
+from spanloom.llm import jpeg, packing, repair, tokens
+from spanloom.llm.tokens import TextEncoder, encoder
 from tokenizers import Tokenizer
 
 ODD = ["", None, "  a", "a  b", "a   b c", "a\n b", "a\n\nb ", "a\n\nb", "\n\nb", "\na\n", "a\n\n\nb", "a\n\n", "a ", " a", " ", "\n", "don't you'll we've", "naïve café é", "1234 12a34 ---- foo--bar", "<|endoftext|> hi", "a\x1cb c", "Ünï ÇA ßTest", "$$$ ###", "it's O'Neil 's", "日本語 テスト", "\ta\tb", "ǅ İstanbul", "a　b", "_foo_bar __", "end.\nThe next", "ªº µ", "word''s x'", "Ġab c", "plain words, again. Plain words!"]
@@ -34,6 +34,18 @@ def test_ids_equal_the_library(path):
             assert ids[offsets[k] : offsets[k + 1]].tolist() == (library.encode(text, add_special_tokens=False).ids if text else []), text
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_ascii_words_are_not_spelled_by_byte(path, monkeypatch):
+    """Most new pieces are plain words, whose letters stand for themselves; others keep the byte alphabet."""
+    own, library, spelled = TextEncoder(path), Tokenizer.from_file(path), []
+    alphabet = tokens._ALPHABET
+    monkeypatch.setattr(tokens, "_ALPHABET", type("Alphabet", (), {"__getitem__": lambda _, b: spelled.append(b) or alphabet[b]})())
+    for text, odd in (("plain words again plainest", False), ("plain naïve words", True), ("plain words plain", False)):
+        spelled.clear()
+        ((_, ids, _),) = own.encode_batch(pa.array([text]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and bool(spelled) == odd
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_repair_round_trip_and_random_access(seed):
     rng = np.random.default_rng(seed)
