@@ -34,7 +34,7 @@ from spanloom.llm.components import components
 from spanloom.llm.spans import row_key
 from spanloom.llm.superkmer import _ODD, Words, _mixed, _run_hashes, _steps
 from spanloom.llm.tokens import ragged
-from spanloom.shared import bounded_batches, discard, give_back, lean, written
+from spanloom.shared import bounded_batches, discard, give_back, sparing, written
 
 SHINGLE = 5
 FREQUENT_TOKENS = 1 << 18  #: tokens on the broadcast list of frequent ones at most, 4 MB: the most frequent
@@ -290,7 +290,7 @@ def _profile(documents: DataFrame) -> DataFrame:
         empty = pa.nulls(len(most), pa.int64())
         yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array(most), pa.array(met[most])], schema=schema)
 
-    return documents.mapInArrow(lean(measured), _PROFILE)
+    return documents.mapInArrow(sparing(measured), _PROFILE)
 
 
 def _fresh(ids: np.ndarray, seen: set) -> np.ndarray:
@@ -362,7 +362,7 @@ def _index(documents: DataFrame, frequent: np.ndarray, rank: np.ndarray, weights
         if n:
             yield from flush()
 
-    return documents.mapInArrow(lean(indexed), "bucket int, keys binary, ids binary, sizes binary")
+    return documents.mapInArrow(sparing(indexed), "bucket int, keys binary, ids binary, sizes binary")
 
 
 def _candidate_links(index: DataFrame, t: Fraction) -> DataFrame:
@@ -471,7 +471,7 @@ def _packed_sets(documents: DataFrame, candidates: DataFrame) -> DataFrame:
                 roots, held = (batch.column(c).to_numpy()[begin + meant] for c in ("root", "held"))
                 yield pa.RecordBatch.from_arrays([pa.array(found[meant]), pa.array(roots), pa.array(held), pa.array(np.diff(own)[meant]), strings], schema=schema)
 
-    return rows.mapInArrow(lean(packed), "id long, root long, held long, n long, tokens binary")
+    return rows.mapInArrow(sparing(packed), "id long, root long, held long, n long, tokens binary")
 
 
 def _compared(sets: DataFrame, t: Fraction) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.tokens import encoder
-from spanloom.shared import bounded_batches, lean, written
+from spanloom.shared import bounded_batches, give_back, sparing, written
 
 NEARLY_FULL = 0.995  #: a bin with this share of its room taken is emitted
 BINS_PER_TASK = 100_000  #: underfull bins that one task of a later round merges
@@ -80,7 +80,7 @@ def local_bins(documents: DataFrame, tokenizer_path: str, end_id: int, length: i
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             for first, ids, offsets in encode.encode_batch(batch.column("text")):
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = ids.astype("<u4", copy=False).view(np.uint8)
                 tail = int(end_id).to_bytes(4, "little")
                 for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     start, total = 0, b - a + 1
@@ -93,6 +93,9 @@ def local_bins(documents: DataFrame, tokenizer_path: str, end_id: int, length: i
                         if with_ids:
                             kept.append(np.append(ids[a + start : min(a + stop, b)], [end_id] * (stop == total)).astype(np.int32))
                         start = stop
+                del ids, offsets, raw
+                give_back()  # else what a slice has freed stays, in pieces, and the next one comes on top
+        encode.forget()
         if not rows:
             return
         doc_ids, *numbers = zip(*rows, strict=True)
@@ -106,7 +109,7 @@ def local_bins(documents: DataFrame, tokenizer_path: str, end_id: int, length: i
         for at in range(0, len(rows), 20_000):
             yield whole.slice(at, 20_000)
 
-    return documents.select("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(pack), PIECES + ", ids array<int>" * with_ids)
+    return documents.select("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sparing(pack), PIECES + ", ids array<int>" * with_ids)
 
 
 def _merge_round(bins: DataFrame, tasks: int, length: int, number: int) -> DataFrame:
@@ -127,7 +130,7 @@ def _merge_round(bins: DataFrame, tasks: int, length: int, number: int) -> DataF
         root[into[at_head]] = names[at_head]
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(root[into]), pa.array(places), pa.array(fills[into].astype(np.int32))], schema=schema)
 
-    return bins.select("bin", "fill").repartition(tasks, F.xxhash64("bin", F.lit(number))).mapInArrow(lean(merge), "bin long, root long, shift long, fill int")
+    return bins.select("bin", "fill").repartition(tasks, F.xxhash64("bin", F.lit(number))).mapInArrow(sparing(merge), "bin long, root long, shift long, fill int")
 
 
 def merged_bins(spark: SparkSession, open_bins: DataFrame, length: int) -> DataFrame:

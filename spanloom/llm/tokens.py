@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 
 CACHE_PIECES = 250_000  #: words met again, and half as many met once, kept by one Python worker; a full half starts anew
 SLICE_BYTES = 4 << 20  #: text handled in one step; a longer text is a step of its own
+GATHERED = 1 << 16  #: units whose ids are gathered at once, as their indices take several times the room of the ids
 
 _BLANK = "Ġ"  # how byte-level vocabularies spell the blank before a word
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -46,6 +47,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def _gathered(flat: np.ndarray, lengths: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of units in a row, and where each unit's begin and the last one's end; flat, lengths: ids of the distinct units."""
+    starts, offsets = np.cumsum(lengths) - lengths, np.zeros(len(units) + 1, np.int64)
+    np.cumsum(lengths[units], out=offsets[1:])
+    ids = np.empty(int(offsets[-1]), flat.dtype)
+    for at in range(0, len(units), GATHERED):
+        own = units[at : at + GATHERED]
+        ids[offsets[at] : offsets[at + len(own)]] = flat[ragged(starts[own], lengths[own])]
+    return ids, offsets
+
+
 def _strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist()
 
@@ -66,6 +78,10 @@ class TextEncoder:
         self.known: dict[str, bytes] = {}
         self.fresh: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop the words met so far: workers live on, and later stages need the room."""
+        self.known, self.fresh = {}, {}
+
     def whole(self, text: str) -> bytes:
         """One text by the library alone."""
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -103,13 +119,14 @@ class TextEncoder:
         return units.flatten(), units.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         wholes = {i: np.frombuffer(self.whole(texts[i].as_py()), np.uint32) for i in np.flatnonzero(odd).tolist()}
         if wholes:
             texts = pc.if_else(pa.array(odd), "", texts)
         units, first = self._cut(texts)
         coded = units.dictionary_encode()
+        del texts, units  # several times the text's room together
         parts = pc.extract_regex(coded.dictionary, self.plain)
         plain = parts.is_valid().to_numpy(zero_copy_only=False)
         parts = parts.filter(pa.array(plain))
@@ -126,10 +143,9 @@ class TextEncoder:
         pieces[~plain, 0] = nothing - len(others) + np.arange(len(others))
         pieces[plain, 0] = words.indices.to_numpy()
         pieces[plain, 1] = at_sign[signs.indices.to_numpy()]
-        used = pieces[coded.indices.to_numpy()].ravel()
-        size = lengths[used]
-        ids = flat[ragged(starts[used], size)]
-        offsets = np.concatenate(([0], np.cumsum(size)))[2 * first]
+        flat, lengths = flat[ragged(starts[pieces.ravel()], lengths[pieces.ravel()])], lengths[pieces].sum(1)  # by distinct unit from here
+        ids, offsets = _gathered(flat, lengths, coded.indices.to_numpy())
+        offsets = offsets[first]
         if not wholes:
             return ids, offsets
         return self._with_wholes(ids, offsets, wholes)
@@ -144,7 +160,6 @@ class TextEncoder:
 
     def encode_batch(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of the first text, ids, offsets of each text's ids) for slices of the batch."""
-        texts = texts.cast(pa.large_string())
         size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         begin, held = 0, 0
         for i, n in enumerate(size.tolist()):

@@ -1,6 +1,7 @@
 """Tokenisation, Re-Pair shards, packing and media against plain versions."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -46,6 +47,33 @@ def test_ascii_words_are_not_spelled_by_byte(path, monkeypatch):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and bool(spelled) == odd
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_ids_are_gathered_in_little_room(path):
+    """What a step of texts takes on top of its ids and their places stays a small part of an index for every unit and id."""
+    own, texts = TextEncoder(path), pa.array(["some plain words, again and again. " * 1000] * 110)
+    list(own.encode_batch(texts[:1]))
+    tracemalloc.start()
+    ((_, ids, offsets),) = own.encode_batch(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) > 700_000 and len(offsets) == 111 and peak < 40 * len(ids)
+    assert own.known or own.fresh
+    own.forget()
+    assert not own.known and not own.fresh and all(x.tolist() == ids[: offsets[1]].tolist() for _, x, _ in own.encode_batch(texts[:1]))
+
+
+def test_packing_keeps_no_words(spark):
+    """A Python worker that has packed lives on; it holds no words for the stages that follow."""
+
+    def held(batches):
+        list(batches)
+        yield pa.RecordBatch.from_pydict({"n": [len(encoder(BYTE).known) + len(encoder(BYTE).fresh)]}, schema=pa.schema([("n", pa.int64())]))
+
+    packing.local_bins(documents(spark, ["plain words and more"] * 8).repartition(8), BYTE, 0, 64).collect()
+    left = spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()
+    assert {r["n"] for r in left} == {0}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_repair_round_trip_and_random_access(seed):
     rng = np.random.default_rng(seed)
