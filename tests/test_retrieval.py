@@ -2,10 +2,15 @@
 
 import math
 
+import numpy as np
 import pytest
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from spanloom.functions import kernels
 from spanloom.operators import dedup, dense, fusion, lexical
+from spanloom.shared import written
 
 
 def ranking(spark, name, items):
@@ -62,6 +67,33 @@ def test_lsh_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_lsh_shuffles_no_pairs(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    asked = vectors.where("chunk_id % 9 = 0").withColumnRenamed("chunk_id", "query_id")
+    found = dense.lsh_top_k(vectors, asked, 4, tables=2, bucket_length=0.05)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    features = lambda rows: rows.withColumn("features", array_to_vector("vector")).drop("vector")
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.05, numHashTables=2, seed=7).fit(features(vectors))
+    near = model.approxSimilarityJoin(features(vectors), features(asked), 2.0, "distance").select("datasetB.query_id", "datasetA.chunk_id", F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("score"))
+    assert sorted(found.collect()) == sorted(lexical.ranked(near, 4).collect())
+    assert len(found.collect()) > len(dense.lsh_top_k(vectors, asked, 4, radius=0.9, tables=2, bucket_length=0.05).collect())
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    drawn = np.random.default_rng(3).integers(-2, 3, (60, 3)) / 2.0  # many ties
+    vectors = spark.createDataFrame([(f"c{k:02}", v.tolist()) for k, v in enumerate(drawn)], "chunk_id string, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(drawn[::4])], "query_id int, vector array<double>")
+    want = sorted((q, f"c{c:02}", s, r + 1) for q in range(15) for r, (s, c) in enumerate([(-x, c) for x, c in sorted((-round(float(drawn[c] @ drawn[q * 4]), 6), c) for c in range(60))[:5]]))
+    one = dense.top_k(vectors, asked, 5)
+    assert sorted(map(tuple, one.collect())) == want
+    monkeypatch.setattr(dense, "QUESTIONS_PER_BLOCK", 4)
+    monkeypatch.setattr(kernels, "CELLS", 20)
+    made = []
+    monkeypatch.setattr(dense, "written", lambda df, name: made.append(name) or written(df, name))
+    several = dense.top_k(vectors, asked, 5)
+    assert sorted(map(tuple, several.collect())) == want and made == ["vectors"]  # once for all blocks
+
+
 def test_hydrate_and_rerank(spark):
     results = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.4, 2)], "query_id int, chunk_id string, score double, rank int")
     chunks = spark.createDataFrame([("a", "nothing here"), ("b", "the wanted words")], "chunk_id string, text string")
