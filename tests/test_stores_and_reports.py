@@ -97,6 +97,13 @@ def test_confusable_documents(spark):
     assert [(r["relative_path"], r["other"]) for r in got] == [("a", "b")]
 
 
+def test_every_chunk_of_an_asking_document_asks(spark):
+    fruit, trains = ("apple", "pear", "plum"), ("north", "south", "east", "west")
+    rows = chunks(spark, ("a", *(f"red {x}" for x in fruit), *(f"train to the {x}" for x in trains)), ("b", *(f"red {x} pie" for x in fruit)), ("c", *(f"train to the {x} coast" for x in trains)))
+    got = generation.confusable(rows, spark.createDataFrame([("a",)], "relative_path string"), k=2).collect()
+    assert [(r["relative_path"], r["other"], r["n"]) for r in got] == [("a", "c", 4)]
+
+
 def test_models_behind_a_call(spark):
     seen = spark.sparkContext.accumulator(0)
 
