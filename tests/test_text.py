@@ -2,12 +2,14 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.functions.ids import cache_key, chunk_id, document_id, section_id
 from spanloom.functions.vectors import dot, hashed_terms, l2_normalised
+from spanloom.shared import slices
 
 
 def one(spark, expression):
@@ -37,6 +39,17 @@ def test_normalise_keeps_indentation(spark):
     assert one(spark, T.normalise_text(F.lit("\n a  \r\n\r\n\r\n\r\n  b\t\rc\n"))) == "a\n\n  b\nc"
 
 
+def test_only_line_feeds_end_lines(spark):
+    assert one(spark, T.normalise_text(F.lit("a \u2028b \u0085c\t\u2029 d  \ne "))) == "a \u2028b \u0085c\t\u2029 d\ne"
+
+
+def test_slices_follow_the_bytes_of_texts():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["xx", None, "yyyyyyyyy", "z", "zz", ""])], names=["id", "text"])
+    assert [s.column(0).to_pylist() for s in slices(batch, 1, 4)] == [[0, 1], [2], [3, 4, 5]]
+    assert [s.column(0).to_pylist() for s in slices(batch, 1, 100, 4)] == [[0, 1, 2, 3], [4, 5]]
+    assert list(slices(batch.slice(0, 0), 1)) == []
+
+
 def test_sentences_paragraphs_and_spans(spark):
     assert one(spark, T.sentences(F.lit('One. Two! "Three" is here? (Four). five.\n\nSix.'))) == ["One.", "Two!", '"Three" is here?', "(Four). five.", "Six."]
     assert one(spark, T.paragraphs(F.lit("a\n \nb\nc"))) == ["a", "b\nc"]
