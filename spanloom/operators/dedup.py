@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from spanloom.functions.vectors import hashed_terms
+from spanloom.shared import bounded_batches, lean
 
 THRESHOLD = 0.95
 SCOPES = ("document", "corpus")
@@ -28,45 +35,62 @@ def exact_duplicates(chunks: DataFrame, order: list[str], scope: str = "document
     return joined.where(F.col("place") > F.col("first.place")).select("chunk_id", F.col("first.chunk_id").alias("duplicate_of"))
 
 
+def with_vectors(chunks: DataFrame, order: list[str], dimension: int = 64, document: str = "relative_path") -> DataFrame:
+    """Chunks with terms as :func:`near_duplicates` takes them: vector and digest are made where the text lies, without a join."""
+    key = F.struct("chunk_id", document, *(c for c in order if c not in ("chunk_id", document)), F.sha1("text").alias("digest"))
+    return hashed_terms(chunks.select(key.alias("key"), "text"), "key", dimension).select("key.*", "vector")
+
+
 def near_duplicates(chunks: DataFrame, order: list[str], threshold: float = THRESHOLD, document: str = "relative_path") -> DataFrame:
     """(chunk_id, duplicate_of, similarity, exact) of one bucket a document, greedily in order.
 
     A chunk is removed if its digest or a cosine of ``threshold`` or more ties it to a chunk that was *kept*; one that
-    only resembles a removed chunk stays.  chunks: chunk_id, ``document``, text, vector (unit length).
+    only resembles a removed chunk stays.  chunks: chunk_id, ``document``, text or its digest, vector (unit length).
+    Documents are sorted into a task one after the other; it holds the kept chunks of one at a time.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
 
-    kind = dict(chunks.dtypes)["chunk_id"]
-
-    def greedy(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("_place")
-        ids, same = table["chunk_id"].to_pylist(), table["digest"].to_pylist()
-        vectors = table["vector"].combine_chunks()
-        n = len(ids)
-        matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-        first: dict[str, int] = {}
-        held, sides, at = np.zeros(n, np.int64), np.zeros((n, matrix.shape[1])), 0
-        out: list[tuple] = []
-        for k in range(n):
-            if same[k] in first:
-                out.append((ids[k], ids[first[same[k]]], 1.0, True))
-                continue
-            cosines = sides[:at] @ matrix[k]
-            best = int(cosines.argmax()) if at else 0
-            if at and cosines[best] >= threshold:
-                out.append((ids[k], ids[held[best]], float(cosines[best]), False))
-                continue
-            sides[at], held[at], first[same[k]] = matrix[k], k, k
-            at += 1
-        columns = zip(*out, strict=True) if out else ((),) * 4
-        id_type = table.schema.field("chunk_id").type
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (id_type, id_type, pa.float64(), pa.bool_()), strict=True)], names=["chunk_id", "duplicate_of", "similarity", "exact"])
-
-    place = F.struct(*order)
-    vector = F.transform("vector", lambda x: x.cast("double"))
-    rows = chunks.select("chunk_id", F.col(document).alias("_bucket"), F.sha1("text").alias("digest"), vector.alias("vector"), F.row_number().over(Window.partitionBy(document).orderBy(place)).alias("_place"))
-    return rows.groupBy("_bucket").applyInArrow(greedy, f"chunk_id {kind}, duplicate_of {kind}, similarity double, exact boolean")
+    kind = chunks.schema["chunk_id"].dataType
+    out = T.StructType([T.StructField("chunk_id", kind), T.StructField("duplicate_of", kind), T.StructField("similarity", T.DoubleType()), T.StructField("exact", T.BooleanType())])
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, at = None, 0  # the kept chunks of the bucket so far
+        first: dict[str, object] = {}
+        held: list = []
+        sides = np.zeros((0, 0))
+        for batch in batches:
+            found: list[tuple] = []
+            ids, buckets, same = (batch.column(c).to_pylist() for c in range(3))
+            matrix = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            for k in range(batch.num_rows):
+                if k == 0 and sides.shape[1] != matrix.shape[1]:
+                    sides = np.zeros((16, matrix.shape[1]))
+                if not at or buckets[k] != bucket:
+                    bucket, at, first, held = buckets[k], 0, {}, []
+                if same[k] in first:
+                    found.append((ids[k], first[same[k]], 1.0, True))
+                    continue
+                if at:
+                    cosines = sides[:at] @ matrix[k]
+                    best = int(cosines.argmax())
+                    if cosines[best] >= threshold:
+                        found.append((ids[k], held[best], float(cosines[best]), False))
+                        continue
+                if at == len(sides):
+                    sides = np.concatenate([sides, np.zeros_like(sides)])
+                sides[at], first[same[k]] = matrix[k], ids[k]
+                held.append(ids[k])
+                at += 1
+            columns = zip(*found, strict=True) if found else ((),) * 4
+            schema = to_arrow_schema(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    bounded_batches(chunks.sparkSession)
+    digest = F.col("digest") if "digest" in chunks.columns else F.sha1("text")
+    rows = chunks.select("chunk_id", F.col(document).alias("_bucket"), digest.alias("digest"), "vector", F.struct(*order).alias("_place"))
+    placed = rows.repartition("_bucket").sortWithinPartitions("_bucket", "_place")
+    return placed.select("chunk_id", "_bucket", "digest", "vector").mapInArrow(lean(greedy), out)
 
 
 def kept(chunks: DataFrame, duplicates: DataFrame) -> DataFrame:

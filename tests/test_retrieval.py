@@ -103,6 +103,22 @@ def test_hydrate_and_rerank(spark):
         fusion.hydrate(results, chunks.where("chunk_id = 'a'")).collect()
 
 
+def test_greedy_dedup_over_batches(spark):
+    texts = ["red apple tree", "red apple tree", "apple tree red", "slow train", "red apple", "tree red apple", "", "train slow"]
+    rows = [(f"{d}#{k}", d, k, t) for d in ("p", "q") for k, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, relative_path string, chunk_index int, text string").repartition(5)
+    found = dedup.near_duplicates(dedup.with_vectors(chunks, ["chunk_index"]), ["chunk_index"])
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "2")
+        got = {(r["chunk_id"], r["duplicate_of"], r["exact"]) for r in found.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {(f"{d}#{k}", f"{d}#{of}", k == 1) for d in ("p", "q") for k, of in ((1, 0), (2, 0), (5, 0), (7, 3))}
+
+
 def test_greedy_dedup(spark):
     unit = lambda *v: [x / math.hypot(*v) for x in v]
     rows = [(0, "p", "alpha", unit(1.0, 0.0)), (1, "p", "alpha", unit(1.0, 0.0)), (2, "p", "near", unit(1.0, 0.29)), (3, "p", "cousin", unit(1.0, 0.7)), (4, "q", "alpha", unit(1.0, 0.0))]
