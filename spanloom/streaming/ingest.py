@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spanloom.functions.vectors import hashed_terms
 from spanloom.operators.chunking import fixed_chunks
-from spanloom.operators.dedup import THRESHOLD, exact_duplicates, kept, near_duplicates
+from spanloom.operators.dedup import THRESHOLD, exact_duplicates, kept, near_duplicates, with_vectors
 from spanloom.shared import discard, written
 from spanloom.sources.store import ChunkStore, LexicalStore
 
@@ -23,7 +22,7 @@ def ingest_batch(store: ChunkStore, documents: DataFrame, max_tokens: int, overl
     """
     newest = documents.groupBy("relative_path").agg(F.max_by("text", "position").alias("text"))
     chunks = written(fixed_chunks(newest, max_tokens, overlap), "batch-chunks")
-    near = exact_duplicates(chunks, ["chunk_index"]) if threshold is None else near_duplicates(chunks.join(hashed_terms(chunks, "chunk_id"), "chunk_id"), ["chunk_index"], threshold)
+    near = exact_duplicates(chunks, ["chunk_index"]) if threshold is None else near_duplicates(with_vectors(chunks, ["chunk_index"]), ["chunk_index"], threshold)
     rows = written(kept(chunks, near), "batch-rows")
     store.replace_documents("fixed", newest, rows)
     if lexical is not None:
