@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import generation, metrics, models, reports, stats
+from spanloom.plans import registry
+from spanloom.shared import is_table
 from spanloom.sources import evaluation, files, store
 
 CHUNK = "chunk_id string, relative_path string, text string"
@@ -67,6 +69,22 @@ def test_lexical_and_vector_stores(spark, tmp_path):
     assert {r["chunk_id"] for r in vectors.search("fixed", q, 5, relative_path="p").collect()} == {"p#0", "p#1"}
 
 
+def test_stores_shuffle_no_rows(spark, tmp_path):
+    rows = chunks(spark, *((f"d{k}", "one text", "and more") for k in range(40))).repartition(3)
+    own = store.LexicalStore(spark, f"file://{tmp_path}/l", 2)
+    own.index("fixed", rows)
+    assert all(len(list(b.glob("*.parquet"))) == 3 for b in tmp_path.glob("l/strategy=fixed/*/bucket=*"))  # no task gets a whole bucket
+    index = own.load("fixed")
+    assert is_table(index.corpus) and index.chunks.count() == 80 and {r["term"]: r["df"] for r in index.stats.collect()} == dict.fromkeys(("one", "text", "and", "more"), 40)
+    assert "ArrowPythonRunner" not in (plan := index.stats._jdf.queryExecution().executedPlan().toString()) and "Generate" not in plan  # counted once
+
+
+def test_listings_need_no_index(spark, monkeypatch):
+    monkeypatch.setattr(registry, "_index", None)
+    assert registry.document_listing(spark, "/root/testdata/sf0.001").count() > 0
+    assert registry.chunk_store(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_document_store(spark, tmp_path):
     docs = files.text_documents(spark.createDataFrame([("a.txt", "one"), ("b.txt", "two")], "relative_path string, text string"))
     own = store.DocumentStore(spark, f"file://{tmp_path}/d")
